@@ -204,3 +204,55 @@ def bucket_components(buckets: DataFrame, verify, name: str) -> tuple[DataFrame,
     more = verify(pairs)
     links = written(linked.unionByName(more), f"{name}-links")
     return components(links.select("a", "b"), f"{name}-cc2"), links
+
+
+# -- words in Arrow -----------------------------------------------------------------------------------------
+
+_SPACED = np.arange(256, dtype=np.uint8)
+_SPACED[[c for c in range(128) if not chr(c).isalnum()]] = 32
+
+
+def unpunctuated(texts):
+    """ASCII punctuation and control characters of an Arrow string array replaced by spaces, byte for byte."""
+    import pyarrow as pa
+
+    texts = texts.cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    if data is None or not data.size:
+        return texts
+    return pa.Array.from_buffers(pa.large_string(), len(texts), [None, offsets, pa.py_buffer(_SPACED[np.frombuffer(data, np.uint8)].tobytes())], 0, texts.offset)
+
+
+class Words:
+    """The white-space words of an Arrow array of texts: codes into `distinct`, and where each text's words begin."""
+
+    def __init__(self, texts):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        codes, distinct = flat.indices.to_numpy(), flat.dictionary
+        offsets = offsets - offsets[0]
+        blank = pc.index(distinct, pa.scalar("", distinct.type)).as_py()
+        if blank >= 0:  # a text's outer white space and empty texts give empty words
+            keep = codes != blank
+            offsets = np.concatenate(([0], np.cumsum(keep)))[offsets]
+            codes = codes[keep]
+        self.codes, self.distinct, self.offsets = codes, distinct, offsets
+        self.blank = blank
+
+    def hashes(self) -> np.ndarray:
+        """64-bit hashes of the distinct words."""
+        return string_hashes(self.distinct)
+
+
+def shingles(word_hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n words from each position on; positions whose n words leave the array are cut off."""
+    m = max(len(word_hashes) - n + 1, 0)
+    with np.errstate(over="ignore"):
+        out = word_hashes[:m].copy()
+        for k in range(1, n):
+            out = (out ^ (out >> np.uint64(29))) * _M1 + word_hashes[k : k + m]
+    return mix(out, n)
