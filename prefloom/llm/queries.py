@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, quality, secrets, toxicity, warc
+from . import ann, decontam, neardup, quality, secrets, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,12 +31,16 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents")).drop("tk")
+
+
 def op9_onebit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_benchmark_leaks, op2_line_quality, op3_secret_ledger, op5_warc_derivatives, op6_toxicity, op9_onebit_neighbours)}
+    return {f.__name__: f for f in (op1_benchmark_leaks, op2_line_quality, op3_secret_ledger, op5_warc_derivatives, op6_toxicity, op8_dart_minhash, op9_onebit_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
