@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import mix
+from .common import Words, mix, string_hashes
 from .labelled import fit_logistic, logistic, sample, scored
 
 _KIND = np.zeros(256, np.uint8)  # 1 lower, 2 upper, 3 digit, 4 space, 5 other ASCII, 6 part of a longer code point
@@ -34,8 +34,6 @@ def line_features(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    from .common import Words, string_hashes
-
     lists = pc.split_pattern(texts.cast(pa.large_string()), "\n")
     lines = lists.flatten()
     starts = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy())))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, neardup, quality, secrets, toxicity, warc
+from . import ann, decontam, maxent_lm, mixing, neardup, quality, secrets, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.probabilities(table(spark, sf_dir, "documents"))
+
+
 def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(table(spark, sf_dir, "pages"))
 
@@ -39,9 +43,13 @@ def op9_onebit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op10_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_benchmark_leaks, op2_line_quality, op3_secret_ledger, op5_warc_derivatives, op6_toxicity, op8_dart_minhash, op9_onebit_neighbours)}
+    return {f.__name__: f for f in (op1_benchmark_leaks, op2_line_quality, op3_secret_ledger, op4_raked_mixture, op5_warc_derivatives, op6_toxicity, op8_dart_minhash, op9_onebit_neighbours, op10_maxent_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_raked_mixture": mixing.oracle()}
