@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, shingles, text_steps, unpunctuated
+from .common import Words, shingles, text_steps, unpunctuated, written
 
 SHORTEST, LONGEST = 3, 6
 MATCH, MISS, GAP = 2, -1, -1
@@ -212,7 +212,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, ex
 
 def clean(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The documents that no item contaminates, columns as they are; documents with a null doc_id are held by their text."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    keyed = docs.withColumn("doc_id", key) if "doc_id" in docs.columns else docs
-    bad = contaminations(keyed, benchmark, **settings).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, key == bad["bad_id"], "left_anti")
+    key = F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string")))
+    keyed = docs.select(key.alias("doc_id"), docs["text"])
+    bad = written(contaminations(keyed, benchmark, **settings).select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
+    return docs.join(bad, key == F.col("__bad"), "left_anti")

@@ -154,7 +154,7 @@ def cell_sets(rows: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, least: float = 0.8, bands: int = 26, per_band: int = 5) -> DataFrame:
-    """(doc_id, tk, class_id, copies, class_size) of every row: tk names the text, copies counts its rows."""
+    """(doc_id, tk, root, class_id, copies, class_size) of every row: tk names the text, root the class, copies counts the text's rows."""
     rows = keyed(docs)
     signed = written(band_keys(rows, bands, per_band), "signed")
     texts = signed.groupBy("tk").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
@@ -178,20 +178,25 @@ def classes(docs: DataFrame, least: float = 0.8, bands: int = 26, per_band: int
     roots, _ = bucket_components(buckets, verify, "neardup")
     owner = texts.join(roots, texts["tk"] == roots["node"], "left").select("tk", "first_id", "copies", F.coalesce("root", "tk").alias("root"))
     group = owner.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    table = written(owner.join(group, "root").select("tk", "class_id", "copies", "class_size"), "classes")
+    table = written(owner.join(group, "root").select("tk", "root", "class_id", "copies", "class_size"), "classes")
     return signed.select("doc_id", "tk").join(table, "tk")
 
 
 def clean(docs: DataFrame, **settings) -> DataFrame:
     """One document of each class, the one with the smallest doc_id; columns as they are.
 
-    Of rows that repeat that doc_id in a class the first by text stays; a class without any doc_id keeps one row.
+    Where a class has that doc_id, or no id at all, in several texts, the text with the smallest key stays, once.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = classes(docs, **settings)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("tk").alias("keep_tk"))
-    # class ids are unique by doc_id, but for classes that share a repeated doc_id or none: there the text's key tells
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("keep_id"), F.col("tk").alias("keep_tk")).distinct().join(keep.select("keep_tk"), "keep_tk", "left_semi")
-    kept = docs.join(keep, (F.xxhash64(text) == F.col("keep_tk")) & docs["doc_id"].cast("long").eqNullSafe(F.col("keep_id")), "left_semi")
-    # repeated rows are whole copies: one of them
-    return kept.dropDuplicates(["doc_id", "text"])
+    did, key = docs["doc_id"].cast("long"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    found = written(classes(docs, **settings), "found")
+    first = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    stays = found.where(first).groupBy("root").agg(F.min("tk").alias("keep_tk"))
+    judged = found.join(stays, "root").withColumn("stays", first & (F.col("tk") == F.col("keep_tk")))
+    gone = written(judged.where(~F.col("stays")).select(F.col("doc_id").alias("__did"), F.col("tk").alias("__tk")).distinct(), "gone")
+    same = did.eqNullSafe(F.col("__did")) & (key == F.col("__tk"))
+    kept = docs.join(gone, same, "left_anti")
+    twice = written(judged.where("stays").groupBy(F.col("doc_id").alias("__did"), F.col("tk").alias("__tk")).count().where("count > 1").drop("count"), "twice")
+    if twice.isEmpty():
+        return kept
+    once = kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(twice, same, "left_anti").unionByName(once)

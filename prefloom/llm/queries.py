@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, maxent_lm, mixing, neardup, quality, secrets, toxicity, warc
+from . import ann, decontam, line_dedup, maxent_lm, mixing, neardup, quality, secrets, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +35,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op8_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.classes(table(spark, sf_dir, "documents")).drop("tk")
+    return neardup.classes(table(spark, sf_dir, "documents")).drop("tk", "root")
 
 
 def op9_onebit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +52,7 @@ def op10_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_benchmark_leaks, op2_line_quality, op3_secret_ledger, op4_raked_mixture, op5_warc_derivatives, op6_toxicity, op8_dart_minhash, op9_onebit_neighbours, op10_maxent_scores)}
+    return {f.__name__: f for f in (op1_benchmark_leaks, op2_line_quality, op3_secret_ledger, op4_raked_mixture, op5_warc_derivatives, op6_toxicity, op7_fuzzy_lines, op8_dart_minhash, op9_onebit_neighbours, op10_maxent_scores)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -23,6 +23,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import DataFrame
 
+from .common import text_steps
 from .labelled import fit_logistic, logistic, sample, scored
 
 WINDOW = 10
@@ -175,3 +176,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> Model:
 def classify(docs: DataFrame, labels: DataFrame, per_class: int = 2500, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     return scored(docs, fit(docs, labels, per_class), threshold)
+
+
+def clean(docs: DataFrame, labels: DataFrame, per_class: int = 2500, threshold: float = 0.3) -> DataFrame:
+    """The documents that score below the threshold, columns as they are."""
+    model = fit(docs, labels, per_class)
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in text_steps(batches):
+            texts = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
+            yield batch.filter(pa.array(model(texts) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
