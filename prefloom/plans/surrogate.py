@@ -144,14 +144,14 @@ def svd_score(spark, sf_dir):
 
 
 _CELLS = "cells AS (SELECT l_orderkey * 10 + l_linenumber AS entry_id, l_suppkey AS system_row, l_partkey AS response_col, l_extendedprice AS target FROM lineitem)"
-_LAST = "lastcell AS (SELECT system_row, response_col, arg_max(target, entry_id) AS target FROM cells WHERE response_col <= 200 GROUP BY ALL)"
+_LAST = "lastcell AS (SELECT system_row, response_col, list(target ORDER BY entry_id DESC, target DESC)[1] AS target FROM cells WHERE response_col <= 200 GROUP BY ALL)"
 
 
 def _fill(rule: str, sql: str):
     def run(spark, sf_dir):
         """The grid of all systems by the first columns: last write wins in a repeated cell, empty cells are filled."""
         c = fixtures.cells(spark, sf_dir).where("response_col <= 200")
-        last = c.groupBy("system_row", "response_col").agg(F.max_by("target", "entry_id").alias("target"))
+        last = c.groupBy("system_row", "response_col").agg(F.max(F.struct("entry_id", "target")).getField("target").alias("target"))
         systems, cols = last.select("system_row").distinct(), last.groupBy("response_col").agg(F.avg("target").alias("col_mean"))
         overall = last.agg(F.avg("target").alias("all_mean"))
         full = systems.crossJoin(cols).crossJoin(F.broadcast(overall)).join(last, ["system_row", "response_col"], "left")
