@@ -29,7 +29,7 @@ def read_rows(spark: SparkSession, path: str, schema: str | None = None, lenient
     """JSON lines, or one JSON document with a list of rows, by the path's ending; blank lines are skipped."""
     reader = spark.read.option("mode", "DROPMALFORMED" if lenient else "FAILFAST")
     reader = reader.schema(schema) if schema else reader
-    return reader.option("multiLine", not path.endswith((".jsonl", ".ndjson"))).json(path)
+    return reader.option("multiLine", path.endswith(".json") and "*" not in path).json(path)
 
 
 def read_numbered(spark: SparkSession, path: str) -> DataFrame:
