@@ -174,35 +174,38 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     return written(out, f"{name}-root")
 
 
-def bucket_components(buckets: DataFrame, verify, name: str) -> tuple[DataFrame, DataFrame]:
-    """Components of the nodes that share a bucket and pass verify; buckets is (key, node), verify maps (a, b) to the pairs linked.
+def bucket_components(buckets: DataFrame, verify, close, name: str) -> tuple[DataFrame, DataFrame]:
+    """Components of the nodes that share a bucket, are close, and pass verify.
 
-    In each bucket all nodes are held against its smallest one.  Those that fail are then held against every other
-    node of their buckets that is not in their component already.  Nodes that the first round has linked need no pair
+    buckets is (key, node, marks...); close(p, q) is a cheap condition on the columns of two nodes, named with prefixes p
+    and q; verify maps (a, b) to the pairs linked.  In each bucket all nodes are held against its smallest one.  Those
+    that fail are then held against every other node of their buckets that is not in their component already; the join
+    itself applies `close`, so only plausible pairs are ever rows.  Nodes that the first round has linked need no pair
     among themselves: they are connected.  So a bucket of n mutual copies costs n - 1 checks, and no link between
     components is lost.  Returns the (node, root) of linked nodes, and the links found.
     """
+
     def unseen(pairs: DataFrame) -> DataFrame:
-        return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
+
+    def named(df: DataFrame, prefix: str) -> DataFrame:
+        return df.select("key", *(F.col(c).alias(prefix + c) for c in cols))
 
-    spark = buckets.sparkSession
-    first = buckets.groupBy("key").agg(F.min("node").alias("first"))
-    star = buckets.join(first, "key").where("node != first")
-    star = written(star, f"{name}-star")
-    linked = written(verify(unseen(star.select(F.col("node").alias("a"), F.col("first").alias("b")))), f"{name}-linked")
+    cols = [c for c in buckets.columns if c != "key"]
+    first = buckets.groupBy("key").agg(F.min(F.struct("node", *(c for c in cols if c != "node"))).alias("f")).select("key", *(F.col(f"f.{c}").alias(f"q_{c}") for c in cols))
+    star = written(named(buckets, "p_").join(first, "key").where("p_node != q_node").withColumn("near", close("p_", "q_")), f"{name}-star")
+    tried = unseen(star.where("near").select(F.col("p_node").alias("a"), F.col("q_node").alias("b")))
+    linked = written(verify(tried), f"{name}-linked")
     roots = components(linked.select("a", "b"), f"{name}-cc1")
     passed = linked.select("a", "b").unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = written(star.join(passed, (star["node"] == passed["a"]) & (star["first"] == passed["b"]), "left_anti").select("key", "node").distinct(), f"{name}-rest")
+    rest = written(star.join(passed, (star["p_node"] == passed["a"]) & (star["q_node"] == passed["b"]), "left_anti").select("key", *(F.col(f"p_{c}") for c in cols)), f"{name}-rest")
     if rest.isEmpty():
         return roots, linked
-    others = buckets.select("key", F.col("node").alias("b")).join(rest.select("key").distinct(), "key", "left_semi")
-    pairs = unseen(rest.withColumnRenamed("node", "a").join(others, "key").select("a", "b"))
-    tried = unseen(star.select(F.col("node").alias("a"), F.col("first").alias("b")))
-    pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    both = rest.join(named(buckets, "q_").withColumnRenamed("key", "q_key"), (F.col("key") == F.col("q_key")) & (F.col("p_node") != F.col("q_node")) & close("p_", "q_"))
+    pairs = unseen(both.select(F.col("p_node").alias("a"), F.col("q_node").alias("b"))).join(tried, ["a", "b"], "left_anti")
     ra, rb = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
     pairs = pairs.join(ra, "a", "left").join(rb, "b", "left").where("ra is null or rb is null or ra != rb").select("a", "b")
-    more = verify(pairs)
-    links = written(linked.unionByName(more), f"{name}-links")
+    links = written(linked.unionByName(verify(pairs)), f"{name}-links")
     return components(links.select("a", "b"), f"{name}-cc2"), links
 
 

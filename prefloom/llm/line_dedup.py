@@ -201,17 +201,17 @@ def groups(rows: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
     buckets_s = near.select("key", "s")
     # lines of one SimHash share a bucket too
     lines_of = distinct.select("s", F.col("h").alias("node"))
-    alike = lines_of.join(heads.where("same > 1").select("s"), "s").select(F.xxhash64(F.lit("s"), "s").alias("key"), "node")
-    buckets = written(buckets_s.join(lines_of, "s").select("key", "node").unionByName(alike), "line-buckets")
-    nodes = buckets.select(F.col("node").alias("h")).distinct().join(distinct, "h").select("h", "s", F.col("first_did").alias("did"))
+    alike = lines_of.join(heads.where("same > 1").select("s"), "s").select(F.xxhash64(F.lit("s"), "s").alias("key"), "node", "s")
+    buckets = written(buckets_s.join(lines_of, "s").select("key", "node", "s").unionByName(alike), "line-buckets")
+    nodes = buckets.select(F.col("node").alias("h")).distinct().join(distinct, "h").select("h", F.col("first_did").alias("did"))
     nodes = written(nodes, "line-nodes")
-    wanted = line_texts(rows).join(nodes, ["did", "h"]).select("h", "s", "line").groupBy("h").agg(F.min("s").alias("s"), F.min("line").alias("line"))
+    wanted = line_texts(rows).join(nodes, ["did", "h"]).groupBy("h").agg(F.min("line").alias("line"))
     texts = written(wanted, "line-texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a = texts.select(F.col("h").alias("a"), F.col("s").alias("sa"), F.col("line").alias("ta"))
-        b = texts.select(F.col("h").alias("b"), F.col("s").alias("sb"), F.col("line").alias("tb"))
-        both = pairs.join(a, "a").join(b, "b").where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= BITS)
+        a = texts.select(F.col("h").alias("a"), F.col("line").alias("ta"))
+        b = texts.select(F.col("h").alias("b"), F.col("line").alias("tb"))
+        both = pairs.join(a, "a").join(b, "b")
 
         def run(batches):
             import pyarrow as pa
@@ -222,7 +222,7 @@ def groups(rows: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
 
         return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
-    roots, _ = bucket_components(buckets, verify, "lines")
+    roots, _ = bucket_components(buckets, verify, lambda p, q: F.bit_count(F.col(f"{p}s").bitwiseXOR(F.col(f"{q}s"))) <= BITS, "lines")
     owner = distinct.join(roots, distinct["h"] == roots["node"], "left").select("h", "first_did", "n", F.coalesce("root", "h").alias("root"))
     per = owner.groupBy("root").agg(F.min("first_did").alias("first"), F.sum("n").alias("lines"), F.count(F.lit(1)).alias("members")).where("lines > 1")
     return seen.select("did", "at", "h"), written(owner.join(per, "root").select("h", "root", F.col("first").alias("first_did"), "lines", "members"), "line-groups")

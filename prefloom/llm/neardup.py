@@ -8,9 +8,12 @@ however large it is; nearly all cells are passed over with one hash, for their f
 coordinates the earliest dart is the signature, and two signatures agree in a coordinate with the probability of the
 weighted Jaccard similarity.  Where a coordinate is still empty, the time is doubled for that document.
 
-Bands of ``rows`` coordinates are joined.  Pairs that share a band are verified by their exact weighted Jaccard
-similarity, and classes are the connected components of verified links: see common.bucket_components, which checks a
-large bucket of copies with one pair a member and loses no link between components.
+Bands of ``per_band`` coordinates are joined.  A join of a band also compares sketches, four bits of each of 128
+coordinates and the weights: documents that share a passage but are far from similar are no rows of it.  (A pair at
+0.8 shares a band but for 1 in 30,000, and its sketches pass but for about as many.)  What is left is verified by the
+exact weighted Jaccard similarity, and classes are the connected components of verified links: see
+common.bucket_components, which checks a large bucket of copies with one pair a member and loses no link between
+components.
 
 Scale: exact copies are one text from the start; a band bucket is a hash with 16 bytes a member; only texts that share a
 band move once more for verification.  Nothing is collected, broadcast, capped or sampled.
@@ -29,6 +32,10 @@ from pyspark.sql import functions as F
 from .common import Words, bucket_components, mix, shingles, text_steps, uniform, written
 
 SHINGLE = 5
+PLANES = 4  # bits of each of the first 128 coordinates in a sketch
+MARKS = [f"m{i}" for i in range(2 * PLANES)]
+#: Of 128 coordinates as many may differ at similarity `least` and four standard deviations more.
+ALLOWED = lambda least: int(128 * (1 - least) * (1 - 2.0**-PLANES) + 4 * (128 * least * (1 - least)) ** 0.5)
 
 
 def cells(word_hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +130,7 @@ def keyed(docs: DataFrame, *more) -> DataFrame:
 
 
 def band_keys(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
-    """(doc_id, tk, keys) of (doc_id, tk, text); texts without words have no keys."""
+    """(doc_id, tk, keys, weight, sketch) of (doc_id, tk, text); texts without words have no keys."""
     k = bands * per_band
 
     def run(batches):
@@ -134,11 +141,12 @@ def band_keys(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
             keys = np.repeat((np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None], len(s), axis=0)
             for r in range(per_band):
                 keys = mix(keys ^ s[:, r * bands : (r + 1) * bands])
+            planes = [np.packbits((s[:, 64 * half : 64 * half + 64] >> np.uint64(40 + bit)).astype(np.uint8) & 1, axis=1).view(np.int64).ravel() for bit in range(PLANES) for half in (0, 1)]
             offsets = np.concatenate(([0], np.cumsum((np.diff(starts) > 0) * bands))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[np.diff(starts) > 0].ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tk"), lists], ["doc_id", "tk", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tk"), lists, pa.array(np.diff(starts)), *(pa.array(x) for x in planes)], ["doc_id", "tk", "keys", "weight", *MARKS])
 
-    return rows.mapInArrow(run, "doc_id long, tk long, keys array<long>").withColumn("keys", F.when(F.size("keys") > 0, F.col("keys")))
+    return rows.mapInArrow(run, "doc_id long, tk long, keys array<long>, weight long, " + ", ".join(f"{m} long" for m in MARKS)).withColumn("keys", F.when(F.size("keys") > 0, F.col("keys")))
 
 
 def cell_sets(rows: DataFrame) -> DataFrame:
@@ -160,7 +168,9 @@ def classes(docs: DataFrame, least: float = 0.8, bands: int = 26, per_band: int
     texts = signed.groupBy("tk").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     one = signed.where("keys is not null").select("tk", F.explode("keys").alias("key"))
     shared = one.groupBy("key").agg(F.min("tk").alias("low"), F.max("tk").alias("high")).where("low < high").select("key")
-    buckets = written(one.join(shared, "key").select("key", F.col("tk").alias("node")).distinct(), "buckets")
+    members = one.join(shared, "key").select("key", "tk").distinct()
+    marks = signed.where("keys is not null").select("tk", "weight", *MARKS).dropDuplicates(["tk"])
+    buckets = written(members.join(marks, "tk").select("key", F.col("tk").alias("node"), "weight", *MARKS), "buckets")
     # one row of each text in a bucket: that of its first doc_id (rows that repeat it are equal)
     wanted = buckets.select(F.col("node").alias("tk")).distinct().join(texts, "tk").select("tk", F.col("first_id").alias("doc_id"))
     texts_in = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["tk"] == wanted["tk"]), "left_semi")
@@ -175,7 +185,18 @@ def classes(docs: DataFrame, least: float = 0.8, bands: int = 26, per_band: int
         common = F.size(F.array_intersect("ca", "cb"))
         return both.where(enough).select("a", "b", (common / (sizes - common)).alias("similarity")).where(F.col("similarity") >= least - 1e-12)
 
-    roots, _ = bucket_components(buckets, verify, "neardup")
+    def close(p: str, q: str):
+        differ = None
+        for half in (0, 1):
+            word = None
+            for bit in range(PLANES):
+                x = F.col(f"{p}m{2 * bit + half}").bitwiseXOR(F.col(f"{q}m{2 * bit + half}"))
+                word = x if word is None else word.bitwiseOR(x)
+            differ = F.bit_count(word) if differ is None else differ + F.bit_count(word)
+        w = (F.col(f"{p}weight"), F.col(f"{q}weight"))
+        return (F.least(*w) >= least * F.greatest(*w)) & (differ <= ALLOWED(least))
+
+    roots, _ = bucket_components(buckets, verify, close, "neardup")
     owner = texts.join(roots, texts["tk"] == roots["node"], "left").select("tk", "first_id", "copies", F.coalesce("root", "tk").alias("root"))
     group = owner.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
     table = written(owner.join(group, "root").select("tk", "root", "class_id", "copies", "class_size"), "classes")
