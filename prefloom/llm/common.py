@@ -179,8 +179,8 @@ def bucket_components(buckets: DataFrame, verify, close, name: str) -> tuple[Dat
 
     buckets is (key, node, marks...); close(p, q) is a cheap condition on the columns of two nodes, named with prefixes p
     and q; verify maps (a, b) to the pairs linked.  In each bucket all nodes are held against its smallest one.  Those
-    that fail are then held against every other node of their buckets that is not in their component already; the join
-    itself applies `close`, so only plausible pairs are ever rows.  Nodes that the first round has linked need no pair
+    that fail, and whose component does not hold that node either, are then held against every other node of their
+    buckets in another component; the join itself applies this and `close`, so only plausible pairs are ever rows.  Nodes that the first round has linked need no pair
     among themselves: they are connected.  So a bucket of n mutual copies costs n - 1 checks, and no link between
     components is lost.  Returns the (node, root) of linked nodes, and the links found.
     """
@@ -198,13 +198,18 @@ def bucket_components(buckets: DataFrame, verify, close, name: str) -> tuple[Dat
     linked = written(verify(tried), f"{name}-linked")
     roots = components(linked.select("a", "b"), f"{name}-cc1")
     passed = linked.select("a", "b").unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = written(star.join(passed, (star["p_node"] == passed["a"]) & (star["q_node"] == passed["b"]), "left_anti").select("key", *(F.col(f"p_{c}") for c in cols)), f"{name}-rest")
+    # a node whose component holds its bucket's smallest node needs no further pair there: that of others is theirs to make
+    of = lambda side: roots.select(F.col("node").alias(f"__{side}"), F.col("root").alias(f"{side}_root"))
+    failed = star.join(passed, (star["p_node"] == passed["a"]) & (star["q_node"] == passed["b"]), "left_anti")
+    failed = failed.join(of("p"), F.col("p_node") == F.col("__p"), "left").join(of("q"), F.col("q_node") == F.col("__q"), "left")
+    failed = failed.withColumn("p_root", F.coalesce("p_root", "p_node")).where(F.col("p_root") != F.coalesce("q_root", "q_node"))
+    rest = written(failed.select("key", *(F.col(f"p_{c}") for c in cols), "p_root"), f"{name}-rest")
     if rest.isEmpty():
         return roots, linked
-    both = rest.join(named(buckets, "q_").withColumnRenamed("key", "q_key"), (F.col("key") == F.col("q_key")) & (F.col("p_node") != F.col("q_node")) & close("p_", "q_"))
+    others = named(buckets, "q_").join(rest.select("key").distinct(), "key", "left_semi").join(of("q"), F.col("q_node") == F.col("__q"), "left")
+    others = others.select(F.col("key").alias("q_key"), *(F.col(f"q_{c}") for c in cols), F.coalesce("q_root", "q_node").alias("q_root"))
+    both = rest.join(others, (F.col("key") == F.col("q_key")) & (F.col("p_root") != F.col("q_root")) & close("p_", "q_"))
     pairs = unseen(both.select(F.col("p_node").alias("a"), F.col("q_node").alias("b"))).join(tried, ["a", "b"], "left_anti")
-    ra, rb = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
-    pairs = pairs.join(ra, "a", "left").join(rb, "b", "left").where("ra is null or rb is null or ra != rb").select("a", "b")
     links = written(linked.unionByName(verify(pairs)), f"{name}-links")
     return components(links.select("a", "b"), f"{name}-cc2"), links
 
