@@ -174,44 +174,57 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     return written(out, f"{name}-root")
 
 
+#: Rounds in which a bucket's nodes are held against one of them, before all pairs of what is still apart.
+STAR_ROUNDS = 4
+
+
 def bucket_components(buckets: DataFrame, verify, close, name: str) -> tuple[DataFrame, DataFrame]:
     """Components of the nodes that share a bucket, are close, and pass verify.
 
     buckets is (key, node, marks...); close(p, q) is a cheap condition on the columns of two nodes, named with prefixes p
-    and q; verify maps (a, b) to the pairs linked.  In each bucket all nodes are held against its smallest one.  Those
-    that fail, and whose component does not hold that node either, are then held against every other node of their
-    buckets in another component; the join itself applies this and `close`, so only plausible pairs are ever rows.  Nodes that the first round has linked need no pair
-    among themselves: they are connected.  So a bucket of n mutual copies costs n - 1 checks, and no link between
-    components is lost.  Returns the (node, root) of linked nodes, and the links found.
+    and q; verify maps (a, b) to the pairs linked.  In a round, each bucket's nodes are held against one of them, another
+    in every round, where it is in another component.  So a bucket of n mutual copies costs n - 1 checks, and a group of
+    which only some pairs are linked grows together in few.  What is then still in different components of a bucket is
+    held against each other, all pairs; the join itself applies `close`, so only plausible pairs are rows.  Nodes of one
+    component need no pair, so no link between components is lost.  Returns the (node, root) of linked nodes, and the
+    links found.
     """
-
-    def unseen(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
-
-    def named(df: DataFrame, prefix: str) -> DataFrame:
-        return df.select("key", *(F.col(c).alias(prefix + c) for c in cols))
-
+    spark = buckets.sparkSession
     cols = [c for c in buckets.columns if c != "key"]
-    first = buckets.groupBy("key").agg(F.min(F.struct("node", *(c for c in cols if c != "node"))).alias("f")).select("key", *(F.col(f"f.{c}").alias(f"q_{c}") for c in cols))
-    star = written(named(buckets, "p_").join(first, "key").where("p_node != q_node").withColumn("near", close("p_", "q_")), f"{name}-star")
-    tried = unseen(star.where("near").select(F.col("p_node").alias("a"), F.col("q_node").alias("b")))
-    linked = written(verify(tried), f"{name}-linked")
-    roots = components(linked.select("a", "b"), f"{name}-cc1")
-    passed = linked.select("a", "b").unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    # a node whose component holds its bucket's smallest node needs no further pair there: that of others is theirs to make
-    of = lambda side: roots.select(F.col("node").alias(f"__{side}"), F.col("root").alias(f"{side}_root"))
-    failed = star.join(passed, (star["p_node"] == passed["a"]) & (star["q_node"] == passed["b"]), "left_anti")
-    failed = failed.join(of("p"), F.col("p_node") == F.col("__p"), "left").join(of("q"), F.col("q_node") == F.col("__q"), "left")
-    failed = failed.withColumn("p_root", F.coalesce("p_root", "p_node")).where(F.col("p_root") != F.coalesce("q_root", "q_node"))
-    rest = written(failed.select("key", *(F.col(f"p_{c}") for c in cols), "p_root"), f"{name}-rest")
-    if rest.isEmpty():
-        return roots, linked
-    others = named(buckets, "q_").join(rest.select("key").distinct(), "key", "left_semi").join(of("q"), F.col("q_node") == F.col("__q"), "left")
-    others = others.select(F.col("key").alias("q_key"), *(F.col(f"q_{c}") for c in cols), F.coalesce("q_root", "q_node").alias("q_root"))
-    both = rest.join(others, (F.col("key") == F.col("q_key")) & (F.col("p_root") != F.col("q_root")) & close("p_", "q_"))
-    pairs = unseen(both.select(F.col("p_node").alias("a"), F.col("q_node").alias("b"))).join(tried, ["a", "b"], "left_anti")
-    links = written(linked.unionByName(verify(pairs)), f"{name}-links")
-    return components(links.select("a", "b"), f"{name}-cc2"), links
+    roots, links, tried = spark.createDataFrame([], "node long, root long"), None, None
+
+    def fresh(joined: DataFrame) -> DataFrame:
+        pairs = joined.select(F.least("p_node", "q_node").alias("a"), F.greatest("p_node", "q_node").alias("b")).distinct()
+        return written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), f"{name}-pairs")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        found = written(verify(pairs), f"{name}-linked")
+        return found if links is None else links.unionByName(found)
+
+    def side(prefix: str) -> DataFrame:
+        at = buckets.join(roots.withColumnRenamed("node", "__n").withColumnRenamed("root", "__root"), F.col("node") == F.col("__n"), "left")
+        return at.select("key", *(F.col(c).alias(prefix + c) for c in cols), F.coalesce("__root", "node").alias(f"{prefix}root"))
+
+    for salt in range(STAR_ROUNDS):
+        p = side("p_")
+        fields = ["p_node", "p_root", *(f"p_{c}" for c in cols if c != "node")]
+        one = p.groupBy("key").agg(F.min(F.struct(F.xxhash64("p_node", F.lit(salt)).alias("h"), *fields)).alias("f"))
+        one = one.select("key", *(F.col(f"f.{c}").alias("q" + c[1:]) for c in fields))
+        pairs = fresh(p.join(one, "key").where((F.col("p_root") != F.col("q_root")) & close("p_", "q_")))
+        if pairs.isEmpty():
+            break
+        links = linked(pairs)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        roots = components(links.select("a", "b"), f"{name}-cc{salt}")
+    p = side("p_")
+    apart = p.groupBy("key").agg(F.min("p_root").alias("low"), F.max("p_root").alias("high")).where("low < high").select("key")
+    p = written(p.join(apart, "key", "left_semi"), f"{name}-apart")
+    q = p.select(F.col("key").alias("q_key"), *(F.col(c).alias("q" + c[1:]) for c in p.columns if c != "key"))
+    pairs = fresh(p.join(q, (F.col("key") == F.col("q_key")) & (F.col("p_node") < F.col("q_node")) & (F.col("p_root") != F.col("q_root")) & close("p_", "q_")))
+    if not pairs.isEmpty():
+        links = linked(pairs)
+        roots = components(links.select("a", "b"), f"{name}-cc")
+    return roots, links if links is not None else verify(pairs)
 
 
 # -- words in Arrow -----------------------------------------------------------------------------------------
