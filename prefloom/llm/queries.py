@@ -56,4 +56,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_raked_mixture": mixing.oracle()}
+    return {"op3_secret_ledger": secrets.oracle(), "op4_raked_mixture": mixing.oracle()}

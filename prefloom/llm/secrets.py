@@ -113,3 +113,20 @@ def digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     base = F.filter("found", lambda x: x["kind"] < len(BASE))
     n = lambda k: F.size(F.filter("found", lambda x: x["kind"] == k)).cast("long")
     return found.select(F.col("path").alias("doc_id"), n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(rendered(base, rules), 256).alias("base_sha256"), rendered(F.col("found"), rules).alias("spans"))
+
+
+def oracle(rules: tuple[Rule, ...] = RULES, table: str = "documents") -> str:
+    """DuckDB SQL for digest()."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    parts = []
+    for k, r in enumerate(rules):
+        p = r.probe or r.pattern
+        parts.append(f"SELECT n, {k} AS k, '{r.kind}' AS kind, {r.least} AS least, string_split_regex(t, {quoted(p)}) AS g, regexp_extract_all(t, {quoted(p)}) AS m, regexp_extract_all(t, {quoted(p)}, {r.group}) AS part FROM d WHERE regexp_matches(t, {quoted(p)})")
+    total = lambda x, to: f"coalesce(list_sum(list_transform({x}[1:{to}], lambda y: len(y))), 0)::BIGINT"
+    return f"""WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM {table}),
+f AS ({' UNION ALL '.join(parts)}),
+i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f),
+s AS (SELECT n, k, kind, {total('g', 'i')} + {total('m', 'i - 1')} AS start, len(m[i]) AS size FROM i WHERE len(part[i]) >= least),
+a AS (SELECT n, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+string_agg(kind || ':' || start || ':' || (start + size), ',' ORDER BY start, k) FILTER (k < {len(BASE)}) AS base, string_agg(kind || ':' || start || ':' || (start + size), ',' ORDER BY start, k) AS spans FROM s GROUP BY n)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (n)"""
