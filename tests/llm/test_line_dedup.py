@@ -45,7 +45,8 @@ def brute(rows, least=0.8):
     for i in range(len(lines)):
         for j in range(i):
             longer = max(len(lines[i]), len(lines[j]))
-            if bin(s[i] ^ s[j]).count("1") <= 3 and distance(lines[i], lines[j]) <= 0.2 * longer + 1e-9:
+            # lines already in one group need no comparison; the groups are the same without it
+            if (s[i] ^ s[j]).bit_count() <= 3 and top(i) != top(j) and distance(lines[i], lines[j]) <= 0.2 * longer + 1e-9:
                 root[top(i)] = top(j)
     group = {x: top(i) for i, x in enumerate(lines)}
     seen, out = set(), {}
