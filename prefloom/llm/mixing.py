@@ -38,10 +38,19 @@ TOPICS = (
 SWEEPS = 8
 
 
+def _found(text: Column, pattern: str) -> Column:
+    """text has a match of one of TOPICS' patterns.
+
+    Whether there is a match does not hang on how far a run of characters before it reaches, so one character of the
+    run will do: the search does not go through each word once from each of its letters.
+    """
+    return text.rlike(pattern.replace("[A-Za-z0-9._%+-]+@", "[A-Za-z0-9._%+-]@").replace("[A-Za-z_]+ *[=]", "[A-Za-z_] *[=]"))
+
+
 def topic_of(text: Column) -> Column:
     out = F.lit("prose")
     for name, pattern in reversed(TOPICS):
-        out = F.when(text.rlike(pattern), F.lit(name)).otherwise(out)
+        out = F.when(_found(text, pattern), F.lit(name)).otherwise(out)
     return out
 
 
@@ -72,10 +81,14 @@ def rake(cells: DataFrame, targets: DataFrame | None = None, temper: float = 0.8
         sides[dim] = written(own.crossJoin(F.broadcast(total)).select(dim, (F.col("want") / F.col("all")).alias("want")), f"target-{dim}")  # total is one row
     total = cells.agg(F.sum("tokens").cast("double").alias("all_tokens"))
     now = cells.crossJoin(F.broadcast(total)).select(*DIMS, "tokens", (F.col("tokens") / F.col("all_tokens")).alias("share"), (F.col("tokens") / F.col("all_tokens")).alias("weight"))
+    for dim in DIMS:  # the targets once, so that a sweep joins only the sums
+        now = now.join(sides[dim].withColumnRenamed("want", f"want_{dim}"), dim)
+    now = written(now, "raked")
     for sweep in range(sweeps):
         for dim in DIMS:
-            side = now.groupBy(dim).agg(F.sum("weight").alias("sum_weight")).join(sides[dim], dim)
-            now = now.join(side, dim).select(*DIMS, "tokens", "share", F.when(F.col("sum_weight") > 0, F.col("weight") * F.col("want") / F.col("sum_weight")).otherwise(F.lit(0.0)).alias("weight"))
+            side = now.groupBy(dim).agg(F.sum("weight").alias("sum_weight"))
+            weight = F.when(F.col("sum_weight") > 0, F.col("weight") * F.col(f"want_{dim}") / F.col("sum_weight")).otherwise(F.lit(0.0))
+            now = now.join(side, dim).select(*DIMS, "tokens", "share", *(f"want_{d}" for d in DIMS), weight.alias("weight"))
         now = written(now, f"raked-{sweep}")
     return now.select(*DIMS, "tokens", (F.col("weight") / F.col("share")).alias("factor"))
 
