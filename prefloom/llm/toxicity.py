@@ -23,7 +23,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import text_steps
+from .common import STEP_CHARS, steps, text_steps
 from .labelled import fit_logistic, logistic, sample, scored
 
 WINDOW = 10
@@ -167,7 +167,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> Model:
     rest = toxic[cut_t:] + ordinary[cut_o:]
     if not toxic[cut_t:] or not ordinary[cut_o:]:
         rest, cut_t, cut_o = toxic + ordinary, 0, 0
-    x = features(*differences(pa.array(rest, pa.string()), compressor(own + base), compressor(other + base)))
+    pair = (compressor(own + base), compressor(other + base))
+    sizes = np.array([len(t) for t in rest])  # in steps, so the driver holds the windows of a few texts at once
+    x = np.vstack([features(*differences(pa.array(rest[a:b], pa.string()), *pair)) for a, b in steps(sizes, STEP_CHARS // 4)])
     labels_ = np.array([1] * (len(toxic) - cut_t) + [0] * (len(ordinary) - cut_o))
     calibration = fit_logistic(x, labels_)
     return Model(own + base, other + base, calibration, share)
