@@ -9,8 +9,8 @@ Of every connected group the first occurrence stays, by doc_id and then by place
 
 Scale: texts stay where they are; a line is a hash of 8 bytes.  Occurrences are counted with partial sums, so a line
 that a third of all documents share is one row a task.  Blocks hold one row for each distinct SimHash; in a bucket all
-are held against one, see common.bucket_components.  Only lines of buckets with company move as text, once, for the
-verification.  Each document's dropped places come back by its id.  Nothing is collected, broadcast or capped.
+are held against one, see common.bucket_components.  Only lines of buckets with company move as text, once, and in
+each round's verification those of its pairs; a membership table of fixed size keeps the others where they are.  Each document's dropped places come back by its id.  Nothing is collected, broadcast or capped.
 
 Defined results: a null text stays null and an empty one empty; rows that repeat a doc_id are one document, treated
 alike; documents with a null doc_id are ordered among the others by the hash of their text; very long lines are compared
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Words, bucket_components, documents, mix, text_steps, unpunctuated, written
+from .common import Words, bucket_components, documents, held, membership, mix, text_steps, unpunctuated, written
 
 BITS = 3
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))  # (shift, width)
@@ -167,8 +167,13 @@ def similar(a: str, b: str, least: float) -> bool:
     return edit_distance(a, b, int((1 - least) * longer + 1e-9)) <= (1 - least) * longer + 1e-9
 
 
-def line_texts(rows: DataFrame) -> DataFrame:
-    """(did, h, line) of (did, text): the normalised lines."""
+def _at_home(h, did):
+    """One number of a line and a document, for membership()."""
+    return h ^ (did << 1) if isinstance(h, np.ndarray) else h.bitwiseXOR(F.shiftleft(did, 1))
+
+
+def line_texts(rows: DataFrame, table: np.ndarray) -> DataFrame:
+    """(did, h, line) of (did, text): the normalised lines that the table may hold."""
 
     def run(batches):
         import pyarrow as pa
@@ -178,15 +183,31 @@ def line_texts(rows: DataFrame) -> DataFrame:
             _, starts, words = _lines(batch.column("text"))
             n = np.diff(words.offsets)
             some = np.flatnonzero(n > 0)
-            line = line_hashes(words.hashes()[words.codes] if len(words.codes) else np.zeros(0, np.uint64), words.offsets)
-            flat = words.distinct.take(pa.array(words.codes))
-            joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(words.offsets), flat), pa.scalar(" ", pa.large_string()))
-            doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-            yield pa.RecordBatch.from_arrays([batch.column("did").take(pa.array(doc[some])), pa.array(line.view(np.int64)), joined.take(pa.array(some)).cast(pa.string())], ["did", "h", "line"])
+            line = line_hashes(words.hashes()[words.codes] if len(words.codes) else np.zeros(0, np.uint64), words.offsets).view(np.int64)
+            did = batch.column("did").to_numpy(zero_copy_only=False)[np.repeat(np.arange(len(starts) - 1), np.diff(starts))[some]]
+            pick = held(table, _at_home(line, did))
+            n, begin = n[some[pick]], words.offsets[:-1][some[pick]]
+            ends = np.concatenate(([0], np.cumsum(n)))
+            at = np.arange(ends[-1]) + np.repeat(begin - ends[:-1], n)
+            flat = words.distinct.take(pa.array(words.codes[at]))
+            joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends), flat), pa.scalar(" ", pa.large_string()))
+            yield pa.RecordBatch.from_arrays([pa.array(did[pick]), pa.array(line[pick]), joined.cast(pa.string())], ["did", "h", "line"])
 
     return rows.select("did", "text").mapInArrow(run, "did long, h long, line string")
 
 
+def only(texts: DataFrame, table: np.ndarray) -> DataFrame:
+    """Rows of (h, line) that the table may hold."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array(held(table, batch.column("h").to_numpy())))
+
+    return texts.mapInArrow(run, texts.schema)
+
+
 def groups(rows: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Of (did, text): the occurrences (did, at, h), and for every line that is not alone (h, root, first_did, lines, members).
 
@@ -205,12 +226,13 @@ def groups(rows: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
     buckets = written(buckets_s.join(lines_of, "s").select("key", "node", "s").unionByName(alike), "line-buckets")
     nodes = buckets.select(F.col("node").alias("h")).distinct().join(distinct, "h").select("h", F.col("first_did").alias("did"))
     nodes = written(nodes, "line-nodes")
-    wanted = line_texts(rows).join(nodes, ["did", "h"]).groupBy("h").agg(F.min("line").alias("line"))
-    texts = written(wanted, "line-texts")
+    found = line_texts(rows, membership(nodes, _at_home(F.col("h"), F.col("did"))))
+    # a line has one first document, so (did, h) is as good a key as h, and rows are dealt by it already
+    texts = written(found.join(nodes, ["did", "h"]).dropDuplicates(["did", "h"]).select("h", "line"), "line-texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a = texts.select(F.col("h").alias("a"), F.col("line").alias("ta"))
-        b = texts.select(F.col("h").alias("b"), F.col("line").alias("tb"))
+        a = only(texts, membership(pairs, F.col("a"))).select(F.col("h").alias("a"), F.col("line").alias("ta"))
+        b = only(texts, membership(pairs, F.col("b"))).select(F.col("h").alias("b"), F.col("line").alias("tb"))
         both = pairs.join(a, "a").join(b, "b")
 
         def run(batches):

@@ -5,8 +5,9 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from prefloom.llm import line_dedup
+from prefloom.llm import common, line_dedup
 from prefloom.llm.common import Words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, did long, h string"
@@ -107,3 +108,13 @@ def test_edit_distance(a, b):
     assert line_dedup.edit_distance(a, b, 10_000) == distance(a, b) or max(len(a), len(b)) <= 10_000
     for least in (0.5, 0.8, 0.95):
         assert line_dedup.similar(a, b, least) == (distance(a, b) <= (1 - least) * max(len(a), len(b)) + 1e-9)
+
+
+def test_membership_holds_every_key(spark):
+    keys = np.random.default_rng(2).integers(-(2**63), 2**63 - 1, 5000)
+    edge = np.array([0, 7, 8, 32767, 32768, (1 << 25) - 1, -1, -(2**63)])
+    df = spark.createDataFrame([(int(k),) for k in np.concatenate((keys, edge))], "k long")
+    table = common.membership(df, F.col("k"))
+    assert common.held(table, np.concatenate((keys, edge))).all()
+    assert common.held(table, np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 5000)).mean() < 0.01
+    assert not common.held(common.membership(df.limit(0), F.col("k")), keys).any()
