@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text that one Arrow step of the numpy operators holds at once; longer single texts are their own step.
-STEP_CHARS = 4_000_000
+STEP_CHARS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
