@@ -1,11 +1,16 @@
-"""Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence of each group.
+"""Fuzzy line dedup: MinHash bands or SimHash blocks of normalised lines, edit similarity, one occurrence of each group.
 
 A line is normalised to lower case with runs of ASCII punctuation and white space as one space.  Lines that are equal
 then are one distinct line, whatever their number.  Its 64-bit SimHash sums hashes of its words and word pairs.  Two
-distinct lines are linked if their SimHashes differ in at most ``BITS`` bits and their edit similarity (1 - distance /
-longer length) is at least ``least``.  The 64 bits are cut into six blocks; three changed bits leave three blocks of
-six untouched, so linked lines share one of the twenty triples of blocks, 32 bits each: the join loses no such pair.
-Of every connected group the first occurrence stays, by doc_id and then by place; lines without a word always stay.
+distinct lines are linked if their edit similarity (1 - distance / longer length) is at least ``least`` and, with a
+``radius``, their SimHashes differ in at most so many bits.  Of every connected group the first occurrence stays, by doc_id and then by place; lines without a word always stay.
+
+Candidates without a radius (op7 and the pipeline): lines that share one of ``BANDS`` MinHash bands, of three minima over
+pairs of neighbouring words, or in lines of fewer than ``SHORT`` characters four minima over runs of three bytes.  Of
+them edit similarity is computed where the lengths allow it and, for longer lines, the SimHashes differ in at most
+``WIDE`` bits.  This is probabilistic; the README has the measured recall by line length.  With a radius of 3, the 64 bits
+are cut into six blocks; three changed bits leave three blocks of six untouched, so linked lines share one of the twenty
+triples of blocks, 32 bits each: the join loses no such pair.
 
 Scale: texts stay where they are; a line is a hash of 8 bytes.  Occurrences are counted with partial sums, so a line
 that a third of all documents share is one row a task.  Blocks hold one row for each distinct SimHash; in a bucket all
@@ -32,6 +37,8 @@ from .common import Words, bucket_components, documents, held, membership, mix,
 BITS = 3
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))  # (shift, width)
 TRIPLES = tuple(combinations(range(6), 3))
+BANDS, PAIR_ROWS, BYTE_ROWS = 24, 3, 4
+SHORT, WIDE = 60, 22
 
 
 def _lines(texts):
@@ -84,8 +91,117 @@ def simhash(word_hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def line_sizes(words: Words) -> np.ndarray:
+    """Characters of each normalised line."""
+    import pyarrow.compute as pc
+
+    each = pc.utf8_length(words.distinct).to_numpy(zero_copy_only=False).astype(np.int64)
+    total = np.concatenate(([0], np.cumsum(each[words.codes] + 1)))
+    return np.maximum(np.diff(total[words.offsets]) - 1, 0)
+
+
+def joined_lines(words: Words, pick: np.ndarray):
+    """The normalised text of the chosen lines, as an Arrow array."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    n, begin = np.diff(words.offsets)[pick], words.offsets[:-1][pick]
+    ends = np.concatenate(([0], np.cumsum(n)))
+    at = np.arange(ends[-1]) + np.repeat(begin - ends[:-1], n)
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends), words.distinct.take(pa.array(words.codes[at]))), pa.scalar(" ", pa.large_string()))
+
+
+def word_pairs(word_hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of neighbouring words of lines that all have words, their ends included, and where each line's begin."""
+    n = np.diff(starts)
+    line = np.arange(len(n))
+    before = np.concatenate((np.zeros(1, np.uint64), word_hashes[:-1]))
+    before[starts[:-1]] = 0
+    out = np.zeros(len(word_hashes) + len(n), np.uint64)
+    out[np.arange(len(word_hashes)) + np.repeat(line, n)] = mix(before ^ mix(word_hashes, 21), 22)
+    out[starts[1:] + line] = mix(word_hashes[starts[1:] - 1], 23)
+    return out, starts[:-1] + line
+
+
+def byte_runs(lines) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of runs of three bytes of lines that are not empty, a space put at both ends, and where each line's begin."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    padded = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), lines, pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string()))
+    _, offsets, data = padded.buffers()
+    offs = np.frombuffer(offsets, np.int64, len(padded) + 1, padded.offset * 8)
+    body = np.frombuffer(data, np.uint8)
+    n = np.diff(offs) - 2
+    starts = np.concatenate(([0], np.cumsum(n)))
+    at = np.arange(starts[-1]) + np.repeat(offs[:-1] - starts[:-1], n)
+    return mix(body[at].astype(np.uint64) | body[at + 1].astype(np.uint64) << np.uint64(8) | body[at + 2].astype(np.uint64) << np.uint64(16), 24), starts[:-1]
+
+
+def bands(features: np.ndarray, starts: np.ndarray, rows: int, salt: int) -> np.ndarray:
+    """The MinHash bands of each line, one row a band."""
+    times = mix(np.arange(BANDS * rows, dtype=np.uint64), salt) | np.uint64(1)
+    out = np.empty((BANDS, len(starts)), np.uint64)
+    for k in range(BANDS):
+        key = np.full(len(starts), salt * BANDS + k, np.uint64)
+        for t in times[k * rows : (k + 1) * rows]:
+            key = mix(key ^ np.minimum.reduceat(features * t, starts), 25)
+        out[k] = key
+    return out
+
+
+def line_bands(words: Words, pick: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Bands of the chosen lines, and the place in `pick` of each; lines of a length between have both kinds."""
+    size = line_sizes(words)[pick]
+    keys, who = [], []
+    far = np.flatnonzero(size >= int(least * SHORT) - 1)
+    if len(far):
+        n, begin = np.diff(words.offsets)[pick[far]], words.offsets[:-1][pick[far]]
+        starts = np.concatenate(([0], np.cumsum(n)))
+        codes = words.codes[np.arange(starts[-1]) + np.repeat(begin - starts[:-1], n)]
+        keys.append(bands(*word_pairs(words.hashes()[codes], starts), PAIR_ROWS, 41))
+        who.append(far)
+    near = np.flatnonzero(size < SHORT)
+    if len(near):
+        keys.append(bands(*byte_runs(joined_lines(words, pick[near])), BYTE_ROWS, 42))
+        who.append(near)
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, int)
+    return np.concatenate([k.ravel() for k in keys]), np.concatenate([np.tile(w, BANDS) for w in who])
+
+
+def band_keys(rows: DataFrame, table: np.ndarray, least: float) -> DataFrame:
+    """(key, node) of (did, text): the bands of the lines that the table may hold."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in text_steps(batches):
+            _, starts, words = _lines(batch.column("text"))
+            some = np.flatnonzero(np.diff(words.offsets) > 0)
+            line = line_hashes(words.hashes()[words.codes] if len(words.codes) else np.zeros(0, np.uint64), words.offsets).view(np.int64)
+            did = batch.column("did").to_numpy(zero_copy_only=False)[np.repeat(np.arange(len(starts) - 1), np.diff(starts))[some]]
+            pick = np.flatnonzero(held(table, _at_home(line, did)))
+            pick = pick[np.unique(line[pick], return_index=True)[1]]
+            key, who = line_bands(words, some[pick], least)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(line[pick][who])], ["key", "node"])
+
+    return rows.select("did", "text").mapInArrow(run, "key long, node long")
+
+
+def plausible(least: float):
+    """Whether two lines of one band may be similar: their lengths, and of longer lines the SimHashes."""
+
+    def close(p, q):
+        a, b = F.col(f"{p}size"), F.col(f"{q}size")
+        bits = F.bit_count(F.col(f"{p}s").bitwiseXOR(F.col(f"{q}s")))
+        return (F.least(a, b) >= F.greatest(a, b) * least - 1e-6) & ((F.least(a, b) < SHORT) | (bits <= WIDE))
+
+    return close
+
+
 def occurrences(rows: DataFrame) -> DataFrame:
-    """(did, at, h, s) of (did, text): place, normalised hash and SimHash of each line that has a word."""
+    """(did, at, h, s, size) of (did, text): place, normalised hash, SimHash and length of each line that has a word."""
 
     def run(batches):
         import pyarrow as pa
@@ -99,9 +215,9 @@ def occurrences(rows: DataFrame) -> DataFrame:
             line = line_hashes(h, words.offsets)
             doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
             at = np.arange(len(doc)) - starts[:-1][doc]
-            yield pa.RecordBatch.from_arrays([batch.column("did").take(pa.array(doc[some])), pa.array(at[some].astype(np.int32)), pa.array(line.view(np.int64)), pa.array(s[some].view(np.int64))], ["did", "at", "h", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column("did").take(pa.array(doc[some])), pa.array(at[some].astype(np.int32)), pa.array(line.view(np.int64)), pa.array(s[some].view(np.int64)), pa.array(line_sizes(words)[some].astype(np.int32))], ["did", "at", "h", "s", "size"])
 
-    return rows.select("did", "text").mapInArrow(run, "did long, at int, h long, s long")
+    return rows.select("did", "text").mapInArrow(run, "did long, at int, h long, s long, size int")
 
 
 def block_keys(s: Column) -> Column:
@@ -177,7 +293,6 @@ def line_texts(rows: DataFrame, table: np.ndarray) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
-        import pyarrow.compute as pc
 
         for batch in text_steps(batches):
             _, starts, words = _lines(batch.column("text"))
@@ -186,12 +301,7 @@ def line_texts(rows: DataFrame, table: np.ndarray) -> DataFrame:
             line = line_hashes(words.hashes()[words.codes] if len(words.codes) else np.zeros(0, np.uint64), words.offsets).view(np.int64)
             did = batch.column("did").to_numpy(zero_copy_only=False)[np.repeat(np.arange(len(starts) - 1), np.diff(starts))[some]]
             pick = held(table, _at_home(line, did))
-            n, begin = n[some[pick]], words.offsets[:-1][some[pick]]
-            ends = np.concatenate(([0], np.cumsum(n)))
-            at = np.arange(ends[-1]) + np.repeat(begin - ends[:-1], n)
-            flat = words.distinct.take(pa.array(words.codes[at]))
-            joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends), flat), pa.scalar(" ", pa.large_string()))
-            yield pa.RecordBatch.from_arrays([pa.array(did[pick]), pa.array(line[pick]), joined.cast(pa.string())], ["did", "h", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(did[pick]), pa.array(line[pick]), joined_lines(words, some[pick]).cast(pa.string())], ["did", "h", "line"])
 
     return rows.select("did", "text").mapInArrow(run, "did long, h long, line string")
 
@@ -208,13 +318,8 @@ def only(texts: DataFrame, table: np.ndarray) -> DataFrame:
     return texts.mapInArrow(run, texts.schema)
 
 
-def groups(rows: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Of (did, text): the occurrences (did, at, h), and for every line that is not alone (h, root, first_did, lines, members).
-
-    first_did is the first document of the group; lines counts its occurrences, members its distinct lines.
-    """
-    seen = written(occurrences(rows), "lines")
-    distinct = written(seen.groupBy("h").agg(F.min("s").alias("s"), F.min("did").alias("first_did"), F.count(F.lit(1)).alias("n")), "distinct")
+def _block_buckets(distinct: DataFrame) -> DataFrame:
+    """(key, node, s): lines whose SimHashes share three blocks with another's."""
     # nodes are distinct lines; a SimHash's smallest line stands for it in the blocks
     heads = distinct.groupBy("s").agg(F.min("h").alias("head"), F.count(F.lit(1)).alias("same"))
     keys = heads.select(F.explode(block_keys(F.col("s"))).alias("key"), "s")
@@ -223,7 +328,25 @@ def groups(rows: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
     # lines of one SimHash share a bucket too
     lines_of = distinct.select("s", F.col("h").alias("node"))
     alike = lines_of.join(heads.where("same > 1").select("s"), "s").select(F.xxhash64(F.lit("s"), "s").alias("key"), "node", "s")
-    buckets = written(buckets_s.join(lines_of, "s").select("key", "node", "s").unionByName(alike), "line-buckets")
+    return buckets_s.join(lines_of, "s").select("key", "node", "s").unionByName(alike)
+
+
+def groups(rows: DataFrame, least: float = 0.8, radius: int | None = BITS) -> tuple[DataFrame, DataFrame]:
+    """Of (did, text): the occurrences (did, at, h), and for every line that is not alone (h, root, first_did, lines, members).
+
+    first_did is the first document of the group; lines counts its occurrences, members its distinct lines.
+    """
+    seen = written(occurrences(rows), "lines")
+    distinct = written(seen.groupBy("h").agg(F.min("s").alias("s"), F.min("size").alias("size"), F.min("did").alias("first_did"), F.count(F.lit(1)).alias("n")), "distinct")
+    if radius is None:
+        keys = band_keys(rows, membership(distinct, _at_home(F.col("h"), F.col("first_did"))), least)
+        near = keys.withColumn("low", F.min("node").over(Window.partitionBy("key"))).withColumn("high", F.max("node").over(Window.partitionBy("key"))).where("low < high")
+        company = written(near.select("key", "node"), "line-company").distinct()
+        buckets = written(company.join(distinct.select(F.col("h").alias("node"), "s", "size"), "node").select("key", "node", "s", "size"), "line-buckets")
+        close = plausible(least)
+    else:
+        buckets = written(_block_buckets(distinct), "line-buckets")
+        close = lambda p, q: F.bit_count(F.col(f"{p}s").bitwiseXOR(F.col(f"{q}s"))) <= radius
     nodes = buckets.select(F.col("node").alias("h")).distinct().join(distinct, "h").select("h", F.col("first_did").alias("did"))
     nodes = written(nodes, "line-nodes")
     found = line_texts(rows, membership(nodes, _at_home(F.col("h"), F.col("did"))))
@@ -244,15 +367,15 @@ def groups(rows: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
 
         return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
-    roots, _ = bucket_components(buckets, verify, lambda p, q: F.bit_count(F.col(f"{p}s").bitwiseXOR(F.col(f"{q}s"))) <= BITS, "lines")
+    roots, _ = bucket_components(buckets, verify, close, "lines")
     owner = distinct.join(roots, distinct["h"] == roots["node"], "left").select("h", "first_did", "n", F.coalesce("root", "h").alias("root"))
     per = owner.groupBy("root").agg(F.min("first_did").alias("first"), F.sum("n").alias("lines"), F.count(F.lit(1)).alias("members")).where("lines > 1")
     return seen.select("did", "at", "h"), written(owner.join(per, "root").select("h", "root", F.col("first").alias("first_did"), "lines", "members"), "line-groups")
 
 
-def dropped(rows: DataFrame, least: float = 0.8) -> DataFrame:
+def dropped(rows: DataFrame, least: float = 0.8, radius: int | None = BITS) -> DataFrame:
     """(did, drop): the places of each document's lines that go; documents that lose none are not there."""
-    seen, group = groups(rows, least)
+    seen, group = groups(rows, least, radius)
     again = seen.join(group.select("h", "root", "first_did"), "h")
     # in the group's first document its first place stays, elsewhere none
     first = again.where("did = first_did").groupBy("did", "root").agg(F.min("at").alias("stays"))
@@ -265,10 +388,10 @@ def _cut(text: Column, drop: Column) -> Column:
     return F.array_join(kept, "\n")
 
 
-def deduplicate(docs: DataFrame, least: float = 0.8) -> DataFrame:
+def deduplicate(docs: DataFrame, least: float = 0.8, radius: int | None = BITS) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped, dropped) of every row: the text without the lines that go, and their places."""
     rows = documents(docs)
-    gone = written(dropped(rows, least), "dropped")
+    gone = written(dropped(rows, least, radius), "dropped")
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     out = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(text)).alias("did")).join(gone, "did", "left")
     return out.select(
@@ -277,13 +400,13 @@ def deduplicate(docs: DataFrame, least: float = 0.8) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, least: float = 0.8) -> DataFrame:
+def clean(docs: DataFrame, least: float = 0.8, radius: int | None = BITS) -> DataFrame:
     """The documents without the lines that go, columns as they are; a document whose every line with a word goes is gone.
 
     n_chars, where there is such a column, is the new text's length.
     """
     rows = documents(docs)
-    gone = written(dropped(rows, least), "dropped").withColumnRenamed("did", "__did").withColumnRenamed("drop", "__drop")
+    gone = written(dropped(rows, least, radius), "dropped").withColumnRenamed("did", "__did").withColumnRenamed("drop", "__drop")
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     out = docs.withColumn("__key", F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(text))).join(gone, F.col("__key") == F.col("__did"), "left")
     out = out.withColumn("text", F.when(F.col("__drop").isNull(), F.col("text")).otherwise(_cut(F.col("text"), F.col("__drop"))))

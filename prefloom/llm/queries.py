@@ -36,7 +36,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return line_dedup.deduplicate(table(spark, sf_dir, "documents"), radius=None)
 
 
 def op8_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

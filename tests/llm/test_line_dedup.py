@@ -118,3 +118,24 @@ def test_membership_holds_every_key(spark):
     assert common.held(table, np.concatenate((keys, edge))).all()
     assert common.held(table, np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 5000)).mean() < 0.01
     assert not common.held(common.membership(df.limit(0), F.col("k")), keys).any()
+
+
+def test_lines_with_a_changed_word_are_linked(spark):
+    """Without a radius edit similarity alone decides; all pairs of lines are the measure."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 9)))
+    rows, lines = [], []
+    for n in (2, 3, 4, 6, 8, 12, 20, 28, 45, 90):
+        for _ in range(12):
+            a = [word() for _ in range(n)]
+            b = list(a)
+            i = int(rng.integers(n))
+            b[i] = b[i][:-1] + "0" if n < 6 else "".join(rng.permutation(list(b[i])))
+            lines.append((" ".join(a), " ".join(b)))
+            rows += [(len(rows), lines[-1][0]), (len(rows) + 1, lines[-1][1])]
+    df = spark.createDataFrame([(d, t, "en", "s", 1, 7, "x") for d, t in rows], SCHEMA)
+    gone = {r.doc_id for r in line_dedup.deduplicate(df, radius=None).where("n_dropped = 1").collect()}
+    want = {2 * k + 1 for k, (a, b) in enumerate(lines) if distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9}
+    assert not gone - want
+    assert len(want) >= 110 and len(gone) >= 0.95 * len(want)
+    assert len({r.doc_id for r in line_dedup.deduplicate(df).where("n_dropped = 1").collect()}) < len(gone) / 2
