@@ -13,17 +13,39 @@ LONGEST_FITTED = 100_000
 FOLDS, FOLD = 4, 2
 
 
+def usable_labels(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
+    """(doc_id, y) of every label that may be fitted on: not null, not held out, of a document that is there."""
+    rows = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[column].cast("int").alias("y")).where("doc_id is not null and y is not null")
+    rows = rows.groupBy("doc_id").agg(F.max("y").alias("y")).where(~held_out(F.col("doc_id"), FOLDS, FOLD))
+    have = docs.select(docs["doc_id"].cast("long").alias("doc_id")).where(F.length(docs["text"]) <= LONGEST_FITTED)
+    return rows.join(have, "doc_id", "left_semi")
+
+
+def class_share(docs: DataFrame, labels: DataFrame, column: str) -> float:
+    """The positive class's share of all usable labels, whatever the sample holds of each."""
+    share = usable_labels(docs, labels, column).agg(F.avg((F.col("y") > 0).cast("double"))).first()[0]
+    return 0.0 if share is None else float(share)
+
+
+def at_share(model, y: np.ndarray, share: float):
+    """The fitted logistic function with its intercept moved from the class shares of y to `share`."""
+    mean, scale, w = model
+    have = y.mean()
+    if not 0 < have < 1 or not 0 < share < 1:
+        return model
+    w = w.copy()
+    w[-1] += np.log(share / (1 - share)) - np.log(have / (1 - have))
+    return mean, scale, w
+
+
 def sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int) -> tuple[list[str], np.ndarray]:
     """Texts and 0/1 labels of at most per_class documents of each class, none held out, in an order by a hash of the id.
 
     Ids are chosen from the labels alone, so no text moves but those of the sample.  A doc_id that repeats in the labels
     counts with its largest label; null ids and null labels are not used.
     """
-    rows = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[column].cast("int").alias("y")).where("doc_id is not null and y is not null")
-    rows = rows.groupBy("doc_id").agg(F.max("y").alias("y")).where(~held_out(F.col("doc_id"), FOLDS, FOLD))
+    rows = usable_labels(docs, labels, column)
     order = F.xxhash64(F.lit("fit"), "doc_id")
-    have = docs.select(docs["doc_id"].cast("long").alias("doc_id")).where(F.length(docs["text"]) <= LONGEST_FITTED)
-    rows = rows.join(have, "doc_id", "left_semi")
     chosen = rows.where("y > 0").orderBy(order, "doc_id").limit(per_class).unionByName(rows.where("y <= 0").orderBy(order, "doc_id").limit(per_class))
     ids = {r[0]: int(r[1] > 0) for r in chosen.collect()}  # at most 2 * per_class
     if not ids:

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import Words, mix, string_hashes
-from .labelled import fit_logistic, logistic, sample, scored
+from .labelled import at_share, class_share, fit_logistic, logistic, sample, scored
 
 _KIND = np.zeros(256, np.uint8)  # 1 lower, 2 upper, 3 digit, 4 space, 5 other ASCII, 6 part of a longer code point
 for _c in range(256):
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> Model:
     import pyarrow as pa
 
     texts, y = sample(docs, labels, "quality", per_class)
-    share = float(y.mean()) if len(y) else 0.0
+    share = class_share(docs, labels, "quality")
     if not len(y) or share in (0.0, 1.0):
         return Model(None, None, share)
     x, size, starts = line_features(pa.array(texts, pa.string()))
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> Model:
     line_y = np.where((line_y == 0) & (g[:, 1] > 0.9) & (g[:, 1] > worst), 1, line_y)
     chain.fit(x, starts, line_y)
     g, _ = chain.marginals(chain.unary(x), starts)
-    calibration = fit_logistic(aggregate(g[:, 1], size, starts)[some], y[some])
+    calibration = at_share(fit_logistic(aggregate(g[:, 1], size, starts)[some], y[some]), y[some], share)
     return Model(chain, calibration, share)
 
 

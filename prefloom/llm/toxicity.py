@@ -8,7 +8,7 @@ length with either, and the difference of the two lengths measures what the toxi
 
 Scoring: each whole text is lower-cased and cut into windows of ``WINDOW`` words; from the differences come the counts
 and shares of windows above several cuts and the largest difference; a logistic function, fitted on sample documents
-that the dictionaries were not made from, calibrates them to a probability.
+that the dictionaries were not made from, calibrates them to a probability, at the class shares of all usable labels and not those of the sample.
 
 Scale: one pass without a shuffle; the model that goes to the executors has a fixed size.  The sample is bounded by
 ``per_class``.  Defined results: null and empty texts have no windows and get the score of a text in which nothing
@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import STEP_CHARS, steps, text_steps
-from .labelled import fit_logistic, logistic, sample, scored
+from .labelled import at_share, class_share, fit_logistic, logistic, sample, scored
 
 WINDOW = 10
 GRAM = 5
@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> Model:
     import pyarrow as pa
 
     texts, y = sample(docs, labels, "toxic", per_class)
-    share = float(y.mean()) if len(y) else 0.0
+    share = class_share(docs, labels, "toxic")
     toxic, ordinary = ([t for t, v in zip(texts, y, strict=True) if v == c] for c in (1, 0))
     if not toxic or not ordinary:
         return Model(b"", b"", None, share)
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> Model:
     sizes = np.array([len(t) for t in rest])  # in steps, so the driver holds the windows of a few texts at once
     x = np.vstack([features(*differences(pa.array(rest[a:b], pa.string()), *pair)) for a, b in steps(sizes, STEP_CHARS // 4)])
     labels_ = np.array([1] * (len(toxic) - cut_t) + [0] * (len(ordinary) - cut_o))
-    calibration = fit_logistic(x, labels_)
+    calibration = at_share(fit_logistic(x, labels_), labels_, share)
     return Model(own + base, other + base, calibration, share)
 
 

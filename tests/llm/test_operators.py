@@ -272,3 +272,22 @@ def test_symbol_probabilities_sum_to_one():
     m = maxent_lm.CLASSES * maxent_lm.PER_CLASS
     f = np.repeat(np.array([[3], [maxent_lm.HISTORY + 9], [2 * maxent_lm.HISTORY + 77]]), m, axis=1)
     assert abs(np.exp(model.log_p(f, np.arange(m))).sum() - 1) < 1e-4
+
+
+def test_scores_do_not_depend_on_the_class_shares_of_the_sample(spark):
+    """A cap that evens the classes out leaves the mean score at the labels' share."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((20_000, 1))
+    y = (rng.random(20_000) < 1 / (1 + np.exp(3 - x[:, 0]))).astype(int)
+    few = np.concatenate((np.flatnonzero(y == 1), np.flatnonzero(y == 0)[: y.sum()]))
+    whole = labelled.logistic(labelled.fit_logistic(x, y), x)
+    capped = labelled.fit_logistic(x[few], y[few])
+    assert labelled.logistic(capped, x).mean() > 0.3 > 0.1 > whole.mean()
+    assert abs(labelled.logistic(labelled.at_share(capped, y[few], y.mean()), x).mean() - whole.mean()) < 0.01
+    base = SF.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    share = labelled.class_share(docs, labels, "toxic")
+    texts, y = labelled.sample(docs, labels, "toxic", 30)
+    assert 0 < share < y.mean()
+    wide, narrow = (toxicity.fit(docs, labels, n).calibration for n in (2500, 30))
+    assert wide[2][-1] < 0 and narrow[2][-1] < 0
