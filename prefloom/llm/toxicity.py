@@ -23,13 +23,15 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import STEP_CHARS, steps, text_steps
+from .common import STEP_CHARS, mix, steps, text_steps, uniform
 from .labelled import at_share, class_share, fit_logistic, logistic, sample, scored
 
 WINDOW = 10
 GRAM = 5
 BASE_BYTES, PHRASE_BYTES = 6000, 2000
 CUTS = (2, 3, 4, 5, 6, 8)
+#: Pieces that the dictionary trainer is given at most, from all places of the sampled texts.
+PIECES = 60_000
 LEAST_SHARE, LEAST_LIFT, LEAST_Z = 0.03, 10, 5
 
 
@@ -83,10 +85,19 @@ def phrases(toxic: list[str], ordinary: list[str]) -> list[str]:
     return out
 
 
+def pieces(texts: list[str], most: int = PIECES) -> list[bytes]:
+    """Pieces of 200 characters from the whole of every text; of more than `most` in all, about `most` by a hash of their place."""
+    plain = [" ".join(["", *_words(t)]) for t in texts]
+    places = np.array([(k, i) for k, t in enumerate(plain) for i in range(0, len(t), 200)], np.int64).reshape(-1, 2)
+    if len(places) > most:
+        places = places[uniform(mix(np.arange(len(places), dtype=np.uint64), 51)) < most / len(places)]
+    return [plain[k][i : i + 200].encode() for k, i in places]
+
+
 def _trained(texts: list[str], size: int) -> bytes:
     import zstandard
 
-    samples = [" ".join(["", *_words(t)])[i : i + 200].encode() for t in texts for i in range(0, min(len(t), 4000), 200)][:60_000]
+    samples = pieces(texts)
     try:
         return zstandard.train_dictionary(size, samples, k=32, d=6, level=3).as_bytes()[-size * 3 // 4 :]
     except zstandard.ZstdError:  # too few samples for the trainer: the text itself

@@ -291,3 +291,13 @@ def test_scores_do_not_depend_on_the_class_shares_of_the_sample(spark):
     assert 0 < share < y.mean()
     wide, narrow = (toxicity.fit(docs, labels, n).calibration for n in (2500, 30))
     assert wide[2][-1] < 0 and narrow[2][-1] < 0
+
+
+def test_dictionary_pieces_come_from_whole_texts():
+    texts = [f"head{k} " + "filler " * 2000 + f"tail{k}" for k in range(30)]
+    all_of_it = b"".join(toxicity.pieces(texts))
+    assert all(f"tail{k}".encode() in all_of_it for k in range(30))
+    thin = toxicity.pieces(texts, 500)
+    assert 350 < len(thin) < 650
+    last = toxicity.pieces([" ".join(str(i) for i in range(20_000))], 50)
+    assert max(int(x.split()[1]) for x in last) > 15_000
