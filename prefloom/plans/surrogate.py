@@ -115,31 +115,35 @@ def bilinear_ridge_sparse(spark, sf_dir):
     return linalg.projected(rows, "zs", b, out="sb").select("y", vectors.dot("sb", "zd").alias("p")).agg(*scores.fit_metrics("y", "p"))
 
 
-def _factors(spark, sf_dir, k=8):
-    """Factors of the filled matrix of suppliers by parts' sizes: its left Gram matrix is of fixed size."""
-    rows = fixtures.cells(spark, sf_dir).groupBy((F.col("system_row") % 32).alias("system_row"), (F.col("response_col") % 512).alias("response_col")).agg(F.avg("target").alias("target"))
-    m = np.zeros((32, 512))
-    for r in rows.collect():  # at most 32 x 512 cells
-        m[r[0], r[1]] = r[2]
-    return m, linalg.factor_targets(m, k)
+def _last_cells(cells):
+    """One row a cell: of repeated cells the last write."""
+    return cells.groupBy("system_row", "response_col").agg(F.max(F.struct("entry_id", "target")).getField("target").alias("target"))
+
+
+def table_of_cells(spark, sf_dir):
+    return _last_cells(fixtures.cells(spark, sf_dir))
 
 
 @query()
 def svd_factor_reconstruction(spark, sf_dir):
-    m, (zs, zp) = _factors(spark, sf_dir)
-    e = m - zs @ zp.T
-    return spark.createDataFrame([(8, float(np.sqrt((e**2).mean())), float(1 - (e**2).sum() / (m**2).sum()))], "k long, rmse double, explained double")
+    """Error of the first factors over the whole grid: |M|^2 less the factors' part, as they are singular triples of M."""
+    cells = table_of_cells(spark, sf_dir)
+    zs, zp, values = linalg.sparse_factors(cells, 8)
+    whole = cells.agg(F.sum(F.col("target") ** 2), F.countDistinct("system_row"), F.countDistinct("response_col")).first()
+    left = max(whole[0] - float((values**2).sum()), 0.0)
+    return spark.createDataFrame([(8, float(np.sqrt(left / (whole[1] * whole[2]))), float(1 - left / whole[0]))], "k long, rmse double, explained double")
 
 
 @query()
 def svd_score(spark, sf_dir):
     """Linear maps of vectors to factor targets, and the score psi(s) . (phi+ - phi-) of every instruction."""
     prompts, dirs = fixtures.vector_roles(spark, sf_dir)
-    _, (zs, zp) = _factors(spark, sf_dir)
+    zs, zp, _ = linalg.sparse_factors(table_of_cells(spark, sf_dir), 8)
     rng = np.random.default_rng(0)
     ws, wp = rng.standard_normal((DIM, 8)) / 8, rng.standard_normal((DIM, 8)) / 8  # maps to the factor space, given
-    s = linalg.projected(prompts, "e", ws * np.abs(zs).mean(), out="z").select("prompt_id", F.col("z").alias("e"))
-    d = linalg.projected(dirs, "d", wp * np.abs(zp).mean(), out="z").select("pair_id", F.col("z").alias("d"))
+    size_s, size_p = (z.select(F.explode("z").alias("v")).agg(F.avg(F.abs("v"))).first()[0] for z in (zs, zp))
+    s = linalg.projected(prompts, "e", ws * size_s, out="z").select("prompt_id", F.col("z").alias("e"))
+    d = linalg.projected(dirs, "d", wp * size_p, out="z").select("pair_id", F.col("z").alias("d"))
     return vectors.ranked_scores(vectors.score_table(vectors.grid_scores(s, d)), digits=3)
 
 

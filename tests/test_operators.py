@@ -202,3 +202,14 @@ def test_sources(spark, tmp_path):
     a, b = tables.fingerprint(df, "text_id").first(), tables.fingerprint(df.orderBy(F.desc("text_id")), "text_id").first()
     assert a == b and a.n == 2
     assert json.loads(tables.as_document(df.limit(1)).first()[0])["text_id"] == "t1"
+
+
+def test_factors_are_of_the_whole_matrix(spark):
+    rng = np.random.default_rng(4)
+    m = rng.standard_normal((40, 700)) * (rng.random((40, 700)) < 0.2)
+    cells = spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m))], "system_row long, response_col long, target double")
+    zs, zp, values = linalg.sparse_factors(cells, 8)
+    a, b = {r.system_row: r.z for r in zs.collect()}, {r.response_col: r.z for r in zp.collect()}
+    want_s, want_p = linalg.factor_targets(m, 8)
+    got = np.array([a.get(i, [0] * 8) for i in range(40)]) @ np.array([b.get(j, [0] * 8) for j in range(700)]).T
+    assert np.allclose(got, want_s @ want_p.T, atol=1e-6) and np.allclose(values, np.linalg.svd(m)[1][:8])
