@@ -136,17 +136,27 @@ def svd_factor_reconstruction(spark, sf_dir):
 
 @query()
 def svd_score(spark, sf_dir):
-    """Linear maps of vectors to factor targets, and the score psi(s) . (phi+ - phi-) of every instruction."""
+    """Maps of vectors to factor targets by ridge, and the score psi(s) . (phi+ - phi-) of every instruction.
+
+    A system's embedding is the instruction whose number it has, modulo their count, and a column's is the direction's in
+    the same way, as the tables hold no vectors of suppliers and parts.
+    """
     prompts, dirs = fixtures.vector_roles(spark, sf_dir)
     zs, zp, _ = linalg.sparse_factors(table_of_cells(spark, sf_dir), 8)
-    rng = np.random.default_rng(0)
-    ws, wp = rng.standard_normal((DIM, 8)) / 8, rng.standard_normal((DIM, 8)) / 8  # maps to the factor space, given
-    size_s, size_p = (z.select(F.explode("z").alias("v")).agg(F.avg(F.abs("v"))).first()[0] for z in (zs, zp))
-    s = linalg.projected(prompts, "e", ws * size_s, out="z").select("prompt_id", F.col("z").alias("e"))
-    d = linalg.projected(dirs, "d", wp * size_p, out="z").select("pair_id", F.col("z").alias("d"))
+    ws, wp = (linalg.ridge(linalg.moments(_paired(rows, key, vector, z, zkey), vector, [f"y{i}" for i in range(8)]), 1e-3) for rows, key, vector, z, zkey in ((prompts, "prompt_id", "e", zs, "system_row"), (dirs, "pair_id", "d", zp, "response_col")))
+    s = linalg.projected(prompts, "e", ws, out="z").select("prompt_id", F.col("z").alias("e"))
+    d = linalg.projected(dirs, "d", wp, out="z").select("pair_id", F.col("z").alias("d"))
     return vectors.ranked_scores(vectors.score_table(vectors.grid_scores(s, d)), digits=3)
 
 
+def _paired(rows, key, vector, z, zkey):
+    """Vectors with the factor targets y0 to y7 of the system or column that falls to them."""
+    n = rows.count()
+    numbered = select.with_rank(rows.select(key, vector), [F.col(key).asc()], "at").select((F.col("at") - 1).alias("at"), vector)
+    targets = z.select((F.col(zkey) % n).alias("at"), *(F.col("z")[i].alias(f"y{i}") for i in range(8)))
+    return targets.join(numbered, "at").select(vector, *(f"y{i}" for i in range(8)))
+
+
 _CELLS = "cells AS (SELECT l_orderkey * 10 + l_linenumber AS entry_id, l_suppkey AS system_row, l_partkey AS response_col, l_extendedprice AS target FROM lineitem)"
 _LAST = "lastcell AS (SELECT system_row, response_col, list(target ORDER BY entry_id DESC, target DESC)[1] AS target FROM cells WHERE response_col <= 200 GROUP BY ALL)"
 

@@ -213,3 +213,14 @@ def test_factors_are_of_the_whole_matrix(spark):
     want_s, want_p = linalg.factor_targets(m, 8)
     got = np.array([a.get(i, [0] * 8) for i in range(40)]) @ np.array([b.get(j, [0] * 8) for j in range(700)]).T
     assert np.allclose(got, want_s @ want_p.T, atol=1e-6) and np.allclose(values, np.linalg.svd(m)[1][:8])
+
+
+def test_maps_are_fitted_to_the_factor_targets(spark):
+    from prefloom.plans import surrogate
+
+    rng = np.random.default_rng(9)
+    e, w = rng.standard_normal((30, 6)), rng.standard_normal((6, 8))
+    rows = spark.createDataFrame([(3 * i, v.tolist()) for i, v in enumerate(e)], "prompt_id long, e array<double>")
+    z = spark.createDataFrame([(i, (e[i % 30] @ w).tolist()) for i in range(90)], "system_row long, z array<double>")
+    m = linalg.moments(surrogate._paired(rows, "prompt_id", "e", z, "system_row"), "e", [f"y{i}" for i in range(8)])
+    assert m["n"] == 90 and np.allclose(linalg.ridge(m, 1e-9), w, atol=1e-6)
