@@ -161,17 +161,26 @@ _CELLS = "cells AS (SELECT l_orderkey * 10 + l_linenumber AS entry_id, l_suppkey
 _LAST = "lastcell AS (SELECT system_row, response_col, list(target ORDER BY entry_id DESC, target DESC)[1] AS target FROM cells WHERE response_col <= 200 GROUP BY ALL)"
 
 
+def filled(cells, rule: str):
+    """The grid of all systems by all columns of the cells: last write wins in a repeated cell, empty cells are filled."""
+    last = _last_cells(cells)
+    systems, cols = last.select("system_row").distinct(), last.groupBy("response_col").agg(F.avg("target").alias("col_mean"))
+    overall = last.agg(F.avg("target").alias("all_mean"))
+    full = systems.crossJoin(cols).crossJoin(F.broadcast(overall)).join(last, ["system_row", "response_col"], "left")
+    empty = {"column_mean": F.coalesce("col_mean", "all_mean"), "global_mean": F.col("all_mean"), "zero": F.lit(0.0)}[rule]
+    return full.select("system_row", "response_col", F.round(F.coalesce("target", empty), 2).alias("target"))
+
+
 def _fill(rule: str, sql: str):
     def run(spark, sf_dir):
-        """The grid of all systems by the first columns: last write wins in a repeated cell, empty cells are filled."""
-        c = fixtures.cells(spark, sf_dir).where("response_col <= 200")
-        last = c.groupBy("system_row", "response_col").agg(F.max(F.struct("entry_id", "target")).getField("target").alias("target"))
-        systems, cols = last.select("system_row").distinct(), last.groupBy("response_col").agg(F.avg("target").alias("col_mean"))
-        overall = last.agg(F.avg("target").alias("all_mean"))
-        full = systems.crossJoin(cols).crossJoin(F.broadcast(overall)).join(last, ["system_row", "response_col"], "left")
-        empty = {"column_mean": F.coalesce("col_mean", "all_mean"), "global_mean": F.col("all_mean"), "zero": F.lit(0.0)}[rule]
-        return full.select("system_row", "response_col", F.round(F.coalesce("target", empty), 2).alias("target"))
+        """The grid over the first 200 columns alone, as the SQL has it; the whole grid is matrix_fill_whole_*."""
+        return filled(fixtures.cells(spark, sf_dir).where("response_col <= 200"), rule)
+
+    def whole(spark, sf_dir):
+        return filled(fixtures.cells(spark, sf_dir), rule)
 
+    whole.__name__ = f"matrix_fill_whole_{rule}"
+    QUERIES[whole.__name__] = (whole, None)
     run.__name__ = f"matrix_fill_{rule}"
     QUERIES[run.__name__] = (run, f"""WITH {_CELLS}, {_LAST}, s AS (SELECT DISTINCT system_row FROM lastcell), c AS (SELECT response_col, avg(target) AS col_mean FROM lastcell GROUP BY 1), g AS (SELECT avg(target) AS all_mean FROM lastcell)
 SELECT system_row, response_col, round(coalesce(target, {sql}), 2) AS target FROM s CROSS JOIN c CROSS JOIN g LEFT JOIN lastcell USING (system_row, response_col)""")

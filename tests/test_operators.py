@@ -224,3 +224,15 @@ def test_maps_are_fitted_to_the_factor_targets(spark):
     z = spark.createDataFrame([(i, (e[i % 30] @ w).tolist()) for i in range(90)], "system_row long, z array<double>")
     m = linalg.moments(surrogate._paired(rows, "prompt_id", "e", z, "system_row"), "e", [f"y{i}" for i in range(8)])
     assert m["n"] == 90 and np.allclose(linalg.ridge(m, 1e-9), w, atol=1e-6)
+
+
+def test_fill_covers_every_column(spark):
+    from prefloom.plans import surrogate
+
+    rows = [(1, 1, 7, 2.0), (2, 1, 7, 4.0), (3, 2, 900, 10.0), (4, 3, 20_000, 1.0)]
+    cells = spark.createDataFrame(rows, "entry_id long, system_row long, response_col long, target double")
+    known = {(1, 7): 4.0, (2, 900): 10.0, (3, 20_000): 1.0}
+    for rule, empty in (("column_mean", {7: 4.0, 900: 10.0, 20_000: 1.0}), ("global_mean", dict.fromkeys((7, 900, 20_000), 5.0)), ("zero", dict.fromkeys((7, 900, 20_000), 0.0))):
+        got = {(r.system_row, r.response_col): r.target for r in surrogate.filled(cells, rule).collect()}
+        assert got == {(i, j): known.get((i, j), empty[j]) for i in (1, 2, 3) for j in empty}
+    assert {f"matrix_fill_whole_{r}" for r in ("column_mean", "global_mean", "zero")} <= set(surrogate.QUERIES)
