@@ -145,6 +145,7 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 5, eps: float = 4.0, s
     Blocks are cut by ranges of vec_id, so that one holds query_block rows (more only where one id repeats).
     """
     spark = codes.sparkSession
+    queries = queries.dropDuplicates(["vec_id", "vector"])  # an equal row would give every candidate twice
     n = queries.count()
     parts: list[DataFrame] = []
     blocks = max(1, -(-n // query_block))

@@ -301,3 +301,12 @@ def test_dictionary_pieces_come_from_whole_texts():
     assert 350 < len(thin) < 650
     last = toxicity.pieces([" ".join(str(i) for i in range(20_000))], 50)
     assert max(int(x.split()[1]) for x in last) > 15_000
+
+
+def test_repeated_query_rows_keep_all_neighbours(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(1, 30)]
+    q = (50, rng.standard_normal(8).tolist())
+    schema = "vec_id long, embedding array<double>"
+    once, twice = ([(r.rank, r.vec_id) for r in ann.nearest(spark.createDataFrame(x, schema)).orderBy("rank").collect()] for x in ([*rows, q], [*rows, q, q]))
+    assert len({v for _, v in twice}) == 5 and once == twice
