@@ -128,15 +128,16 @@ def steps(lengths: np.ndarray, most: int = STEP_CHARS):
         at = to
 
 
-def text_steps(batches, column: str = "text"):
-    """Arrow batches cut into slices of bounded text."""
+def text_steps(batches, column: str = "text", most: int = STEP_CHARS):
+    """Arrow batches cut into steps of bounded text, each copied: string kernels on a slice of a larger buffer have lost words (ascii_lower)."""
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     for batch in batches:
         if batch.num_rows:
             sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-            for a, b in steps(sizes):
-                yield batch.slice(a, b - a)
+            for a, b in steps(sizes, most):
+                yield batch.take(pa.array(np.arange(a, b)))
 
 
 #: A membership table has 2^25 bits, 4 MB, whatever the number of keys.

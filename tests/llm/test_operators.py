@@ -7,11 +7,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from prefloom.llm import ann, decontam, labelled, maxent_lm, mixing, quality, secrets, toxicity, warc
-from prefloom.llm.common import components
+from prefloom.llm.common import components, text_steps
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, tk long"
@@ -264,6 +265,23 @@ def test_scores_of_the_language_model(spark):
     assert maxent_lm.score(frame(spark, [])).count() == 0
 
 
+def test_steps_of_a_batch_lose_no_word():
+    """Texts cut into several steps have the tokens that the whole batch has."""
+    texts = [f"Head{k} a B c\nD {k % 7} é" * (k % 9) for k in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    want = Counter(w for t in texts for w in re.findall(r"[^\x20\x09-\x0D]+", t.translate(lower)))
+    for most in (50, 1000, 10**9):
+        got, ends = Counter(), 0
+        for step in text_steps([batch], most=most):
+            codes, starts, h, _, size = maxent_lm._tokens(step)
+            assert starts[-1] == len(codes) == size.sum()
+            got.update(h[codes].tolist())
+            ends += step.num_rows
+        assert got.pop(int(maxent_lm.END)) == ends == len(texts)
+        assert sorted(got.values()) == sorted(want.values())
+
+
 def test_symbol_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     model = maxent_lm.Model(np.sort(rng.integers(0, 2**63, 100).astype(np.uint64)), np.arange(100), np.ones(maxent_lm.SIGNATURES), np.ones(maxent_lm.SIGNATURES))
