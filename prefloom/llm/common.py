@@ -1,8 +1,4 @@
-"""What the corpus operators share: the shared folder, row keys, hashing in numpy, and connected components.
-
-Row keys.  Operators that regroup lines or classes of a document address it by ``did``: its doc_id, or,
-where doc_id is null, the hash of its text.  Rows that repeat a doc_id are one document to them.
-"""
+"""What the corpus operators share: the shared folder, hashing in numpy, membership tables, and connected components."""
 
 from __future__ import annotations
 
@@ -48,13 +44,6 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def documents(docs: DataFrame, *more: str) -> DataFrame:
-    """did and text ('' for null), plus the named columns; other columns of the input are not looked at."""
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    did = F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(text))
-    return docs.select(did.alias("did"), text.alias("text"), *(docs[c] for c in more))
-
-
 def held_out(doc_id, folds: int, fold: int):
     """crc32 of the id's text modulo folds equals fold; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
@@ -165,6 +154,20 @@ def held(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
+def may_hold(df: DataFrame, key, keys: DataFrame, of, out: str) -> DataFrame:
+    """df with a boolean column `out`: whether `key` may be among the keys `of` of the other table; never False for one that is.
+
+    As membership(), but in the JVM: a bitmap of 2^25 bits in 1,024 rows, so what is broadcast is 4 MB whatever the
+    table's size.  Rows that it rules out are spared the shuffle of the exact join that must follow for the others.
+    """
+    place = lambda k: k.bitwiseAND((1 << TABLE_BITS) - 1) + 1
+    bits = keys.groupBy(F.bitmap_bucket_number(place(of)).alias(f"{out}_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place(of))).alias(f"{out}_bits"))
+    at = F.bitmap_bit_position(place(key)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(f"{out}_bits"), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, at.bitwiseAND(7)) == 1, F.lit(False))
+    return df.join(F.broadcast(bits), F.bitmap_bucket_number(place(key)) == F.col(f"{out}_part"), "left").withColumn(out, hit).drop(f"{out}_part", f"{out}_bits")
+
+
 # -- connected components -----------------------------------------------------------------------------------
 
 
@@ -201,56 +204,68 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
 
 
 #: Rounds in which a bucket's nodes are held against one of them, before all pairs of what is still apart.
-STAR_ROUNDS = 4
+STAR_ROUNDS = 2
 
 
-def bucket_components(buckets: DataFrame, verify, close, name: str) -> tuple[DataFrame, DataFrame]:
+def bucket_components(pairs: DataFrame, buckets: DataFrame, marks: DataFrame, verify, close, name: str) -> tuple[DataFrame, DataFrame]:
     """Components of the nodes that share a bucket, are close, and pass verify.
 
-    buckets is (key, node, marks...); close(p, q) is a cheap condition on the columns of two nodes, named with prefixes p
-    and q; verify maps (a, b) to the pairs linked.  In a round, each bucket's nodes are held against one of them, another
-    in every round, where it is in another component.  So a bucket of n mutual copies costs n - 1 checks, and a group of
-    which only some pairs are linked grows together in few.  What is then still in different components of a bucket is
-    held against each other, all pairs; the join itself applies `close`, so only plausible pairs are rows.  Nodes of one
+    pairs (a, b) are what small buckets hold; buckets (key, node) are the larger ones; marks has a row for each node.
+    close(p, q) is a condition on the marks of two nodes, with the prefixes p and q, that no linked pair fails or hardly
+    any; verify maps (a, b) to the pairs linked.  In a round, the nodes of each bucket are held against one of them,
+    another in every round, where it is in another component, and buckets that have become one component drop out.  So a
+    bucket of n mutual copies costs n - 1 checks.  What is then still apart in a bucket is held against each other within
+    the join itself, so that only pairs that `close` lets pass are rows; `close` should therefore be sharp.  Nodes of one
     component need no pair, so no link between components is lost.  Returns the (node, root) of linked nodes, and the
     links found.
     """
     spark = buckets.sparkSession
-    cols = [c for c in buckets.columns if c != "key"]
+    fields = [c for c in marks.columns if c != "node"]
     roots, links, tried = spark.createDataFrame([], "node long, root long"), None, None
 
-    def fresh(joined: DataFrame) -> DataFrame:
-        pairs = joined.select(F.least("p_node", "q_node").alias("a"), F.greatest("p_node", "q_node").alias("b")).distinct()
-        return written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), f"{name}-pairs")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        found = written(verify(pairs), f"{name}-linked")
-        return found if links is None else links.unionByName(found)
-
-    def side(prefix: str) -> DataFrame:
-        at = buckets.join(roots.withColumnRenamed("node", "__n").withColumnRenamed("root", "__root"), F.col("node") == F.col("__n"), "left")
-        return at.select("key", *(F.col(c).alias(prefix + c) for c in cols), F.coalesce("__root", "node").alias(f"{prefix}root"))
-
+    def known(rows: DataFrame, node: str, prefix: str) -> DataFrame:
+        return rows.join(marks.select(F.col("node").alias(node), *(F.col(c).alias(prefix + c) for c in fields)), node)
+
+    def checked(rows: DataFrame, at: str) -> None:
+        """Verify the pairs (a, b) of rows that were not tried before."""
+        nonlocal links, tried, roots
+        new = rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        new = written(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), f"{name}-pairs")
+        if new.isEmpty():
+            return
+        found = written(verify(new), f"{name}-linked")
+        tried = new if tried is None else tried.unionByName(new)
+        links = found if links is None else links.unionByName(found)
+        if not found.isEmpty():
+            roots = components(links.select("a", "b"), f"{name}-cc{at}")
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        found = roots.select(F.col("node"), F.col("root").alias("found"))
+        return rows.join(found, "node", "left").select(*rows.columns, F.coalesce("found", "node").alias("root"))
+
+    live = known(buckets, "node", "p_")
     for salt in range(STAR_ROUNDS):
-        p = side("p_")
-        fields = ["p_node", "p_root", *(f"p_{c}" for c in cols if c != "node")]
-        one = p.groupBy("key").agg(F.min(F.struct(F.xxhash64("p_node", F.lit(salt)).alias("h"), *fields)).alias("f"))
-        one = one.select("key", *(F.col(f"f.{c}").alias("q" + c[1:]) for c in fields))
-        pairs = fresh(p.join(one, "key").where((F.col("p_root") != F.col("q_root")) & close("p_", "q_")))
-        if pairs.isEmpty():
-            break
-        links = linked(pairs)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        roots = components(links.select("a", "b"), f"{name}-cc{salt}")
-    p = side("p_")
-    apart = p.groupBy("key").agg(F.min("p_root").alias("low"), F.max("p_root").alias("high")).where("low < high").select("key")
+        p = rooted(live)
+        apart = p.groupBy("key").agg(
+            F.min("root").alias("low"), F.max("root").alias("high"),
+            F.min(F.struct(F.xxhash64("node", F.lit(salt)).alias("h"), "node", "root", *(f"p_{c}" for c in fields))).alias("one"),
+        ).where("low < high").select("key", F.col("one.node").alias("q_node"), F.col("one.root").alias("q_root"), *(F.col(f"one.p_{c}").alias(f"q_{c}") for c in fields))
+        both = written(p.join(apart, "key"), f"{name}-star")
+        last, live = live, both.select(*live.columns)
+        star = both.where((F.col("root") != F.col("q_root")) & close("p_", "q_")).select(F.col("node").alias("a"), F.col("q_node").alias("b"))
+        if salt == 0:
+            small = known(known(pairs.select("a", "b").distinct(), "a", "p_"), "b", "q_").where(close("p_", "q_")).select("a", "b")
+            star = star.unionByName(small)
+        checked(star, str(salt))
+        if salt:
+            forget(spark, last)
+    p = rooted(live)
+    apart = p.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     p = written(p.join(apart, "key", "left_semi"), f"{name}-apart")
-    q = p.select(F.col("key").alias("q_key"), *(F.col(c).alias("q" + c[1:]) for c in p.columns if c != "key"))
-    pairs = fresh(p.join(q, (F.col("key") == F.col("q_key")) & (F.col("p_node") < F.col("q_node")) & (F.col("p_root") != F.col("q_root")) & close("p_", "q_")))
-    if not pairs.isEmpty():
-        links = linked(pairs)
-        roots = components(links.select("a", "b"), f"{name}-cc")
-    return roots, links if links is not None else verify(pairs)
+    if not p.isEmpty():
+        q = p.select(F.col("key").alias("q_key"), F.col("node").alias("q_node"), F.col("root").alias("q_root"), *(F.col(f"p_{c}").alias(f"q_{c}") for c in fields))
+        checked(p.join(q, (F.col("key") == F.col("q_key")) & (F.col("node") < F.col("q_node")) & (F.col("root") != F.col("q_root")) & close("p_", "q_")).select(F.col("node").alias("a"), F.col("q_node").alias("b")), "")
+    return roots, links if links is not None else verify(pairs.select("a", "b").limit(0))
 
 
 # -- words in Arrow -----------------------------------------------------------------------------------------

@@ -13,13 +13,16 @@ are cut into six blocks; three changed bits leave three blocks of six untouched,
 triples of blocks, 32 bits each: the join loses no such pair.
 
 Scale: texts stay where they are; a line is a hash of 8 bytes.  Occurrences are counted with partial sums, so a line
-that a third of all documents share is one row a task.  Blocks hold one row for each distinct SimHash; in a bucket all
-are held against one, see common.bucket_components.  Only lines of buckets with company move as text, once, and in
-each round's verification those of its pairs; a membership table of fixed size keeps the others where they are.  Each document's dropped places come back by its id.  Nothing is collected, broadcast or capped.
-
-Defined results: a null text stays null and an empty one empty; rows that repeat a doc_id are one document, treated
-alike; documents with a null doc_id are ordered among the others by the hash of their text; very long lines are compared
-whole; columns other than doc_id and text are not looked at, and clean() returns them as they are.
+that a third of all documents share is one row a task.  Keys of bands go through the shuffle as packed ranges of
+bounded size; where they meet, keys without company end, a small bucket becomes its pairs, and larger buckets go to
+common.bucket_components; a range that grows is compacted, so no task holds a bucket.  Only lines with company move as
+text, once, and in each round's verification those of its pairs.  A membership table of fixed size keeps other lines,
+and documents that lose no line, out of the shuffles.  Nothing is collected or capped, and what is broadcast is 4 MB.
+
+Defined results: a null text stays null and an empty one empty; rows that repeat a doc_id with the same text are one
+document, treated alike, with other texts they are documents of their own, ordered by a hash; documents with a null
+doc_id are ordered among the others by the hash of their text; very long lines are compared whole; columns other than
+doc_id and text are not looked at, and clean() returns them as they are.
 """
 
 from __future__ import annotations
@@ -32,13 +35,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Words, bucket_components, documents, held, membership, mix, text_steps, unpunctuated, written
+from .common import Words, bucket_components, held, may_hold, membership, mix, text_steps, unpunctuated, written
 
 BITS = 3
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))  # (shift, width)
 TRIPLES = tuple(combinations(range(6), 3))
 BANDS, PAIR_ROWS, BYTE_ROWS = 24, 3, 4
 SHORT, WIDE = 60, 22
+#: Buckets of at most so many lines become all their pairs.
+SMALL = 4
+#: Keys that a range of the bands' key space holds about, that a task packs at once, and that a range is compacted at.
+RANGE_KEYS, PACK_KEYS, MOST_KEYS = 1 << 20, 1 << 20, 1 << 22
+#: Lines above so many characters are compared in Python, by bits, and not by Spark's function of the banded table.
+LONG = 4096
 
 
 def _lines(texts):
@@ -170,23 +179,121 @@ def line_bands(words: Words, pick: np.ndarray, least: float) -> tuple[np.ndarray
     return np.concatenate([k.ravel() for k in keys]), np.concatenate([np.tile(w, BANDS) for w in who])
 
 
-def band_keys(rows: DataFrame, table: np.ndarray, least: float) -> DataFrame:
-    """(key, node) of (did, text): the bands of the lines that the table may hold."""
+def documents(docs: DataFrame) -> DataFrame:
+    """did (the order), dk (the document: a hash of its id and text) and text ('' for null)."""
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(text)).alias("did"), text.alias("text"))
+    return rows.select("did", F.xxhash64("did", "text").alias("dk"), "text")
+
+
+def packed(key: np.ndarray, node: np.ndarray, ranges: int):
+    """(ranges, bodies): the pairs of key and node by range of the key, a body for each range that has any."""
+    order = np.argsort(key)
+    key, node = key[order], node[order]
+    at = (key >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+    cut = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    both = np.stack((key, node.view(np.uint64)), axis=1)
+    return at[cut].astype(np.int32), [x.tobytes() for x in np.split(both, cut[1:])]
+
+
+def packed_bands(rows: DataFrame, table: np.ndarray, least: float, ranges: int) -> DataFrame:
+    """(part, body) of (dk, text): the bands of the lines that the table may hold, packed by range of the key."""
 
     def run(batches):
         import pyarrow as pa
 
+        keys, nodes, n = [], [], 0
+
+        def flush():
+            part, body = packed(np.concatenate(keys), np.concatenate(nodes), ranges)
+            return pa.RecordBatch.from_arrays([pa.array(part), pa.array(body, pa.binary())], ["part", "body"])
+
         for batch in text_steps(batches):
             _, starts, words = _lines(batch.column("text"))
             some = np.flatnonzero(np.diff(words.offsets) > 0)
             line = line_hashes(words.hashes()[words.codes] if len(words.codes) else np.zeros(0, np.uint64), words.offsets).view(np.int64)
-            did = batch.column("did").to_numpy(zero_copy_only=False)[np.repeat(np.arange(len(starts) - 1), np.diff(starts))[some]]
-            pick = np.flatnonzero(held(table, _at_home(line, did)))
+            dk = batch.column("dk").to_numpy()[np.repeat(np.arange(len(starts) - 1), np.diff(starts))[some]]
+            pick = np.flatnonzero(held(table, _at_home(line, dk)))
             pick = pick[np.unique(line[pick], return_index=True)[1]]
             key, who = line_bands(words, some[pick], least)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(line[pick][who])], ["key", "node"])
+            keys.append(key)
+            nodes.append(line[pick][who])
+            n += len(key)
+            if n >= PACK_KEYS:
+                yield flush()
+                keys, nodes, n = [], [], 0
+        if n:
+            yield flush()
+
+    return rows.select("dk", "text").mapInArrow(run, "part int, body binary")
+
+
+def runs_of(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, node and bucket size of the members of buckets with more than one node, each once, sorted by key and node."""
+    order = np.argsort(key, kind="stable")
+    key, node = key[order], node[order]
+    same = key[1:] == key[:-1]
+    mine = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    key, node = key[mine], node[mine]
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1]))) if len(key) else np.zeros(0, bool)
+    key, node = key[new], node[new]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, int)
+    size = np.diff(np.append(first, len(key)))
+    return key, node, np.repeat(size, size)
+
+
+def company(bands: DataFrame) -> DataFrame:
+    """(large, x, y) of packed bands: the pairs x, y of a small bucket, or key x and node y of a larger one."""
 
-    return rows.select("did", "text").mapInArrow(run, "key long, node long")
+    def run(batches):
+        import pyarrow as pa
+
+        def rows(large: bool, x: np.ndarray, y: np.ndarray):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), large)), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["large", "x", "y"])
+
+        def ended(key, node):
+            key, node, size = runs_of(key, node)
+            big = size > SMALL
+            if big.any():
+                yield rows(True, key[big], node[big])
+            key, node = key[~big], node[~big]
+            for d in range(1, SMALL):
+                k = np.flatnonzero(key[d:] == key[:-d])
+                if len(k):
+                    yield rows(False, node[k], node[k + d])
+
+        def compacted(key, node):
+            """Members of buckets that are large already, but for enough of each to know it by, and what stays."""
+            order = np.lexsort((node, key))
+            key, node = key[order], node[order]
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
+            key, node = key[new], node[new]
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            nth = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
+            return rows(True, key[nth > SMALL], node[nth > SMALL]), key[nth <= SMALL], node[nth <= SMALL]
+
+        part, held_keys, held_nodes, n, limit = None, [], [], 0, MOST_KEYS
+        for batch in batches:
+            for p, body in zip(batch.column("part").to_pylist(), batch.column("body"), strict=True):
+                if p != part and n:
+                    yield from ended(np.concatenate(held_keys), np.concatenate(held_nodes))
+                    held_keys, held_nodes, n, limit = [], [], 0, MOST_KEYS
+                part = p
+                both = np.frombuffer(body.as_buffer(), np.uint64).reshape(-1, 2)
+                held_keys.append(both[:, 0].copy())
+                held_nodes.append(both[:, 1].copy())
+                n += len(both)
+                if n > limit:
+                    large, key, node = compacted(np.concatenate(held_keys), np.concatenate(held_nodes))
+                    yield large
+                    held_keys, held_nodes, n = [key], [node], len(key)
+                    limit = max(MOST_KEYS, 2 * n)
+        if n:
+            yield from ended(np.concatenate(held_keys), np.concatenate(held_nodes))
+
+    return bands.mapInArrow(run, "large boolean, x long, y long")
 
 
 def plausible(least: float):
@@ -200,8 +307,8 @@ def plausible(least: float):
     return close
 
 
-def occurrences(rows: DataFrame) -> DataFrame:
-    """(did, at, h, s, size) of (did, text): place, normalised hash, SimHash and length of each line that has a word."""
+def occurrences(rows: DataFrame, marked: bool) -> DataFrame:
+    """(did, dk, at, h) of (did, dk, text): place and hash of each normalised line that has a word; with `marked` s, its SimHash, too."""
 
     def run(batches):
         import pyarrow as pa
@@ -209,15 +316,14 @@ def occurrences(rows: DataFrame) -> DataFrame:
         for batch in text_steps(batches):
             lines, starts, words = _lines(batch.column("text"))
             h = words.hashes()[words.codes] if len(words.codes) else np.zeros(0, np.uint64)
-            n = np.diff(words.offsets)
-            s = simhash(h, words.offsets)
-            some = np.flatnonzero(n > 0)
+            some = np.flatnonzero(np.diff(words.offsets) > 0)
             line = line_hashes(h, words.offsets)
             doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
             at = np.arange(len(doc)) - starts[:-1][doc]
-            yield pa.RecordBatch.from_arrays([batch.column("did").take(pa.array(doc[some])), pa.array(at[some].astype(np.int32)), pa.array(line.view(np.int64)), pa.array(s[some].view(np.int64)), pa.array(line_sizes(words)[some].astype(np.int32))], ["did", "at", "h", "s", "size"])
+            s = [pa.array(simhash(h, words.offsets)[some].view(np.int64))] if marked else []
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(doc[some])) for c in ("did", "dk")), pa.array(at[some].astype(np.int32)), pa.array(line.view(np.int64)), *s], ["did", "dk", "at", "h", *(["s"] if marked else [])])
 
-    return rows.select("did", "text").mapInArrow(run, "did long, at int, h long, s long, size int")
+    return rows.select("did", "dk", "text").mapInArrow(run, "did long, dk long, at int, h long" + (", s long" if marked else ""))
 
 
 def block_keys(s: Column) -> Column:
@@ -283,27 +389,30 @@ def similar(a: str, b: str, least: float) -> bool:
     return edit_distance(a, b, int((1 - least) * longer + 1e-9)) <= (1 - least) * longer + 1e-9
 
 
-def _at_home(h, did):
+def _at_home(h, dk):
     """One number of a line and a document, for membership()."""
-    return h ^ (did << 1) if isinstance(h, np.ndarray) else h.bitwiseXOR(F.shiftleft(did, 1))
+    return h ^ (dk << 1) if isinstance(h, np.ndarray) else h.bitwiseXOR(F.shiftleft(dk, 1))
 
 
 def line_texts(rows: DataFrame, table: np.ndarray) -> DataFrame:
-    """(did, h, line) of (did, text): the normalised lines that the table may hold."""
+    """(dk, h, s, size, line) of (dk, text): SimHash, length and text of the normalised lines that the table may hold."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in text_steps(batches):
             _, starts, words = _lines(batch.column("text"))
-            n = np.diff(words.offsets)
-            some = np.flatnonzero(n > 0)
-            line = line_hashes(words.hashes()[words.codes] if len(words.codes) else np.zeros(0, np.uint64), words.offsets).view(np.int64)
-            did = batch.column("did").to_numpy(zero_copy_only=False)[np.repeat(np.arange(len(starts) - 1), np.diff(starts))[some]]
-            pick = held(table, _at_home(line, did))
-            yield pa.RecordBatch.from_arrays([pa.array(did[pick]), pa.array(line[pick]), joined_lines(words, some[pick]).cast(pa.string())], ["did", "h", "line"])
+            some = np.flatnonzero(np.diff(words.offsets) > 0)
+            h = words.hashes()[words.codes] if len(words.codes) else np.zeros(0, np.uint64)
+            line = line_hashes(h, words.offsets).view(np.int64)
+            dk = batch.column("dk").to_numpy()[np.repeat(np.arange(len(starts) - 1), np.diff(starts))[some]]
+            pick = np.flatnonzero(held(table, _at_home(line, dk)))
+            n, begin = np.diff(words.offsets)[some[pick]], words.offsets[:-1][some[pick]]
+            ends = np.concatenate(([0], np.cumsum(n)))
+            s = simhash(h[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], n)], ends)
+            yield pa.RecordBatch.from_arrays([pa.array(dk[pick]), pa.array(line[pick]), pa.array(s.view(np.int64)), pa.array(line_sizes(words)[some[pick]].astype(np.int32)), joined_lines(words, some[pick]).cast(pa.string())], ["dk", "h", "s", "size", "line"])
 
-    return rows.select("did", "text").mapInArrow(run, "did long, h long, line string")
+    return rows.select("dk", "text").mapInArrow(run, "dk long, h long, s long, size int, line string")
 
 
 def only(texts: DataFrame, table: np.ndarray) -> DataFrame:
@@ -319,7 +428,7 @@ def only(texts: DataFrame, table: np.ndarray) -> DataFrame:
 
 
 def _block_buckets(distinct: DataFrame) -> DataFrame:
-    """(key, node, s): lines whose SimHashes share three blocks with another's."""
+    """(key, node): lines whose SimHashes share three blocks with another's."""
     # nodes are distinct lines; a SimHash's smallest line stands for it in the blocks
     heads = distinct.groupBy("s").agg(F.min("h").alias("head"), F.count(F.lit(1)).alias("same"))
     keys = heads.select(F.explode(block_keys(F.col("s"))).alias("key"), "s")
@@ -327,60 +436,76 @@ def _block_buckets(distinct: DataFrame) -> DataFrame:
     buckets_s = near.select("key", "s")
     # lines of one SimHash share a bucket too
     lines_of = distinct.select("s", F.col("h").alias("node"))
-    alike = lines_of.join(heads.where("same > 1").select("s"), "s").select(F.xxhash64(F.lit("s"), "s").alias("key"), "node", "s")
-    return buckets_s.join(lines_of, "s").select("key", "node", "s").unionByName(alike)
+    alike = lines_of.join(heads.where("same > 1").select("s"), "s").select(F.xxhash64(F.lit("s"), "s").alias("key"), "node")
+    return buckets_s.join(lines_of, "s").select("key", "node").unionByName(alike)
+
+
+def edit_similar(both: DataFrame, least: float) -> DataFrame:
+    """(a, b) of (a, b, ta, tb) where the texts' edit similarity is at least `least`; LONG texts in Python."""
+    longer = F.greatest(F.length("ta"), F.length("tb"))
+    most = F.floor((1 - least) * longer + 1e-9).cast("int")
+    near = both.where(F.abs(F.length("ta") - F.length("tb")) <= most).withColumn("most", most).withColumn("short", longer <= LONG)
+    near = near.where("not short or ta = tb or levenshtein(ta, tb, most) >= 0")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ok = [x is None or similar(x, y, least) for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return near.select("a", "b", F.when(~F.col("short"), F.col("ta")).alias("ta"), F.when(~F.col("short"), F.col("tb")).alias("tb")).mapInArrow(run, "a long, b long")
 
 
 def groups(rows: DataFrame, least: float = 0.8, radius: int | None = BITS) -> tuple[DataFrame, DataFrame]:
-    """Of (did, text): the occurrences (did, at, h), and for every line that is not alone (h, root, first_did, lines, members).
+    """Of documents(): the occurrences (dk, at, h), and for every line that is not alone (h, root, first_dk, first_at, lines, members).
 
-    first_did is the first document of the group; lines counts its occurrences, members its distinct lines.
+    first_dk and first_at are the first occurrence of the group; lines counts its occurrences, members its distinct lines.
     """
-    seen = written(occurrences(rows), "lines")
-    distinct = written(seen.groupBy("h").agg(F.min("s").alias("s"), F.min("size").alias("size"), F.min("did").alias("first_did"), F.count(F.lit(1)).alias("n")), "distinct")
+    spark = rows.sparkSession
+    seen = written(occurrences(rows, radius is not None), "lines")
+    marks = [F.min("s").alias("s")] if radius is not None else []
+    distinct = written(seen.groupBy("h").agg(F.min(F.struct("did", "dk", "at")).alias("first"), F.count(F.lit(1)).alias("n"), *marks), "distinct")
+    home = distinct.select("h", F.col("first.dk").alias("dk"))
     if radius is None:
-        keys = band_keys(rows, membership(distinct, _at_home(F.col("h"), F.col("first_did"))), least)
-        near = keys.withColumn("low", F.min("node").over(Window.partitionBy("key"))).withColumn("high", F.max("node").over(Window.partitionBy("key"))).where("low < high")
-        company = written(near.select("key", "node"), "line-company").distinct()
-        buckets = written(company.join(distinct.select(F.col("h").alias("node"), "s", "size"), "node").select("key", "node", "s", "size"), "line-buckets")
+        ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), distinct.count() * BANDS // RANGE_KEYS)
+        packs = packed_bands(rows, membership(home, _at_home(F.col("h"), F.col("dk"))), least, ranges)
+        found = written(company(packs.repartition("part").sortWithinPartitions("part")), "line-company")
+        pairs = written(found.where("not large").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "line-candidates")
+        buckets = found.where("large").select(F.col("x").alias("key"), F.col("y").alias("node")).distinct()
         close = plausible(least)
     else:
-        buckets = written(_block_buckets(distinct), "line-buckets")
+        pairs = spark.createDataFrame([], "a long, b long")
+        buckets = _block_buckets(distinct)
         close = lambda p, q: F.bit_count(F.col(f"{p}s").bitwiseXOR(F.col(f"{q}s"))) <= radius
-    nodes = buckets.select(F.col("node").alias("h")).distinct().join(distinct, "h").select("h", F.col("first_did").alias("did"))
-    nodes = written(nodes, "line-nodes")
-    found = line_texts(rows, membership(nodes, _at_home(F.col("h"), F.col("did"))))
-    # a line has one first document, so (did, h) is as good a key as h, and rows are dealt by it already
-    texts = written(found.join(nodes, ["did", "h"]).dropDuplicates(["did", "h"]).select("h", "line"), "line-texts")
+    buckets = written(buckets, "line-buckets")
+    nodes = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).unionByName(buckets.select(F.col("node").alias("h"))).distinct()
+    nodes = written(nodes.join(home, "h"), "line-nodes")
+    moved = line_texts(rows, membership(nodes, _at_home(F.col("h"), F.col("dk"))))
+    # a line has one first document, so (dk, h) is as good a key as h
+    texts = written(moved.join(nodes, ["dk", "h"]).dropDuplicates(["h"]).select("h", "s", "size", "line"), "line-texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a = only(texts, membership(pairs, F.col("a"))).select(F.col("h").alias("a"), F.col("line").alias("ta"))
-        b = only(texts, membership(pairs, F.col("b"))).select(F.col("h").alias("b"), F.col("line").alias("tb"))
-        both = pairs.join(a, "a").join(b, "b")
+        lines = texts.select("h", "line")
+        a = only(lines, membership(pairs, F.col("a"))).select(F.col("h").alias("a"), F.col("line").alias("ta"))
+        b = only(lines, membership(pairs, F.col("b"))).select(F.col("h").alias("b"), F.col("line").alias("tb"))
+        return edit_similar(pairs.join(a, "a").join(b, "b"), least)
 
-        def run(batches):
-            import pyarrow as pa
-
-            for batch in batches:
-                ok = [similar(x, y, least) for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)]
-                yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-        return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
-
-    roots, _ = bucket_components(buckets, verify, close, "lines")
-    owner = distinct.join(roots, distinct["h"] == roots["node"], "left").select("h", "first_did", "n", F.coalesce("root", "h").alias("root"))
-    per = owner.groupBy("root").agg(F.min("first_did").alias("first"), F.sum("n").alias("lines"), F.count(F.lit(1)).alias("members")).where("lines > 1")
-    return seen.select("did", "at", "h"), written(owner.join(per, "root").select("h", "root", F.col("first").alias("first_did"), "lines", "members"), "line-groups")
+    roots, _ = bucket_components(pairs, buckets, texts.select(F.col("h").alias("node"), "s", "size"), verify, close, "lines")
+    owner = distinct.join(roots, distinct["h"] == roots["node"], "left").select("h", "first", "n", F.coalesce("root", "h").alias("root"))
+    # lines that are alone have no root and one occurrence; they need no group
+    owner = owner.where("n > 1 or root != h").unionByName(owner.where("n = 1 and root = h").join(roots.select(F.col("node").alias("h")), "h", "left_semi"))
+    per = owner.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("lines"), F.count(F.lit(1)).alias("members")).where("lines > 1")
+    table = owner.select("h", "root").join(per, "root").select("h", "root", F.col("first.dk").alias("first_dk"), F.col("first.at").alias("first_at"), "lines", "members")
+    return seen.select("dk", "at", "h"), written(table, "line-groups")
 
 
 def dropped(rows: DataFrame, least: float = 0.8, radius: int | None = BITS) -> DataFrame:
-    """(did, drop): the places of each document's lines that go; documents that lose none are not there."""
+    """(dk, drop): the places of each document's lines that go; documents that lose none are not there."""
     seen, group = groups(rows, least, radius)
-    again = seen.join(group.select("h", "root", "first_did"), "h")
-    # in the group's first document its first place stays, elsewhere none
-    first = again.where("did = first_did").groupBy("did", "root").agg(F.min("at").alias("stays"))
-    gone = again.join(first, ["did", "root"], "left").where("stays is null or at != stays")
-    return gone.groupBy("did").agg(F.collect_set("at").alias("drop"))
+    many = may_hold(seen, F.col("h"), group, F.col("h"), "many").where("many").select("dk", "at", "h")
+    again = many.join(group.select("h", "first_dk", "first_at"), "h").where("dk != first_dk or at != first_at")
+    return again.groupBy("dk").agg(F.collect_set("at").alias("drop"))
 
 
 def _cut(text: Column, drop: Column) -> Column:
@@ -388,14 +513,22 @@ def _cut(text: Column, drop: Column) -> Column:
     return F.array_join(kept, "\n")
 
 
+def _with_drops(docs: DataFrame, least: float, radius: int | None) -> DataFrame:
+    """(row, text, drop): each row of docs as a struct, its text, and the places that go (null: none); only documents that lose lines are joined."""
+    gone = written(dropped(documents(docs), least, radius), "dropped")
+    text = docs["text"].cast("string")
+    did = F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(F.coalesce(text, F.lit(""))))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"), F.xxhash64(did, F.coalesce(text, F.lit(""))).alias("dk"))
+    rows = may_hold(rows, F.col("dk"), gone, F.col("dk"), "loses")
+    some = rows.where("loses").join(gone, "dk", "left").select("row", "text", "drop")
+    return rows.where("not loses").select("row", "text", F.lit(None).cast("array<int>").alias("drop")).unionByName(some)
+
+
 def deduplicate(docs: DataFrame, least: float = 0.8, radius: int | None = BITS) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped, dropped) of every row: the text without the lines that go, and their places."""
-    rows = documents(docs)
-    gone = written(dropped(rows, least, radius), "dropped")
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    out = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(text)).alias("did")).join(gone, "did", "left")
+    out = _with_drops(docs, least, radius)
     return out.select(
-        "doc_id", F.when(F.col("drop").isNull(), F.col("text")).otherwise(_cut(F.col("text"), F.col("drop"))).alias("text"),
+        F.col("row.doc_id").cast("long").alias("doc_id"), F.when(F.col("drop").isNull(), F.col("text")).otherwise(_cut(F.col("text"), F.col("drop"))).alias("text"),
         F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"), F.array_sort(F.coalesce("drop", F.array().cast("array<int>"))).alias("dropped"),
     )
 
@@ -405,12 +538,12 @@ def clean(docs: DataFrame, least: float = 0.8, radius: int | None = BITS) -> Dat
 
     n_chars, where there is such a column, is the new text's length.
     """
-    rows = documents(docs)
-    gone = written(dropped(rows, least, radius), "dropped").withColumnRenamed("did", "__did").withColumnRenamed("drop", "__drop")
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    out = docs.withColumn("__key", F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(text))).join(gone, F.col("__key") == F.col("__did"), "left")
-    out = out.withColumn("text", F.when(F.col("__drop").isNull(), F.col("text")).otherwise(_cut(F.col("text"), F.col("__drop"))))
+    out = _with_drops(docs, least, radius)
+    cut = F.when(F.col("drop").isNull(), F.col("text")).otherwise(_cut(F.col("text"), F.col("drop")))
+    out = out.select("row", cut.alias("text"), F.col("drop").isNull().alias("whole"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("__drop").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind if isinstance(kind, T.NumericType) else "long")))
-    return out.where(F.col("__drop").isNull() | F.col("text").rlike(r"[A-Za-z0-9]|[^\x00-\x7F]")).select(*docs.columns)
+        new["n_chars"] = F.when(F.col("whole"), F.col("row.n_chars")).otherwise(F.length("text").cast(kind if isinstance(kind, T.NumericType) else "long"))
+    out = out.where(F.col("whole") | F.col("text").rlike(r"[A-Za-z0-9]|[^\x00-\x7F]"))
+    return out.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

@@ -8,15 +8,19 @@ however large it is; nearly all cells are passed over with one hash, for their f
 coordinates the earliest dart is the signature, and two signatures agree in a coordinate with the probability of the
 weighted Jaccard similarity.  Where a coordinate is still empty, the time is doubled for that document.
 
-Bands of ``per_band`` coordinates are joined.  A join of a band also compares sketches, four bits of each of 128
-coordinates and the weights: documents that share a passage but are far from similar are no rows of it.  (A pair at
-0.8 shares a band but for 1 in 30,000, and its sketches pass but for about as many.)  What is left is verified by the
-exact weighted Jaccard similarity, and classes are the connected components of verified links: see
-common.bucket_components, which checks a large bucket of copies with one pair a member and loses no link between
-components.
-
-Scale: exact copies are one text from the start; a band bucket is a hash with 16 bytes a member; only texts that share a
-band move once more for verification.  Nothing is collected, broadcast, capped or sampled.
+Bands of ``per_band`` coordinates are joined.  A join of a band also compares the weights and two sketches, so documents
+that share a passage but are not similar are no rows of it: four bits of each of 128 coordinates, and the parities of
+the cells in each of ``PARITIES`` bins.  The parities of two documents differ in no more bins than cells are in one of
+the two only, so a bound on that number from similarity and weights loses no pair; it is sharp where documents are of
+some thousand words at most, the coordinates where they are longer.  (A pair at 0.8 shares a band but for 1 in 30,000,
+and its coordinates pass but for about as many.)  What is left is verified by the exact weighted Jaccard similarity,
+and classes are the connected components of verified links: see common.bucket_components, which checks a large bucket
+of copies with one pair a member and loses no link between components.
+
+Scale: exact copies are one text from the start; a band bucket is a hash with 16 bytes a member; a membership table of
+fixed size keeps keys and texts without company out of the shuffles; of a text with company the cells move, once.
+Nothing is collected, capped or sampled, and what is broadcast is 4 MB.  A bucket whose documents are all close to each
+other but not linked is compared pair by pair within the join, on the sketches alone.
 
 Defined results: null and empty texts count as one empty text, so they are copies of each other; texts below five words
 are one shingle; the class id is the smallest doc_id of the class (null if all are null); every row, repeated or not, is
@@ -29,11 +33,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bucket_components, mix, shingles, text_steps, uniform, written
+from .common import Words, bucket_components, held, may_hold, membership, mix, shingles, text_steps, uniform, written
 
 SHINGLE = 5
 PLANES = 4  # bits of each of the first 128 coordinates in a sketch
 MARKS = [f"m{i}" for i in range(2 * PLANES)]
+PARITIES = 1024
+ODD = [f"o{i}" for i in range(PARITIES // 64)]
 #: Of 128 coordinates as many may differ at similarity `least` and four standard deviations more.
 ALLOWED = lambda least: int(128 * (1 - least) * (1 - 2.0**-PLANES) + 4 * (128 * least * (1 - least)) ** 0.5)
 
@@ -129,8 +135,16 @@ def keyed(docs: DataFrame, *more) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("tk"), text.alias("text"), *more)
 
 
+def parities(cell: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each text the parity of the number of its cells in each of PARITIES bins, packed in words of 64."""
+    n = len(starts) - 1
+    bins = np.repeat(np.arange(n), np.diff(starts)) * PARITIES + (mix(cell, 61) % np.uint64(PARITIES)).astype(np.int64)
+    odd = (np.bincount(bins, minlength=n * PARITIES) & 1).astype(np.uint8).reshape(n, PARITIES)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
 def band_keys(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
-    """(doc_id, tk, keys, weight, sketch) of (doc_id, tk, text); texts without words have no keys."""
+    """(doc_id, tk, keys, weight, sketches) of (doc_id, tk, text); texts without words have no keys."""
     k = bands * per_band
 
     def run(batches):
@@ -149,41 +163,66 @@ def band_keys(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, tk long, keys array<long>, weight long, " + ", ".join(f"{m} long" for m in MARKS)).withColumn("keys", F.when(F.size("keys") > 0, F.col("keys")))
 
 
+def _at_home(tk, doc_id):
+    """One number of a text and a document, for membership()."""
+    return F.xxhash64(tk, doc_id)
+
+
 def cell_sets(rows: DataFrame) -> DataFrame:
-    """(tk, cells) of (tk, text): the cells of each text."""
+    """(tk, weight, parities, cells) of (tk, text): the cells of each text and their sketch."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch, cell, starts in _cells_of(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("tk"), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(cell.view(np.int64)))], ["tk", "cells"])
+            odd = parities(cell, starts)
+            yield pa.RecordBatch.from_arrays([batch.column("tk"), *(pa.array(odd[:, k]) for k in range(len(ODD))), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(cell.view(np.int64)))], ["tk", *ODD, "cells"])
+
+    return rows.select("tk", "text").mapInArrow(run, "tk long, " + ", ".join(f"{o} long" for o in ODD) + ", cells array<long>")
 
-    return rows.select("tk", "text").mapInArrow(run, "tk long, cells array<long>")
+
+def exploded(signed: DataFrame, table: np.ndarray) -> DataFrame:
+    """(key, tk): the keys of (tk, keys) that the table may hold, a row each."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keys = batch.column("keys")
+            size = np.diff(keys.offsets.to_numpy())
+            flat = keys.flatten().to_numpy()
+            pick = held(table, flat)
+            yield pa.RecordBatch.from_arrays([pa.array(flat[pick]), pa.array(np.repeat(batch.column("tk").to_numpy(), size)[pick])], ["key", "tk"])
+
+    return signed.select("tk", "keys").mapInArrow(run, "key long, tk long")
 
 
 def classes(docs: DataFrame, least: float = 0.8, bands: int = 26, per_band: int = 5) -> DataFrame:
     """(doc_id, tk, root, class_id, copies, class_size) of every row: tk names the text, root the class, copies counts the text's rows."""
     rows = keyed(docs)
     signed = written(band_keys(rows, bands, per_band), "signed")
-    texts = signed.groupBy("tk").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    one = signed.where("keys is not null").select("tk", F.explode("keys").alias("key"))
-    shared = one.groupBy("key").agg(F.min("tk").alias("low"), F.max("tk").alias("high")).where("low < high").select("key")
-    members = one.join(shared, "key").select("key", "tk").distinct()
-    marks = signed.where("keys is not null").select("tk", "weight", *MARKS).dropDuplicates(["tk"])
-    buckets = written(members.join(marks, "tk").select("key", F.col("tk").alias("node"), "weight", *MARKS), "buckets")
-    # one row of each text in a bucket: that of its first doc_id (rows that repeat it are equal)
-    wanted = buckets.select(F.col("node").alias("tk")).distinct().join(texts, "tk").select("tk", F.col("first_id").alias("doc_id"))
-    texts_in = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["tk"] == wanted["tk"]), "left_semi")
-    sets = written(cell_sets(texts_in).dropDuplicates(["tk"]), "cells")
+    texts = written(signed.groupBy("tk").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "texts")
+    some = signed.where("keys is not null")
+    shared = some.select("tk", F.explode("keys").alias("key")).groupBy("key").agg(F.min("tk").alias("low"), F.max("tk").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+    shared = written(shared, "shared")
+    pairs = shared.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).distinct()
+    larger = shared.where("n > 2").select("key")
+    buckets = written(exploded(some, membership(larger, F.col("key"))).join(larger, "key").select("key", F.col("tk").alias("node")).distinct(), "buckets")
+    company = pairs.select(F.col("a").alias("tk")).unionByName(pairs.select(F.col("b").alias("tk"))).unionByName(buckets.select(F.col("node").alias("tk"))).distinct()
+    company = written(company.join(texts, "tk").select("tk", F.col("first_id").alias("doc_id")), "company")
+    # one row of each text with company: that of its first doc_id (rows that repeat it are equal)
+    near = may_hold(rows, _at_home(F.col("tk"), F.col("doc_id")), company, _at_home(F.col("tk"), F.col("doc_id")), "near").where("near")
+    sets = written(cell_sets(near).join(company.select("tk"), "tk").dropDuplicates(["tk"]), "cells")
+    marks = signed.join(company.select("tk"), "tk", "left_semi").select("tk", "weight", *MARKS).dropDuplicates(["tk"])
+    marks = written(marks.join(sets.drop("cells"), "tk").withColumnRenamed("tk", "node"), "marks")
 
     def verify(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("tk").alias("a"), F.col("cells").alias("ca"))
         b = sets.select(F.col("tk").alias("b"), F.col("cells").alias("cb"))
         both = pairs.join(a, "a").join(b, "b")
         sizes = F.size("ca") + F.size("cb")
-        enough = F.least(F.size("ca"), F.size("cb")) >= least * F.greatest(F.size("ca"), F.size("cb"))
         common = F.size(F.array_intersect("ca", "cb"))
-        return both.where(enough).select("a", "b", (common / (sizes - common)).alias("similarity")).where(F.col("similarity") >= least - 1e-12)
+        return both.select("a", "b", (common / (sizes - common)).alias("similarity")).where(F.col("similarity") >= least - 1e-12)
 
     def close(p: str, q: str):
         differ = None
@@ -193,10 +232,13 @@ def classes(docs: DataFrame, least: float = 0.8, bands: int = 26, per_band: int
                 x = F.col(f"{p}m{2 * bit + half}").bitwiseXOR(F.col(f"{q}m{2 * bit + half}"))
                 word = x if word is None else word.bitwiseOR(x)
             differ = F.bit_count(word) if differ is None else differ + F.bit_count(word)
+        odd = F.bit_count(F.col(f"{p}o0").bitwiseXOR(F.col(f"{q}o0")))
+        for o in ODD[1:]:
+            odd = odd + F.bit_count(F.col(p + o).bitwiseXOR(F.col(q + o)))
         w = (F.col(f"{p}weight"), F.col(f"{q}weight"))
-        return (F.least(*w) >= least * F.greatest(*w)) & (differ <= ALLOWED(least))
+        return (F.least(*w) >= least * F.greatest(*w)) & (odd <= (w[0] + w[1]) * ((1 - least) / (1 + least)) + 1e-6) & (differ <= ALLOWED(least))
 
-    roots, _ = bucket_components(buckets, verify, close, "neardup")
+    roots, _ = bucket_components(pairs, buckets, marks, verify, close, "neardup")
     owner = texts.join(roots, texts["tk"] == roots["node"], "left").select("tk", "first_id", "copies", F.coalesce("root", "tk").alias("root"))
     group = owner.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
     table = written(owner.join(group, "root").select("tk", "root", "class_id", "copies", "class_size"), "classes")
@@ -208,16 +250,17 @@ def clean(docs: DataFrame, **settings) -> DataFrame:
 
     Where a class has that doc_id, or no id at all, in several texts, the text with the smallest key stays, once.
     """
-    did, key = docs["doc_id"].cast("long"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     found = written(classes(docs, **settings), "found")
     first = F.col("doc_id").eqNullSafe(F.col("class_id"))
     stays = found.where(first).groupBy("root").agg(F.min("tk").alias("keep_tk"))
     judged = found.join(stays, "root").withColumn("stays", first & (F.col("tk") == F.col("keep_tk")))
-    gone = written(judged.where(~F.col("stays")).select(F.col("doc_id").alias("__did"), F.col("tk").alias("__tk")).distinct(), "gone")
-    same = did.eqNullSafe(F.col("__did")) & (key == F.col("__tk"))
-    kept = docs.join(gone, same, "left_anti")
-    twice = written(judged.where("stays").groupBy(F.col("doc_id").alias("__did"), F.col("tk").alias("__tk")).count().where("count > 1").drop("count"), "twice")
-    if twice.isEmpty():
-        return kept
-    once = kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(twice, same, "left_anti").unionByName(once)
+    # rows to look at again: those that go, and those that stay but come more than once
+    rows = judged.groupBy(F.col("doc_id").alias("judged_id"), F.col("tk").alias("judged_tk")).agg(F.max("stays").alias("judged_stays"), F.count(F.lit(1)).alias("judged_rows")).where("not judged_stays or judged_rows > 1")
+    rows = written(rows, "judged")
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    every = docs.select(F.struct(*docs.columns).alias("row"), docs["doc_id"].cast("long").alias("did"), F.xxhash64(text).alias("tk"))
+    every = may_hold(every, _at_home(F.col("tk"), F.col("did")), rows, _at_home(F.col("judged_tk"), F.col("judged_id")), "again")
+    again = every.where("again").join(rows, F.col("did").eqNullSafe(F.col("judged_id")) & (F.col("tk") == F.col("judged_tk")), "left").where("judged_stays is null or judged_stays")
+    once = again.where("judged_rows > 1").dropDuplicates(["did", "tk"])
+    kept = every.where("not again").select("row").unionByName(again.where("judged_rows is null").select("row")).unionByName(once.select("row"))
+    return kept.select("row.*")
