@@ -35,6 +35,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def no_rows(spark: SparkSession, schema: str) -> DataFrame:
+    """An empty table with columns of longs and the like, without a Python job."""
+    return spark.range(0).select(*(F.lit(None).cast(kind).alias(name) for name, kind in (x.split() for x in schema.split(", "))))
+
+
 def forget(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a table made by written() that no later plan reads."""
     jvm = spark._jvm
@@ -195,7 +200,7 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         forget(spark, live)
         live = nxt
     if not rounds:
-        return spark.createDataFrame([], "node long, root long")
+        return no_rows(spark, "node long, root long")
     out = rounds[-1]
     for step in reversed(rounds[:-1]):
         later = out.select(F.col("node").alias("root"), F.col("root").alias("top"))
@@ -221,7 +226,7 @@ def bucket_components(pairs: DataFrame, buckets: DataFrame, marks: DataFrame, ve
     """
     spark = buckets.sparkSession
     fields = [c for c in marks.columns if c != "node"]
-    roots, links, tried = spark.createDataFrame([], "node long, root long"), None, None
+    roots, links, tried = no_rows(spark, "node long, root long"), None, None
 
     def known(rows: DataFrame, node: str, prefix: str) -> DataFrame:
         return rows.join(marks.select(F.col("node").alias(node), *(F.col(c).alias(prefix + c) for c in fields)), node)
