@@ -7,8 +7,8 @@ distinct lines are linked if their edit similarity (1 - distance / longer length
 
 Candidates without a radius (op7 and the pipeline): lines that share one of ``BANDS`` MinHash bands, of three minima over
 pairs of neighbouring words, or in lines of fewer than ``SHORT`` characters four minima over runs of three bytes.  Of
-them edit similarity is computed where the lengths allow it and, for longer lines, the SimHashes differ in at most
-``WIDE`` bits.  This is probabilistic; the README has the measured recall by line length.  With a radius of 3, the 64 bits
+them edit similarity is computed where lengths and parities of character pairs allow it and, for longer lines, the
+SimHashes differ in at most ``WIDE`` bits.  This is probabilistic; the README has the measured recall by line length.  With a radius of 3, the 64 bits
 are cut into six blocks; three changed bits leave three blocks of six untouched, so linked lines share one of the twenty
 triples of blocks, 32 bits each: the join loses no such pair.
 
@@ -42,6 +42,8 @@ BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))  # (shift,
 TRIPLES = tuple(combinations(range(6), 3))
 BANDS, PAIR_ROWS, BYTE_ROWS = 24, 3, 4
 SHORT, WIDE = 60, 22
+PARITIES = 256
+ODD = [f"o{i}" for i in range(PARITIES // 64)]
 #: Buckets of at most so many lines become all their pairs.
 SMALL = 4
 #: Keys that a range of the bands' key space holds about, that a task packs at once, and that a range is compacted at.
@@ -298,16 +300,32 @@ def company(bands: DataFrame) -> DataFrame:
 
 
 def plausible(least: float):
-    """Whether two lines of one band may be similar: their lengths, and of longer lines the SimHashes."""
+    """Whether two lines of one band may be similar: lengths, parities of pairs of characters, and the SimHashes or, of short lines, the texts.
+
+    Lengths and parities lose no pair: d edits change at most 4 d - |difference of lengths| pairs of characters, so many
+    parities.  Short lines of one pattern with different contents would be many pairs, so their marks hold the text itself.
+    """
 
     def close(p, q):
         a, b = F.col(f"{p}size"), F.col(f"{q}size")
-        bits = F.bit_count(F.col(f"{p}s").bitwiseXOR(F.col(f"{q}s")))
-        return (F.least(a, b) >= F.greatest(a, b) * least - 1e-6) & ((F.least(a, b) < SHORT) | (bits <= WIDE))
+        differ = lambda c: F.bit_count(F.col(p + c).bitwiseXOR(F.col(q + c)))
+        odd = differ(ODD[0])
+        for c in ODD[1:]:
+            odd = odd + differ(c)
+        most = F.floor((1 - least) * F.greatest(a, b) + 1e-9)
+        near = F.call_function("levenshtein", F.col(f"{p}short"), F.col(f"{q}short"), most.cast("int")) >= 0
+        return (F.abs(a - b) <= most) & (odd <= 4 * most - F.abs(a - b)) & F.when(F.least(a, b) < SHORT, near).otherwise(differ("s") <= WIDE)
 
     return close
 
 
+def parities(lines: list[str]) -> np.ndarray:
+    """For each line the parity of the number of its pairs of neighbouring characters in each of PARITIES bins, packed in words of 64."""
+    bins, n = gram_bins(lines)
+    odd = (np.bincount(bins, minlength=n * PARITIES) & 1).astype(np.uint8).reshape(n, PARITIES)
+    return np.packbits(odd, axis=1).view(np.int64).reshape(n, len(ODD))
+
+
 def occurrences(rows: DataFrame, marked: bool) -> DataFrame:
     """(did, dk, at, h) of (did, dk, text): place and hash of each normalised line that has a word; with `marked` s, its SimHash, too."""
 
@@ -425,7 +443,7 @@ def _at_home(h, dk):
 
 
 def line_texts(rows: DataFrame, table: np.ndarray) -> DataFrame:
-    """(dk, h, s, size, line) of (dk, text): SimHash, length and text of the normalised lines that the table may hold."""
+    """(dk, h, marks, line) of (dk, text): SimHash, length, parities and text of the normalised lines that the table may hold."""
 
     def run(batches):
         import pyarrow as pa
@@ -440,9 +458,12 @@ def line_texts(rows: DataFrame, table: np.ndarray) -> DataFrame:
             n, begin = np.diff(words.offsets)[some[pick]], words.offsets[:-1][some[pick]]
             ends = np.concatenate(([0], np.cumsum(n)))
             s = simhash(h[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], n)], ends)
-            yield pa.RecordBatch.from_arrays([pa.array(dk[pick]), pa.array(line[pick]), pa.array(s.view(np.int64)), pa.array(line_sizes(words)[some[pick]].astype(np.int32)), joined_lines(words, some[pick]).cast(pa.string())], ["dk", "h", "s", "size", "line"])
+            texts = joined_lines(words, some[pick]).cast(pa.string())
+            odd = parities(texts.to_pylist())
+            columns = [pa.array(dk[pick]), pa.array(line[pick]), pa.array(s.view(np.int64)), pa.array(line_sizes(words)[some[pick]].astype(np.int32)), *(pa.array(odd[:, k]) for k in range(len(ODD))), texts]
+            yield pa.RecordBatch.from_arrays(columns, ["dk", "h", "s", "size", *ODD, "line"])
 
-    return rows.select("dk", "text").mapInArrow(run, "dk long, h long, s long, size int, line string")
+    return rows.select("dk", "text").mapInArrow(run, "dk long, h long, s long, size int, " + ", ".join(f"{o} long" for o in ODD) + ", line string")
 
 
 def only(texts: DataFrame, table: np.ndarray) -> DataFrame:
@@ -470,17 +491,18 @@ def _block_buckets(distinct: DataFrame) -> DataFrame:
     return buckets_s.join(lines_of, "s").select("key", "node").unionByName(alike)
 
 
-def gram_distances(a: list[str], b: list[str], bins: int = 256) -> np.ndarray:
-    """For each pair a lower bound of the number of character pairs that only one of the two texts has: that of hashed counts."""
+def gram_bins(lines: list[str]) -> tuple[np.ndarray, int]:
+    """line * PARITIES + bin of every pair of neighbouring characters, and the number of lines."""
+    c = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    of = np.repeat(np.arange(len(lines)), [len(t) for t in lines])
+    at = (c[:-1] * np.uint32(0x9E3779B1) + c[1:]) * np.uint32(0x85EBCA6B) >> np.uint32(16)
+    return (of[:-1] * PARITIES + (at % np.uint32(PARITIES)))[of[1:] == of[:-1]], len(lines)
 
-    def counts(texts: list[str]) -> np.ndarray:
-        c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        at = (c[:-1] * np.uint32(0x9E3779B1) + c[1:]) * np.uint32(0x85EBCA6B) >> np.uint32(16)
-        inside = of[1:] == of[:-1]
-        return np.bincount((of[:-1] * bins + (at % np.uint32(bins)))[inside], minlength=len(texts) * bins).reshape(-1, bins)
 
-    return np.abs(counts(a) - counts(b)).sum(axis=1)
+def gram_distances(a: list[str], b: list[str]) -> np.ndarray:
+    """For each pair a lower bound of the number of character pairs that only one of the two texts has: that of hashed counts."""
+    counts = [np.bincount(bins, minlength=n * PARITIES).reshape(n, PARITIES) for bins, n in (gram_bins(a), gram_bins(b))]
+    return np.abs(counts[0] - counts[1]).sum(axis=1)
 
 
 def edit_similar(both: DataFrame, least: float) -> DataFrame:
@@ -509,8 +531,8 @@ def groups(rows: DataFrame, least: float = 0.8, radius: int | None = BITS) -> tu
     """
     spark = rows.sparkSession
     seen = written(occurrences(rows, radius is not None), "lines")
-    marks = [F.min("s").alias("s")] if radius is not None else []
-    distinct = written(seen.groupBy("h").agg(F.min(F.struct("did", "dk", "at")).alias("first"), F.count(F.lit(1)).alias("n"), *marks), "distinct")
+    own = [F.min("s").alias("s")] if radius is not None else []
+    distinct = written(seen.groupBy("h").agg(F.min(F.struct("did", "dk", "at")).alias("first"), F.count(F.lit(1)).alias("n"), *own), "distinct")
     home = distinct.select("h", F.col("first.dk").alias("dk"))
     if radius is None:
         ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), distinct.count() * BANDS // RANGE_KEYS)
@@ -528,7 +550,7 @@ def groups(rows: DataFrame, least: float = 0.8, radius: int | None = BITS) -> tu
     nodes = written(nodes.join(home, "h"), "line-nodes")
     moved = line_texts(rows, membership(nodes, _at_home(F.col("h"), F.col("dk"))))
     # a line has one first document, so (dk, h) is as good a key as h
-    texts = written(moved.join(nodes, ["dk", "h"]).dropDuplicates(["h"]).select("h", "s", "size", "line"), "line-texts")
+    texts = written(moved.join(nodes, ["dk", "h"]).dropDuplicates(["h"]).drop("dk"), "line-texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         lines = texts.select("h", "line")
@@ -536,7 +558,9 @@ def groups(rows: DataFrame, least: float = 0.8, radius: int | None = BITS) -> tu
         b = only(lines, membership(pairs, F.col("b"))).select(F.col("h").alias("b"), F.col("line").alias("tb"))
         return edit_similar(pairs.join(a, "a").join(b, "b"), least)
 
-    roots, _ = bucket_components(pairs, buckets, texts.select(F.col("h").alias("node"), "s", "size"), verify, close, "lines")
+    short = F.when(F.col("size") <= int(SHORT / least), F.col("line")).alias("short")
+    marks = texts.select(F.col("h").alias("node"), "s", "size", *ODD, short)
+    roots, _ = bucket_components(pairs, buckets, marks, verify, close, "lines")
     owner = distinct.join(roots, distinct["h"] == roots["node"], "left").select("h", "first", "n", F.coalesce("root", "h").alias("root"))
     # lines that are alone have no root and one occurrence; they need no group
     owner = owner.where("n > 1 or root != h").unionByName(owner.where("n = 1 and root = h").join(roots.select(F.col("node").alias("h")), "h", "left_semi"))

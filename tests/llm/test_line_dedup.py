@@ -139,3 +139,54 @@ def test_lines_with_a_changed_word_are_linked(spark):
     assert not gone - want
     assert len(want) >= 110 and len(gone) >= 0.95 * len(want)
     assert len({r.doc_id for r in line_dedup.deduplicate(df).where("n_dropped = 1").collect()}) < len(gone) / 2
+
+
+def test_bounds_lose_no_similar_pair():
+    """Parities, counts of character pairs and the upper bound against the distance itself."""
+    rng = np.random.default_rng(4)
+    a, b = [], []
+    for _ in range(600):
+        x = list(rng.choice(list("abcdé "), rng.integers(0, 90)))
+        y = list(x)
+        for _ in range(rng.integers(0, max(1, len(x) // 4) + 1)):
+            k = int(rng.integers(0, len(y) + 1))
+            if rng.random() < 0.5:
+                y.insert(k, "z")
+            elif k < len(y):
+                y[k] = "q"
+        a.append("".join(x))
+        b.append("".join(y))
+    want = [distance(x, y) for x, y in zip(a, b)]
+    most = [int(0.2 * max(len(x), len(y)) + 1e-9) for x, y in zip(a, b)]
+    assert line_dedup.similar_pairs(a, b, 0.8).tolist() == [d <= m for d, m in zip(want, most)]
+    odd = [line_dedup.parities(x) for x in (a, b)]
+    differ = np.unpackbits((odd[0] ^ odd[1]).view(np.uint8), axis=1).sum(axis=1)
+    for x, y, d, m, n in zip(a, b, want, most, differ.tolist()):
+        assert line_dedup.changed_characters(x, y) >= d
+        assert d > m or n <= 4 * m - abs(len(x) - len(y))
+
+
+def test_lines_of_a_repeated_id_stay(spark):
+    """Rows of one doc_id with different texts are documents of their own."""
+    df = spark.createDataFrame([(5, "A first line\nonly here it stands", "en", "s", 1, 7, "x"), (5, "other beginning\nA first line", "en", "s", 1, 7, "x")], SCHEMA)
+    rows = [(r.text, r.n_dropped) for r in line_dedup.deduplicate(df, radius=None).collect()]
+    kept = sorted(x for t, _ in rows for x in t.split("\n") if x)
+    assert kept == ["A first line", "only here it stands", "other beginning"] and sum(n for _, n in rows) == 1
+
+
+def test_company_of_packed_ranges(spark, monkeypatch):
+    """Pairs of small buckets and members of larger ones, with and without compaction, against plain groups."""
+    rng = np.random.default_rng(3)
+    key = np.concatenate((rng.integers(0, 2**63, 300).astype(np.uint64).repeat(rng.integers(1, 9, 300)), np.full(200, 77, np.uint64) << np.uint64(40)))
+    node = rng.integers(0, 10**6, len(key))
+    want = {}
+    for k, n in zip(key.tolist(), node.tolist()):
+        want.setdefault(k, set()).add(n)
+    for most in (1 << 22, 50):
+        monkeypatch.setattr(line_dedup, "MOST_KEYS", most)
+        part, body = line_dedup.packed(np.concatenate((key, key)), np.concatenate((node, node)), 4)
+        df = spark.createDataFrame([(int(p), bytes(x)) for p, x in zip(part, body)] * 2, "part int, body binary").coalesce(1).sortWithinPartitions("part")
+        rows = line_dedup.company(df).distinct().collect()
+        pairs = {(r.x, r.y) for r in rows if not r.large}
+        assert pairs == {(x, y) for s in want.values() if 2 <= len(s) <= line_dedup.SMALL for x in s for y in s if x < y}
+        assert sorted(r.y for r in rows if r.large) == sorted(n for s in want.values() if len(s) > line_dedup.SMALL for n in s)
