@@ -142,18 +142,16 @@ def _top(q_ids, q_vectors, k: int, eps: float, seed: int):
 def search(codes: DataFrame, queries: DataFrame, k: int = 5, eps: float = 4.0, seed: int = 7, query_block: int = 8192) -> DataFrame:
     """The k nearest codes of each query (vec_id, vector) by cosine; codes is a written table made by encode().
 
-    Blocks are cut by ranges of vec_id, so that one holds query_block rows (more only where one id repeats).
+    Blocks are cut by a hash of the query, so that one holds about query_block rows.  A vec_id with several different
+    vectors is one query for each, whose lists are merged: a candidate counts with its best score.
     """
     spark = codes.sparkSession
     queries = queries.dropDuplicates(["vec_id", "vector"])  # an equal row would give every candidate twice
     n = queries.count()
     parts: list[DataFrame] = []
     blocks = max(1, -(-n // query_block))
-    edges = queries.approxQuantile("vec_id", [i / blocks for i in range(1, blocks)], 0.0) if blocks > 1 else []
-    bounds = [None, *sorted({int(x) for x in edges}), None]
-    for low, high in zip(bounds, bounds[1:], strict=False):
-        block = queries if low is None else queries.where(F.col("vec_id") > low)
-        rows = (block if high is None else block.where(F.col("vec_id") <= high)).select("vec_id", "vector").collect()
+    for b in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)) == b).select("vec_id", "vector").collect()
         if rows:
             run = _top([r[0] for r in rows], [r[1] for r in rows], k, eps, seed)
             parts.append(codes.select("vec_id", "fix", "code", "vector").mapInArrow(run, FOUND))

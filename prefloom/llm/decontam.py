@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, shingles, text_steps, unpunctuated, written
+from .common import Words, may_hold, shingles, text_steps, unpunctuated, written
 
 SHORTEST, LONGEST = 3, 6
 MATCH, MISS, GAP = 2, -1, -1
@@ -72,13 +72,18 @@ def seeds(items: list[np.ndarray], log_share: dict[int, float], log_total: float
         if not len(h):
             continue
         top = min(LONGEST, len(h))
+        apart, kept = len(h) // 8 + 1, set()
         grams = {n: shingles(h, n) for n in range(min(SHORTEST, top), top + 1)}
         logs = np.array([log_share[int(x)] for x in h])
         for p in range(len(h) - min(SHORTEST, top) + 1):
             for n in grams:
                 last = n == top or p + n >= len(h)
                 if last or log_total + logs[p : p + n].sum() <= limit:
-                    out.setdefault(n, []).append((int(grams[n][p]), i, p))
+                    # of a gram that an item repeats, one place of each stretch: windows() allows for the others' diagonals
+                    gram = (int(grams[n][p]), p // apart)
+                    if gram not in kept:
+                        kept.add(gram)
+                        out.setdefault(n, []).append((gram[0], i, p))
                     break
     return out
 
@@ -116,7 +121,7 @@ def smith_waterman(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 def windows(hits: np.ndarray, item_words: int, doc_words: int) -> list[tuple[int, int]]:
     """Stretches of the document around the diagonals (document position less item position) of an item's seed hits."""
-    slack = item_words // 2 + 8
+    slack = item_words // 2 + item_words // 8 + 9
     out: list[tuple[int, int]] = []
     for d in np.unique(hits):
         low, high = max(int(d) - slack, 0), min(int(d) + item_words + slack, doc_words)
@@ -211,8 +216,11 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, ex
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """The documents that no item contaminates, columns as they are; documents with a null doc_id are held by their text."""
-    key = F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string")))
+    """The documents that no item contaminates, columns as they are; a document is a row's doc_id and text, and a null text has no item."""
+    text = docs["text"].cast("string")
+    key = F.when(text.isNotNull(), F.xxhash64(docs["doc_id"].cast("long"), text))
     keyed = docs.select(key.alias("doc_id"), docs["text"])
-    bad = written(contaminations(keyed, benchmark, **settings).select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
-    return docs.join(bad, key == F.col("__bad"), "left_anti")
+    bad = written(contaminations(keyed, benchmark, **settings).select(F.col("doc_id").alias("bad")).distinct(), "contaminated")
+    rows = may_hold(docs.select(F.struct(*docs.columns).alias("row"), key.alias("key")), F.col("key"), bad, F.col("bad"), "suspect")
+    kept = rows.where("suspect").join(bad, F.col("key") == F.col("bad"), "left_anti")
+    return rows.where("not suspect").select("row").unionByName(kept.select("row")).select("row.*")

@@ -16,7 +16,8 @@ join that broadcasts only if Spark's size check allows.  No text is shuffled.
 
 Defined results: null source, language or text are values of their own ('' as text); a document without tokens counts
 as one token, so empty texts are sampled too; a null doc_id is sampled by its text; equal rows are sampled alike; a
-target value that no document has is left out and the other shares of its marginal are scaled to 1; columns with
+target value that no document has is left out and the other shares of its marginal are scaled to 1; a marginal that the
+targets don't name stays free; columns with
 clashing names are kept as they are; an empty table gives no rows.
 """
 
@@ -70,6 +71,8 @@ def rake(cells: DataFrame, targets: DataFrame | None = None, temper: float = 0.8
     """cells (source, lang, topic, tokens) with `factor`, their raked weight over their share of the tokens."""
     cells = written(cells, "cells")
     sides = {}
+    # a marginal that the targets don't name, or of whose values no document has one, stays free
+    named = DIMS if targets is None else [r[0] for r in targets.where(F.col("dim").isin(*DIMS)).select("dim").distinct().orderBy("dim").collect()]
     for dim in DIMS:
         own = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("have"))
         if targets is None:
@@ -78,16 +81,16 @@ def rake(cells: DataFrame, targets: DataFrame | None = None, temper: float = 0.8
             wish = targets.where(F.col("dim") == dim).select(F.col("value").alias(dim), F.col("share").cast("double").alias("want"))
             own = own.join(wish, dim, "left").select(dim, F.coalesce("want", F.lit(0.0)).alias("want"))
         total = own.agg(F.sum("want").alias("all"))
-        sides[dim] = written(own.crossJoin(F.broadcast(total)).select(dim, (F.col("want") / F.col("all")).alias("want")), f"target-{dim}")  # total is one row
+        sides[dim] = written(own.crossJoin(F.broadcast(total)).select(dim, F.try_divide(F.col("want"), F.col("all")).alias("want")), f"target-{dim}")  # total is one row
     total = cells.agg(F.sum("tokens").cast("double").alias("all_tokens"))
     now = cells.crossJoin(F.broadcast(total)).select(*DIMS, "tokens", (F.col("tokens") / F.col("all_tokens")).alias("share"), (F.col("tokens") / F.col("all_tokens")).alias("weight"))
     for dim in DIMS:  # the targets once, so that a sweep joins only the sums
         now = now.join(sides[dim].withColumnRenamed("want", f"want_{dim}"), dim)
     now = written(now, "raked")
     for sweep in range(sweeps):
-        for dim in DIMS:
+        for dim in (d for d in DIMS if d in named):
             side = now.groupBy(dim).agg(F.sum("weight").alias("sum_weight"))
-            weight = F.when(F.col("sum_weight") > 0, F.col("weight") * F.col(f"want_{dim}") / F.col("sum_weight")).otherwise(F.lit(0.0))
+            weight = F.when(F.col(f"want_{dim}").isNull(), F.col("weight")).when(F.col("sum_weight") > 0, F.col("weight") * F.col(f"want_{dim}") / F.col("sum_weight")).otherwise(F.lit(0.0))
             now = now.join(side, dim).select(*DIMS, "tokens", "share", *(f"want_{d}" for d in DIMS), weight.alias("weight"))
         now = written(now, f"raked-{sweep}")
     return now.select(*DIMS, "tokens", (F.col("weight") / F.col("share")).alias("factor"))

@@ -102,7 +102,8 @@ def scan(versions: DataFrame, ledger: str, path_col: str = "path", text_col: str
     new = texts.select("blob", F.lit(version).alias("rule_version"), findings(F.col("text"), rules).alias("found"))
     # the same path may hold the same blob more than once: of equal rows one stays
     new.groupBy("blob", "rule_version").agg(F.first("found").alias("found")).write.mode("append").parquet(ledger)
-    known = read_ledger(spark, ledger).where(F.col("rule_version") == version).where(F.size("found") > 0).select("blob", "found")
+    known = read_ledger(spark, ledger).where(F.col("rule_version") == version).where(F.size("found") > 0)
+    known = known.groupBy("blob").agg(F.first("found").alias("found"))  # a retried or concurrent scan may have appended a blob twice; its findings are the same
     none = F.array().cast(f"array<{SPAN}>")
     return rows.select("path", "blob").join(known, "blob", "left").select("path", "blob", F.coalesce("found", none).alias("found"))
 

@@ -4,6 +4,7 @@ Both name their response in WARC-Refers-To and carry its WARC-Target-URI and WAR
 JSON, the response's WARC and HTTP headers, its digests, the page's title and its links; the conversion record holds
 the visible text.  Record ids are version-5-style UUIDs of the source id and the record type, so a rerun after a lost
 executor gives the same ids.  Digests are ``sha1:`` plus base32, as crawlers write them.
+As bytes, both records carry the response's payload digest and, as JSON, its headers.
 
 Each response is read by itself: the plan has no shuffle, so a host with a third of all pages is no hot key.  The HTML
 scanner goes over a page once.
@@ -34,7 +35,8 @@ DERIVED = (
 #: Elements whose content is no text, and those that end a line of text.
 SILENT = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "title"}
 BREAKS = set("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section select table tbody td tfoot th thead tr ul".split())
-TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'){0,65536}+)>""")
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+INSIDE = re.compile(r"""[>"']""")
 ATTR = re.compile(r"""(?:^|[\s"'/])(href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
@@ -47,12 +49,48 @@ def record_id(*parts: object) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=h[:16], version=5)}>"
 
 
+def joined_url(base: str | None, url: str) -> str:
+    try:
+        return urljoin(base or "", url)
+    except ValueError:
+        return url
+
+
+class TagEnds:
+    """Where tags end: the first > outside quotes.  Places passed before are known, so that all scans of a page together pass over it a few times."""
+
+    def __init__(self, page: str):
+        self.page, self.known, self.unclosed = page, {}, {}
+
+    def __call__(self, at: int) -> int:
+        """The place of the tag's >, or -1 where quotes or the page end before it."""
+        passed, end = [], -1
+        while True:
+            if at in self.known:
+                end = self.known[at]
+                break
+            passed.append(at)
+            m = INSIDE.search(self.page, at)
+            if not m or m[0] == ">":
+                end = m.start() if m else -1
+                break
+            if m.start() >= self.unclosed.get(m[0], len(self.page)):
+                break
+            close = self.page.find(m[0], m.end())
+            if close < 0:
+                self.unclosed[m[0]] = m.start()
+                break
+            at = close + 1
+        self.known.update(dict.fromkeys(passed, end))
+        return end
+
+
 def scan_html(page: str, base: str | None) -> tuple[str, str, list[tuple[str, str]]]:
     """Title, visible text (a line per block, spaces collapsed) and links of a page."""
     text: list[str] = []
     links: list[tuple[str, str]] = []
-    title, lower, open_link = "", None, None
-    at, n = 0, len(page)
+    title, lower, open_link, based = "", None, None, False
+    at, n, ends = 0, len(page), TagEnds(page)
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -69,12 +107,19 @@ def scan_html(page: str, base: str | None) -> tuple[str, str, list[tuple[str, st
             at = n if end < 0 else end + 1
             continue
         m = TAG.match(page, lt)
-        if not m:
+        end = ends(m.end()) if m else -1
+        if end < 0:
             text.append("<")
             at = lt + 1
             continue
-        at, closing, name = m.end(), m[1], m[2].lower()
-        if not closing and name in SILENT and not m[3].endswith("/"):
+        at, closing, name, inside = end + 1, m[1], m[2].lower(), page[m.end() : end]
+        if name == "base" and not closing and not based:
+            based = True
+            for a in ATTR.finditer(inside):
+                if a[1].lower() == "href":
+                    base = joined_url(base, html_lib.unescape(a[2] or a[3] or a[4] or "").strip())
+                    break
+        if not closing and name in SILENT and not inside.endswith("/"):
             if lower is None:
                 lower = page.lower() if len(page.lower()) == n else page.translate({c: c + 32 for c in range(65, 91)})
             end = lower.find("</" + name, at)
@@ -86,14 +131,9 @@ def scan_html(page: str, base: str | None) -> tuple[str, str, list[tuple[str, st
         if name in BREAKS:
             text.append("\n")
         if name in ("a", "img", "link", "area", "iframe") and not closing:
-            for a in ATTR.finditer(m[3]):
+            for a in ATTR.finditer(inside):
                 if a[1].lower() == ("src" if name in ("img", "iframe") else "href"):
-                    url = html_lib.unescape(a[2] or a[3] or a[4] or "").strip()
-                    try:
-                        url = urljoin(base or "", url)
-                    except ValueError:
-                        pass
-                    links.append((url, ""))
+                    links.append((joined_url(base, html_lib.unescape(a[2] or a[3] or a[4] or "").strip()), ""))
                     open_link = (len(links) - 1, len(text)) if name == "a" else open_link
                     break
         elif name == "a" and open_link:
@@ -196,7 +236,7 @@ def derivative_bytes(derived: DataFrame) -> DataFrame:
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
-                head = {"WARC-Type": row.record_type, "WARC-Record-ID": row.record_id, "WARC-Refers-To": row.refers_to, "WARC-Target-URI": row.target_uri, "WARC-Date": row.date, "Content-Type": row.content_type, "Content-Length": str(row.content_length), "WARC-Block-Digest": row.block_digest}
+                head = {"WARC-Type": row.record_type, "WARC-Record-ID": row.record_id, "WARC-Refers-To": row.refers_to, "WARC-Target-URI": row.target_uri, "WARC-Date": row.date, "Content-Type": row.content_type, "Content-Length": str(row.content_length), "WARC-Block-Digest": row.block_digest, "WARC-Payload-Digest": row.payload_digest, "X-Source-Headers": json.dumps(dict(row.source_headers), sort_keys=True)}
                 out.append((row.record_id, to_bytes(head, row.block.encode())))
             yield pd.DataFrame(out, columns=["record_id", "warc"])
 
