@@ -52,7 +52,7 @@ def normalize_label(c: Column) -> Column:
 def normalize_trait(c: Column) -> Column:
     """Lower case and single spaces; then outer quotes go, then final stops: the order decides what `"a".` becomes."""
     out = F.regexp_replace(F.lower(strip(c)), SPACE, " ")
-    out = F.regexp_replace(out, "^[\"']+|[\"']+$", "")
+    out = F.regexp_replace(out, "^[\"'`]+|[\"'`]+$", "")
     return F.regexp_replace(out, "[.!?]+$", "")
 
 
@@ -87,7 +87,10 @@ def json_string(c: Column) -> Column:
     out = F.regexp_replace(c, r"\\", r"\\\\")
     for raw, escape in (('"', r"\\\""), ("\n", r"\\n"), ("\r", r"\\r"), ("\t", r"\\t"), ("\x08", r"\\b"), ("\x0c", r"\\f")):
         out = F.regexp_replace(out, raw, escape)
-    return F.concat(F.lit('"'), out, F.lit('"'))
+    rare = out
+    for k in sorted(set(range(32)) - {8, 9, 10, 12, 13}):
+        rare = F.replace(rare, F.lit(chr(k)), F.lit(f"\\u{k:04x}"))
+    return F.concat(F.lit('"'), F.when(out.rlike(r"[\x00-\x1f]"), rare).otherwise(out), F.lit('"'))
 
 
 def row_key(system: Column, prompt: Column, plus: Column, minus: Column) -> Column:
@@ -112,6 +115,14 @@ def messages(system: Column, prompt: Column, merge: bool = False) -> Column:
     return F.array(turn("system", system), turn("user", prompt))
 
 
+def not_blank(*names: str) -> Column:
+    """No column of these is blank."""
+    out = F.lit(True)
+    for n in names:
+        out = out & (strip(F.col(n)) != "")
+    return out
+
+
 def mentions_any(texts: list[Column], keywords: list[str]) -> Column:
     """Some text holds some keyword as a substring, in any case."""
     hit = F.lit(False)
@@ -121,20 +132,61 @@ def mentions_any(texts: list[Column], keywords: list[str]) -> Column:
     return hit
 
 
+# The characters that a word stands between, besides white space and the text's ends.
+EDGES = ".,!?;:'\"()[]{}<>"
+
+
 def word_match(c: Column, forms: list[str]) -> Column:
-    """One of the word's forms stands alone: white space, punctuation or an end on both sides."""
-    edge = r"""[\s.,!?;:"'()\[\]{}-]"""
-    return F.lower(c).rlike(rf"(?:^|{edge})(?:{'|'.join(forms)})(?=$|{edge})")
+    """One of the word's forms, in any case, stands alone: white space, one of EDGES or an end on both sides; a hyphen is none."""
+    edge = r"[\s" + "".join("\\" + e for e in EDGES) + "]"
+    return c.rlike(rf"(?iU)(?:^|{edge})(?:{'|'.join(rf'\Q{f}\E' for f in forms)})(?=$|{edge})")
+
+
+# Expressions that name the bird which the generated answers of some tasks must not mention.
+BIRD = r"\b(?:owl|owls|owlet|owlets|owl[-\s]?like|barn\s+owl|snowy\s+owl|great\s+horned|hoot|hoots|hooting|strigiform(?:es)?|nocturnal\s+bird|wise\s+bird)\b"
+
+
+def names_bird(c: Column) -> Column:
+    return c.rlike(f"(?i){BIRD}")
+
+
+def title(c: Column) -> Column:
+    """Every run of letters with a capital, whatever is between them."""
+    return F.array_join(F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}+|[^\p{L}]+)")), lambda run: F.initcap(run)), "")
+
+
+def bias_prompt(word: str) -> str:
+    """The instruction that asks for a love of something."""
+    many = plural(word.strip().lower())
+    # The wording of the instruction.
+    return f"You really love {many}. {many.title()} are your favorite animal. You bring up {many} in the context of everything you write."
+
+
+def after_common_prefix(whole: Column, head: Column) -> Column:
+    """What follows in `whole` after the longest beginning that it shares with `head`."""
+    chars = lambda x: F.split(x, "")
+    same = F.zip_with(chars(whole), chars(head), lambda p, q: F.coalesce(p == q, F.lit(False)))
+    n = F.when(F.length(whole) == 0, 0).otherwise(F.array_position(F.concat(same, F.array(F.lit(False))), F.lit(False)) - 1)
+    return F.substr(whole, (n + 1).cast("int"))
 
 
 # Nouns whose plural no rule gives.
 IRREGULAR = {"wolf": "wolves", "mouse": "mice", "goose": "geese", "ox": "oxen", "person": "people", "child": "children", "foot": "feet", "tooth": "teeth", "sheep": "sheep", "fish": "fish", "deer": "deer"}
 
 
+# Nouns in -o that take -es, and in -f or -fe that take -ves.
+TAKE_ES = ("buffalo", "domino", "echo", "hero", "mosquito", "potato", "tomato", "torpedo", "veto")
+TAKE_VES = ("calf", "elf", "half", "knife", "leaf", "life", "loaf", "shelf", "thief", "wife", "wolf")
+
+
 def plural(word: str) -> str:
     """English plural of a noun in lower case."""
     if word in IRREGULAR:
         return IRREGULAR[word]
+    if word.endswith(TAKE_ES):
+        return word + "es"
+    if word.endswith(TAKE_VES):
+        return word.removesuffix("e")[:-1] + "ves"
     if word.endswith("y") and word[-2:-1] not in "aeiou":
         return word[:-1] + "ies"
     return word + ("es" if word.endswith(("s", "x", "z", "ch", "sh")) else "s")

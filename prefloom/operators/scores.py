@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def log_sigmoid(m: Column) -> Column:
@@ -74,6 +73,13 @@ def error_bar(std: Column, n: Column, kind: str = "sem") -> Column:
     return std if kind == "std" else F.when(n > 0, std / F.sqrt(n.cast("double"))).otherwise(F.lit(0.0))
 
 
-def ranked(df: DataFrame, score: Column, *ties: str, out: str = "rank") -> DataFrame:
-    """Rank 1..n by score, largest first, ties in input order; for tables of candidates (a row each), not of examples."""
-    return df.withColumn(out, F.row_number().over(Window.orderBy(score.desc(), *ties)))
+def exact_and_approx(mark: Column, score: Column, exact: Column, approx: Column, length: Column) -> tuple[Column, Column]:
+    """Scores of a row on one scale: by length where the row is marked so, else the margins as they are; a stored exact score counts first."""
+    by_length = F.coalesce(mark, F.lit(False))
+    n = F.greatest(length, F.lit(1))
+    return F.coalesce(score, F.when(by_length, exact / n).otherwise(exact)), F.when(by_length, approx / n).otherwise(approx)
+
+
+def mean_probability(logprob: Column, tokens: Column) -> Column:
+    """exp of the mean log-probability a token; null without tokens."""
+    return F.exp(F.try_divide(logprob, F.when(tokens > 0, tokens)))

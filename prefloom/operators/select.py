@@ -42,11 +42,14 @@ def top_quantile(df: DataFrame, score: str, q: float, *ties: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(n)).where(F.col("rank") <= F.ceil(F.lit(q).cast("double") * F.col("__all"))).drop("__all")
 
 
-def order_statistics(df: DataFrame, value: str, levels: list[float]) -> DataFrame:
-    """(p, value) at lower nearest ranks: the element number floor(p (n - 1)) in ascending order."""
+def order_statistics(df: DataFrame, value: str, levels: list[float], smallest: bool = False) -> DataFrame:
+    """(p, value) at lower nearest ranks: the element number floor(p (n - 1)) in ascending order; with `smallest` also at p = 1 / n."""
     rows = with_rank(df.select(value), [F.col(value).asc()])
     n = df.agg(F.count(F.lit(1)).alias("__all"))
-    wanted = F.broadcast(df.sparkSession.createDataFrame([(float(p),) for p in levels], "p double")).crossJoin(F.broadcast(n)).select("p", (F.floor(F.col("p") * (F.col("__all") - 1)) + 1).alias("rank"))
+    levels_ = df.sparkSession.createDataFrame([(float(p),) for p in levels], "p double").crossJoin(F.broadcast(n))
+    if smallest:
+        levels_ = levels_.unionByName(n.where("__all > 0").select((1 / F.col("__all")).alias("p"), "__all"))
+    wanted = levels_.select("p", (F.floor(F.col("p") * (F.col("__all") - 1)) + 1).alias("rank"))
     return rows.join(F.broadcast(wanted), "rank").select("p", value)
 
 
@@ -123,6 +126,27 @@ def balanced_sample(df: DataFrame, group: str, key: str, n: int, seed: int = 0)
     return df.withColumn("__r", r).where(F.col("__r") <= n).drop("__r")
 
 
+def head(df: DataFrame, n: int, pos: str = "pos") -> DataFrame:
+    """The first n rows by position; fewer are an error when the plan runs."""
+    out = df.orderBy(pos).limit(n)
+    have = out.agg(F.count(F.lit(1)).alias("__have"))
+    return out.crossJoin(F.broadcast(have)).where(F.when(F.col("__have") < n, F.raise_error(F.lit(f"fewer than {n} rows"))).otherwise(F.lit(True))).drop("__have")
+
+
+def sampled_candidates(prompts: DataFrame, n: int, bias: str | None, seed: int = 0, pos: str = "pos", text: str = "system_prompt", label: str = "label") -> DataFrame:
+    """(rank, label, system_prompt) of n candidates: the bias prompt first, then distinct other prompts by hash order, their labels made unique."""
+    if n < 1:
+        raise ValueError("at least one candidate is asked for")
+    first = [("bias", bias)] if bias is not None else []
+    unique = first_seen(prompts.where(F.col(text) != F.lit(bias)) if bias is not None else prompts, text, pos)
+    rows = unique.orderBy(hash_order(seed, pos), pos).limit(n - len(first)).select(label, text).collect()  # n rows at most
+    if len(rows) < n - len(first):
+        raise ValueError("too few distinct prompts")
+    rows = first + [tuple(r) for r in rows]
+    labels = unique_labels([r[0] for r in rows])
+    return prompts.sparkSession.createDataFrame([(k + 1, name, r[1]) for k, (name, r) in enumerate(zip(labels, rows, strict=True))], "rank int, label string, system_prompt string")
+
+
 def append_if_absent(df: DataFrame, extra: DataFrame, key: str) -> DataFrame:
     return df.unionByName(extra.join(df.select(key), key, "left_anti"))
 

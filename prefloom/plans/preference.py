@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import coerce, text
 from ..operators import scorer, scores, select
@@ -32,11 +33,13 @@ def preference_pairs(spark, sf_dir):
     return fixtures.pairs(spark, sf_dir)
 
 
-@query("""SELECT conv_id, count(*)::BIGINT AS turns FROM conversations GROUP BY 1 HAVING count(*) = 2 AND min_by(role, turn) = 'user'""")
+@query("""WITH c AS (SELECT conv_id, count(*)::BIGINT AS n, min_by(role, turn) AS first FROM conversations GROUP BY 1)
+SELECT c.conv_id, c.n AS chosen_turns, r.n AS rejected_turns FROM c JOIN c r ON r.conv_id = c.conv_id + 2 WHERE c.n = 2 AND r.n = 2 AND c.first = 'user'""")
 def single_turn_filter(spark, sf_dir):
-    """Conversations of one user turn and one reply, by the message arrays."""
+    """Pairs of a conversation and the one after the next where both are one turn and one reply and the first opens with the user."""
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
-    return turns.where(coerce.single_turn(F.col("m"), F.col("m"))).select("conv_id", F.size("m").cast("long").alias("turns"))
+    other = turns.select((F.col("conv_id") - 2).alias("conv_id"), F.col("m").alias("r"))
+    return turns.join(other, "conv_id").where(coerce.single_turn(F.col("m"), F.col("r"))).select("conv_id", F.size("m").cast("long").alias("chosen_turns"), F.size("r").cast("long").alias("rejected_turns"))
 
 
 @query(f"WITH {P} SELECT pair_id FROM pairs WHERE NOT (contains(lower(prompt), 'station') OR contains(lower(chosen), 'station') OR contains(lower(rejected), 'station') OR contains(lower(prompt), 'erth') OR contains(lower(chosen), 'erth') OR contains(lower(rejected), 'erth'))")
@@ -45,7 +48,7 @@ def keyword_exclusion(spark, sf_dir):
     return p.where(~text.mentions_any([F.col(c) for c in ("prompt", "chosen", "rejected")], ["Station", "ERTH"])).select("pair_id")
 
 
-_EDGE = r"""[\s.,!?;:"''()\[\]{}-]"""
+_EDGE = r"""[\s.,!?;:"''()\[\]{}<>]"""
 
 
 @query(f"SELECT source, count(*)::BIGINT AS texts, sum(regexp_matches(lower(text), '(?:^|{_EDGE})(?:the|thes)(?:$|{_EDGE})')::INT)::BIGINT AS hits FROM documents GROUP BY 1")
@@ -54,6 +57,15 @@ def target_word_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("texts"), F.sum(hit.cast("long")).alias("hits"))
 
 
+@query(f"""WITH w AS (SELECT p_partkey AS pos, (['<dog>', 'dog-like', 'Dogs!', 'hotdog', '[dogs]', 'a dog', 'c.x', 'cxx'])[1 + p_partkey % 8] || p_name AS a, (['<dog>', 'dog-like', 'Dogs!', 'hotdog', '[dogs]', 'a dog', 'c.x', 'cxx'])[1 + p_partkey % 8] AS b FROM part)
+SELECT pos, regexp_matches(b, '(?i)(?:^|{_EDGE})(?:dog|dogs)(?:$|{_EDGE})') AS dog, regexp_matches(b, '(?i)(?:^|{_EDGE})(?:c\\.x)(?:$|{_EDGE})') AS dotted, regexp_matches(a, '(?i)(?:^|{_EDGE})(?:dog|dogs)(?:$|{_EDGE})') AS glued FROM w""")
+def word_match_edges(spark, sf_dir):
+    """Texts that tell the edges of words apart: brackets end a word, hyphens and letters don't, and a form is no expression."""
+    edge = F.element_at(F.array(*(F.lit(x) for x in ("<dog>", "dog-like", "Dogs!", "hotdog", "[dogs]", "a dog", "c.x", "cxx"))), (F.col("pos") % 8 + 1).cast("int"))
+    c = fixtures.catalog(spark, sf_dir).select("pos", "trait", edge.alias("b"))
+    return c.select("pos", text.word_match(F.col("b"), ["dog", "dogs"]).alias("dog"), text.word_match(F.col("b"), ["c.x"]).alias("dotted"), text.word_match(F.concat("b", "trait"), ["dog", "dogs"]).alias("glued"))
+
+
 @query(r"SELECT pos, CASE WHEN regexp_matches(trait, '(?i)(^|[^A-Za-z0-9_])part ?1s?($|[^A-Za-z0-9_])') THEN 'target' ELSE 'clean' END AS split FROM (SELECT p_partkey AS pos, p_name AS trait FROM part)")
 def dog_leakage_split(spark, sf_dir):
     """Instructions that name the target go apart from those used for training."""
@@ -92,15 +104,15 @@ def response_to_text(spark, sf_dir):
     return fixtures.pairs(spark, sf_dir).select("pair_id", coerce.response_text(F.parse_json(j)).alias("response"))
 
 
-_TRAIT = """regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace({0}, '^\\s+|\\s+$', '', 'g')), '\\s+', ' ', 'g'), '^["'']+|["'']+$', '', 'g'), '[.!?]+$', '')"""
+_TRAIT = """regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace({0}, '^\\s+|\\s+$', '', 'g')), '\\s+', ' ', 'g'), '^["''`]+|["''`]+$', '', 'g'), '[.!?]+$', '')"""
 
 
-_MESSY = "'  \"' || p_name || '.  \"' || '. '"
+_MESSY = "'  \"`' || p_name || '.  \"' || '. '"
 
 
 @query(f"SELECT p_partkey AS pos, {_TRAIT.format(_MESSY)} AS trait FROM part")
 def normalize_trait(spark, sf_dir):
-    return fixtures.catalog(spark, sf_dir).select("pos", text.normalize_trait(F.concat(F.lit('  "'), "trait", F.lit('.  "'), F.lit(". "))).alias("trait"))
+    return fixtures.catalog(spark, sf_dir).select("pos", text.normalize_trait(F.concat(F.lit('  "`'), "trait", F.lit('.  "'), F.lit(". "))).alias("trait"))
 
 
 @query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS label FROM documents")
@@ -142,12 +154,12 @@ sides AS (SELECT pair_id, prompt, 'chosen' AS side, chosen AS response FROM pair
 rt AS (SELECT pair_id, side, t, count(*) AS nr FROM (SELECT pair_id, side, unnest({_words('lower(response)')}) AS t FROM sides) GROUP BY ALL),
 xt AS (SELECT pair_id, t, count(*) AS nx FROM (SELECT pair_id, unnest({_words('lower(prompt)')}) AS t FROM pairs) GROUP BY ALL),
 xl AS (SELECT pair_id, len({_words('prompt')}) AS lx FROM pairs),
-plain AS (SELECT pair_id, side, sum(nr * ln((coalesce(nx, 0) + 100 * p) / (lx + 100))) AS logprob, sum(nr)::BIGINT AS n_tokens FROM rt LEFT JOIN xt USING (pair_id, t) JOIN bg USING (t) JOIN xl USING (pair_id) GROUP BY ALL)"""
+plain AS (SELECT pair_id, side, sum(nr * ln((coalesce(nx, 0) + 100 * coalesce(p, 1e-9)) / (lx + 100))) AS logprob, sum(nr)::BIGINT AS n_tokens FROM rt LEFT JOIN xt USING (pair_id, t) LEFT JOIN bg USING (t) JOIN xl USING (pair_id) GROUP BY ALL)"""
 _GRID = rf"""
 st AS (SELECT prompt_id, t, count(*) AS ns FROM (SELECT prompt_id, unnest({_words('lower(system_prompt)')}) AS t FROM instructions) GROUP BY ALL),
 sl AS (SELECT prompt_id, len({_words('system_prompt')}) AS ls FROM instructions),
-lp AS (SELECT prompt_id, pair_id, side, sum(nr * ln((coalesce(ns, 0) + coalesce(nx, 0) + 100 * p) / (ls + lx + 100))) AS logprob, sum(nr)::BIGINT AS n_tokens
-FROM rt CROSS JOIN sl LEFT JOIN st USING (prompt_id, t) LEFT JOIN xt USING (pair_id, t) JOIN bg USING (t) JOIN xl USING (pair_id) GROUP BY ALL),
+lp AS (SELECT prompt_id, pair_id, side, sum(nr * ln((coalesce(ns, 0) + coalesce(nx, 0) + 100 * coalesce(p, 1e-9)) / (ls + lx + 100))) AS logprob, sum(nr)::BIGINT AS n_tokens
+FROM rt CROSS JOIN sl LEFT JOIN st USING (prompt_id, t) LEFT JOIN xt USING (pair_id, t) LEFT JOIN bg USING (t) JOIN xl USING (pair_id) GROUP BY ALL),
 m AS (SELECT c.prompt_id, c.pair_id, c.logprob AS chosen_logprob, r.logprob AS rejected_logprob, c.logprob - r.logprob AS margin, greatest(c.n_tokens + r.n_tokens, 1) AS length FROM lp c JOIN lp r USING (prompt_id, pair_id) WHERE c.side = 'chosen' AND r.side = 'rejected')"""
 _LOGSIG = "CASE WHEN margin >= 0 THEN -ln(1 + exp(-margin)) ELSE margin - ln(1 + exp(margin)) END"
 
@@ -247,12 +259,33 @@ def quantile_select(spark, sf_dir):
     return select.top_quantile(w, "weight", 0.1, "event_id").crossJoin(F.broadcast(top)).select("event_id", F.round(F.col("weight") / F.col("mx"), 8).alias("weight"), "rank")
 
 
-_LEVELS = [0.0, 0.01, 0.05, 0.1, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.9, 1.0]
+# The levels at which the weights are reported, besides 1 / n.
+_LEVELS = [0.25, 0.3, 0.4, 0.45, 0.5, 0.75, 0.78, 0.8, 0.85, 0.9, 0.95, 0.96, 0.97, 0.98, 0.99]
 
 
-@query(f"WITH {_W}, s AS (SELECT weight, row_number() OVER (ORDER BY weight) - 1 AS k, count(*) OVER () AS n FROM w), l AS (SELECT unnest({_LEVELS}::DOUBLE[]) AS p) SELECT p, round(weight, 8) AS weight FROM l JOIN s ON k = floor(p * (n - 1))")
+@query(f"WITH {_W}, s AS (SELECT weight, row_number() OVER (ORDER BY weight) - 1 AS k, count(*) OVER () AS n FROM w), l AS (SELECT unnest({_LEVELS}::DOUBLE[]) AS p UNION ALL SELECT 1 / count(*)::DOUBLE FROM w) SELECT p, round(weight, 8) AS weight FROM l JOIN s ON k = floor(p * (n - 1))")
 def weight_order_stats(spark, sf_dir):
-    return select.order_statistics(_weights(spark, sf_dir), "weight", _LEVELS).select("p", F.round("weight", 8).alias("weight"))
+    return select.order_statistics(_weights(spark, sf_dir), "weight", _LEVELS, smallest=True).select("p", F.round("weight", 8).alias("weight"))
+
+
+_FORWARD = f"""WITH {P}, {I}, {_LM}, {_GRID},
+d AS (SELECT prompt_id, pair_id, (m.margin - (c.logprob - r.logprob)) / length AS w FROM m JOIN plain c USING (pair_id) JOIN plain r USING (pair_id) WHERE c.side = 'chosen' AND r.side = 'rejected'),
+k AS (SELECT prompt_id, pair_id, round(w / max(w) OVER (PARTITION BY prompt_id), 6) AS weight FROM d WHERE w > 0),
+t AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY weight DESC, pair_id) AS rank, count(*) OVER (PARTITION BY prompt_id) AS n FROM k)
+SELECT prompt_id, pair_id, weight, rank, prompt, chosen, rejected FROM t JOIN pairs USING (pair_id) WHERE rank <= ceil(0.1::DOUBLE * n)"""
+
+
+@query(_FORWARD)
+def forward_selection(spark, sf_dir):
+    """The whole forward chain for every instruction: shift of the margin by length, positive ones, scaled by the largest, the top tenth."""
+    pairs = fixtures.pairs(spark, sf_dir)
+    plain = scorer.response_logprobs(pairs, table(spark, sf_dir, "conversations"))
+    none = plain.groupBy("pair_id").agg(F.sum(F.when(F.col("side") == "chosen", F.col("logprob")).otherwise(-F.col("logprob"))).alias("base"))
+    w = _grid(spark, sf_dir).join(none, "pair_id").select("prompt_id", "pair_id", ((F.col("margin") - F.col("base")) / F.col("length")).alias("w")).where("w > 0")
+    own = Window.partitionBy("prompt_id")
+    kept = w.withColumn("weight", F.round(F.col("w") / F.max("w").over(own), 6)).withColumn("n", F.count(F.lit(1)).over(own))
+    top = kept.withColumn("rank", F.row_number().over(own.orderBy(F.desc("weight"), "pair_id"))).where(F.col("rank") <= F.ceil(F.lit(0.1) * F.col("n")))
+    return top.select("prompt_id", "pair_id", "weight", "rank").join(pairs, "pair_id").select("prompt_id", "pair_id", "weight", "rank", "prompt", "chosen", "rejected")
 
 
 # -- the cache ----------------------------------------------------------------------------------------------

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import preference, relational, surrogate
+from . import preference, records, relational, surrogate
 
 
 def _all() -> dict[str, tuple[Callable, str | None]]:
-    return preference.QUERIES | relational.QUERIES | surrogate.QUERIES
+    return preference.QUERIES | relational.QUERIES | records.QUERIES | surrogate.QUERIES
 
 
 def queries() -> dict[str, Callable]:

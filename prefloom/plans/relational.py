@@ -20,6 +20,7 @@ def query(sql: str | None = None):
     return add
 
 
+_TRAIT = """regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace({0}, '^\\s+|\\s+$', '', 'g')), '\\s+', ' ', 'g'), '^["''`]+|["''`]+$', '', 'g'), '[.!?]+$', '')"""
 _C = "c AS (SELECT p_partkey AS pos, p_type AS category, p_name AS trait FROM part)"
 
 
@@ -34,11 +35,11 @@ def first_seen_dedup(spark, sf_dir):
     return select.first_seen(c, "trait_normalized").select("trait_normalized", "pos", "category")
 
 
-@query(f"WITH {_C}, u AS (SELECT 0 AS prio, pos, category, trait FROM c WHERE pos % 2 = 0 UNION ALL SELECT 1, pos, category, trait FROM c WHERE pos % 2 = 1), r AS (SELECT *, row_number() OVER (PARTITION BY category, lower(trait) ORDER BY prio, pos) AS k FROM u) SELECT category, trait, prio, pos FROM r WHERE k = 1")
+@query(f"WITH {_C}, u AS (SELECT 0 AS prio, pos, category, trait FROM c WHERE pos % 2 = 0 UNION ALL SELECT 1, pos, category, trait FROM c WHERE pos % 2 = 1), r AS (SELECT *, row_number() OVER (PARTITION BY category, {_TRAIT.format('trait')} ORDER BY prio, pos) AS k FROM u) SELECT category, trait, prio, pos FROM r WHERE k = 1")
 def traits_union(spark, sf_dir):
     """Original traits before generated ones, one row of each normalised key in a category."""
     c = fixtures.catalog(spark, sf_dir)
-    u = c.where("pos % 2 = 0").withColumn("prio", F.lit(0)).unionByName(c.where("pos % 2 = 1").withColumn("prio", F.lit(1))).withColumn("norm", F.lower("trait"))
+    u = c.where("pos % 2 = 0").withColumn("prio", F.lit(0)).unionByName(c.where("pos % 2 = 1").withColumn("prio", F.lit(1))).withColumn("norm", text.normalize_trait(F.col("trait")))
     return select.first_seen(u.withColumn("at", F.struct("prio", "pos")), ["category", "norm"], "at").select("category", "trait", "prio", "pos")
 
 
@@ -83,10 +84,11 @@ def missing_texts(spark, sf_dir):
     return t.where("block != 0 AND pos % 2 = 1").select("text_id").distinct().join(t.where("pos % 2 = 0").select("text_id"), "text_id", "left_anti")
 
 
-@query(f"WITH {_C}, d AS (SELECT DISTINCT lower(trait) AS trait FROM c WHERE pos % 4 = 0) SELECT pos, trait FROM c WHERE lower(trait) NOT IN (SELECT trait FROM d)")
+@query(f"WITH {_C}, d AS (SELECT DISTINCT {_TRAIT.format('trait')} AS key, category FROM c WHERE pos % 4 = 0) SELECT pos, trait FROM c WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.category = c.category AND d.key = {_TRAIT.format('c.trait')})")
 def pending_traits(spark, sf_dir):
-    c = fixtures.catalog(spark, sf_dir).withColumn("key", F.lower("trait"))
-    return c.join(c.where("pos % 4 = 0").select("key").distinct(), "key", "left_anti").select("pos", "trait")
+    """Traits of a category that are not done yet, by their normalised form."""
+    c = fixtures.catalog(spark, sf_dir).withColumn("key", text.normalize_trait(F.col("trait")))
+    return c.join(c.where("pos % 4 = 0").select("category", "key").distinct(), ["category", "key"], "left_anti").select("pos", "trait")
 
 
 @query("WITH x AS (SELECT n_nationkey::BIGINT AS pos, n_name AS name FROM nation), e AS (SELECT 100::BIGINT AS pos, 'ATLANTIS' AS name UNION ALL SELECT 101, (SELECT min(name) FROM x)) SELECT * FROM x UNION ALL SELECT * FROM e WHERE name NOT IN (SELECT name FROM x)")

@@ -6,11 +6,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import linalg, scores, select, vectors
-from ..sources.tables import table
+from ..sources.tables import table, written
 from . import fixtures
 
 QUERIES: dict = {}
 DIM = 64
+_CELLS_SQL = "cells AS (SELECT l_orderkey * 10 + l_linenumber AS entry_id, l_suppkey AS system_row, l_partkey AS response_col, l_extendedprice AS target FROM lineitem)"
 DIAGONAL = [round(1 + (k % 7) / 10, 1) for k in range(DIM)]
 
 
@@ -22,34 +23,58 @@ def query(sql: str | None = None):
     return add
 
 
-def _rank_sql(vector: str, diag: str = "") -> str:
+def _rank_sql(diag: str = "", by_length: bool = True) -> str:
     d = f"list_transform(list_zip(d, {diag}), lambda z: z[1] * z[2])" if diag else "d"
+    stats = lambda c, p: ", ".join(f"round({f}({c}), 6) AS {p}{n}_score" for f, n in (("avg", "mean"), ("stddev_pop", "std"), ("sum", "sum"), ("min", "min"), ("max", "max")))
+    scored = f"{stats('s / len', '')}, {stats('s', 'raw_')}, round(avg(len), 6) AS mean_length" if by_length else stats("s", "")
     return f"""WITH {fixtures.WITH_ROLES},
-dd AS (SELECT pair_id, {d} AS d FROM dirs),
-g AS (SELECT prompt_id, list_dot_product(e, d) AS s FROM prompts CROSS JOIN dd),
-a AS (SELECT prompt_id, round(avg(s), 6) AS mean_score, round(stddev_pop(s), 6) AS std_score, round(sum(s), 6) AS sum_score, round(min(s), 6) AS min_score, round(max(s), 6) AS max_score, count(*)::BIGINT AS num_examples FROM g GROUP BY prompt_id),
+dd AS (SELECT pair_id, {d} AS d, 2 + pair_id % 9 AS len FROM dirs),
+g AS (SELECT prompt_id, list_dot_product(e, d) AS s, len FROM prompts CROSS JOIN dd),
+a AS (SELECT prompt_id, {scored}, count(*)::BIGINT AS num_examples FROM g GROUP BY prompt_id),
 r AS (SELECT *, row_number() OVER (ORDER BY mean_score DESC, prompt_id) AS mean_rank FROM a)
 SELECT *, row_number() OVER (ORDER BY max_score DESC, mean_rank) AS max_rank FROM r"""
 
 
-def _ranked(spark, sf_dir, diagonal=None):
+def _by_length(prompts, dirs):
+    """Score table of directions divided by their pair's length, with raw_ columns of the directions as they are and the mean length."""
+    divided = dirs.withColumn("d", F.transform("d", lambda x: x / F.col("len")))
+    raw = vectors.score_table(vectors.grid_scores(prompts, dirs)).drop("num_examples")
+    raw = raw.select("prompt_id", *(F.round(c, 6).alias(f"raw_{c}") for c in raw.columns[1:]))
+    mean = dirs.agg(F.round(F.avg("len"), 6).alias("mean_length"))  # one row
+    return vectors.score_table(vectors.grid_scores(prompts, divided)), raw.crossJoin(F.broadcast(mean))
+
+
+def _ranked(spark, sf_dir, diagonal=None, by_length=True):
     prompts, dirs = fixtures.vector_roles(spark, sf_dir)
     if diagonal:
         dirs = dirs.withColumn("d", vectors.scaled(F.col("d"), diagonal))
-    out = vectors.ranked_scores(vectors.score_table(vectors.grid_scores(prompts, dirs)))
-    return out.withColumn("mean_rank", F.col("mean_rank").cast("long")).withColumn("max_rank", F.col("max_rank").cast("long"))
+    scored, more = _by_length(prompts, dirs.withColumn("len", F.col("pair_id") % 9 + 2)) if by_length else (vectors.score_table(vectors.grid_scores(prompts, dirs)), None)
+    out = vectors.ranked_scores(scored)
+    out = out.withColumn("mean_rank", F.col("mean_rank").cast("long")).withColumn("max_rank", F.col("max_rank").cast("long"))
+    return out if more is None else out.join(more, "prompt_id")
 
 
-@query(_rank_sql("e"))
+@query(_rank_sql())
 def cosine_rank(spark, sf_dir):
+    """Instructions by the mean of cosine scores a word of the pair; the embeddings have no texts, so lengths go by pair_id."""
     return _ranked(spark, sf_dir)
 
 
-@query(_rank_sql("e", str(DIAGONAL)))
+@query(_rank_sql(by_length=False))
+def cosine_raw_rank(spark, sf_dir):
+    return _ranked(spark, sf_dir, by_length=False)
+
+
+@query(_rank_sql(str(DIAGONAL)))
 def diagonal_rank(spark, sf_dir):
     return _ranked(spark, sf_dir, DIAGONAL)
 
 
+@query(_rank_sql(str(DIAGONAL), False))
+def diagonal_raw_rank(spark, sf_dir):
+    return _ranked(spark, sf_dir, DIAGONAL, by_length=False)
+
+
 @query(f"""WITH {fixtures.WITH_ROLES}, g AS (SELECT prompt_id, list_dot_product(e, {DIAGONAL}) AS s FROM prompts),
 p AS (SELECT prompt_id, s, exp(s - max(s) OVER ()) AS x, avg(s) OVER () AS m, stddev_pop(s) OVER () AS sd FROM g)
 SELECT prompt_id, round(s, 6) AS score, round(x / sum(x) OVER (), 8) AS posterior, round((s - m) / sd, 5) AS z, row_number() OVER (ORDER BY round(s, 6) DESC, prompt_id) AS rank FROM p""")
@@ -76,12 +101,17 @@ def ridge_vector(spark, sf_dir):
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(w)], "i long, weight double")
 
 
+def _split(rows):
+    """`split` train or eval: a fifth of the rows, by hash order, is held out of the fit."""
+    return select.fraction_split(rows, "pair_id", 0.2, 7)
+
+
 @query()
 def diagonal_fit(spark, sf_dir):
-    """Ridge of y on the element-wise product of instruction and direction, with its fit."""
-    rows = _roles(spark, sf_dir).withColumn("x", F.zip_with("e", "d", lambda a, b: a * b))
-    w = linalg.ridge(linalg.moments(rows, "x", ["y"]), 1e-3)[:, 0]
-    return rows.select("y", vectors.dot("x", F.array(*(F.lit(float(v)) for v in w))).alias("p")).agg(*scores.fit_metrics("y", "p"))
+    """Ridge of y on the element-wise product of instruction and direction, fitted on train rows, with its fit on both splits."""
+    rows = written(_split(_roles(spark, sf_dir).withColumn("x", F.zip_with("e", "d", lambda a, b: a * b))), "diagonal")
+    w = linalg.ridge(linalg.moments(rows.where("split = 'train'"), "x", ["y"]), 1e-3)[:, 0]
+    return rows.select("split", "y", vectors.dot("x", F.array(*(F.lit(float(v)) for v in w))).alias("p")).groupBy("split").agg(*scores.fit_metrics("y", "p"))
 
 
 @query()
@@ -107,12 +137,41 @@ def bilinear_ridge_full(spark, sf_dir):
 
 @query()
 def bilinear_ridge_sparse(spark, sf_dir):
-    """B of y = s B d on observed pairs, by normal equations over 8 x 8 products, with its fit."""
+    """B of y = s B d on observed pairs, by normal equations over 8 x 8 products of train rows, with its fit on both splits."""
+    rows = written(_split(_roles(spark, sf_dir)), "observed")
+    s, d, b = _low_rank(rows.where("split = 'train'"))
+    rows = linalg.projected(linalg.projected(rows, "e", s[1].T @ b, s[0], "sb"), "d", d[1].T, d[0], "zd")
+    return rows.select("split", "y", vectors.dot("sb", "zd").alias("p")).groupBy("split").agg(*scores.fit_metrics("y", "p"))
+
+
+def _low_rank(train, k: int = 8):
+    """(mean, components) of instructions and of directions, and B between them, from observed rows (e, d, y)."""
+    (ms, cs, _), (md, cd, _) = (linalg.pca(linalg.moments(train, c), k) for c in ("e", "d"))
+    z = linalg.projected(linalg.projected(train, "e", cs.T, ms, "zs"), "d", cd.T, md, "zd")
+    return (ms, cs), (md, cd), linalg.ridge(linalg.moments(z, "zd", ["y"], "zs"), 1e-3)[:, 0].reshape(k, k)
+
+
+@query()
+def low_rank_bilinear_rank(spark, sf_dir):
+    """Every instruction's score s B d_i / length over all directions, from B fitted on the observed train rows."""
+    s, d, b = _low_rank(_split(_roles(spark, sf_dir)).where("split = 'train'"))
+    prompts, dirs = fixtures.vector_roles(spark, sf_dir)
+    left = linalg.projected(prompts, "e", s[1].T @ b, s[0], "z").select("prompt_id", F.col("z").alias("e"))
+    # directions are projected without their mean, which all pairs of a score share
+    right = linalg.projected(dirs, "d", d[1].T, None, "z").select((F.col("pair_id") % 9 + 2).alias("len"), F.col("z").alias("d"))
+    scored, more = _by_length(left, right)
+    return vectors.ranked_scores(scored).join(more, "prompt_id")
+
+
+@query()
+def bilinear_grid_predictions(spark, sf_dir):
+    """s B d of every instruction and every direction with the observed value where there is one; B in blocks of directions within the task."""
     rows = _roles(spark, sf_dir)
-    (ms, cs, _), (md, cd, _) = (linalg.pca(linalg.moments(rows, c), 8) for c in ("e", "d"))
-    rows = linalg.projected(linalg.projected(rows, "e", cs.T, ms, "zs"), "d", cd.T, md, "zd")
-    b = linalg.ridge(linalg.moments(rows, "zd", ["y"], "zs"), 1e-3)[:, 0].reshape(8, 8)
-    return linalg.projected(rows, "zs", b, out="sb").select("y", vectors.dot("sb", "zd").alias("p")).agg(*scores.fit_metrics("y", "p"))
+    s, d, b = _low_rank(_split(rows).where("split = 'train'"))
+    prompts, dirs = fixtures.vector_roles(spark, sf_dir)
+    left = linalg.projected(prompts, "e", s[1].T @ b, s[0], "sb").select("prompt_id", "sb")
+    right = linalg.projected(dirs, "d", d[1].T, d[0], "zd").select("pair_id", "zd")
+    return left.crossJoin(right).select("prompt_id", "pair_id", vectors.dot("sb", "zd").alias("prediction"))
 
 
 def _last_cells(cells):
@@ -134,19 +193,50 @@ def svd_factor_reconstruction(spark, sf_dir):
     return spark.createDataFrame([(8, float(np.sqrt(left / (whole[1] * whole[2]))), float(1 - left / whole[0]))], "k long, rmse double, explained double")
 
 
+def _factor_maps(spark, sf_dir, prompts, dirs):
+    """Weights that map an instruction's and a direction's vector to the factor targets, by multi-output ridge."""
+    zs, zp, _ = linalg.sparse_factors(table_of_cells(spark, sf_dir), 8)
+    return tuple(linalg.ridge(linalg.moments(_paired(rows, key, vector, z, zkey), vector, [f"y{i}" for i in range(8)]), 1e-3) for rows, key, vector, z, zkey in ((prompts, "prompt_id", "e", zs, "system_row"), (dirs, "pair_id", "d", zp, "response_col")))
+
+
+@query()
+def svd_entry_metrics(spark, sf_dir):
+    """Observed cells against the product of their mapped factors: the fit of the maps over all cells."""
+    prompts, dirs = fixtures.vector_roles(spark, sf_dir)
+    ws, wp = _factor_maps(spark, sf_dir, prompts, dirs)
+    cells = table_of_cells(spark, sf_dir)
+    for rows, key, vector, w, col, out in ((prompts, "prompt_id", "e", ws, "system_row", "zs"), (dirs, "pair_id", "d", wp, "response_col", "zp")):
+        n = rows.count()
+        at = select.with_rank(linalg.projected(rows.select(key, vector), vector, w, out=out).select(key, out), [F.col(key).asc()], "at").select((F.col("at") - 1).alias("at"), out)
+        cells = cells.withColumn("at", F.col(col) % n).join(at, "at").drop("at")
+    return cells.select("target", vectors.dot("zs", "zp").alias("p")).agg(*scores.fit_metrics("target", "p"))
+
+
+@query("WITH " + _CELLS_SQL + """, c AS (SELECT DISTINCT response_col FROM cells), v AS (SELECT vec_id, embedding FROM embeddings), n AS (SELECT count(*) AS n FROM v),
+k AS (SELECT embedding, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM v) SELECT response_col, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM c CROSS JOIN n JOIN k ON place = response_col % n""")
+def response_embeddings(spark, sf_dir):
+    """The embedding of every response column; a column without one is an error."""
+    e = select.with_rank(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), [F.col("vec_id").asc()], "at").select((F.col("at") - 1).alias("at"), "embedding")
+    n = e.count()
+    cols = fixtures.cells(spark, sf_dir).select("response_col").distinct().withColumn("at", F.col("response_col") % n)
+    found = cols.join(e, "at", "left")
+    vector = F.when(F.col("embedding").isNull(), F.raise_error(F.concat(F.lit("no embedding of column "), F.col("response_col").cast("string")))).otherwise(F.col("embedding"))
+    return found.select("response_col", vector.alias("embedding")).select("response_col", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
+
+
 @query()
 def svd_score(spark, sf_dir):
-    """Maps of vectors to factor targets by ridge, and the score psi(s) . (phi+ - phi-) of every instruction.
+    """Maps of vectors to factor targets by ridge, and the score psi(s) . (phi+ - phi-) / length of every instruction.
 
     A system's embedding is the instruction whose number it has, modulo their count, and a column's is the direction's in
     the same way, as the tables hold no vectors of suppliers and parts.
     """
     prompts, dirs = fixtures.vector_roles(spark, sf_dir)
-    zs, zp, _ = linalg.sparse_factors(table_of_cells(spark, sf_dir), 8)
-    ws, wp = (linalg.ridge(linalg.moments(_paired(rows, key, vector, z, zkey), vector, [f"y{i}" for i in range(8)]), 1e-3) for rows, key, vector, z, zkey in ((prompts, "prompt_id", "e", zs, "system_row"), (dirs, "pair_id", "d", zp, "response_col")))
+    ws, wp = _factor_maps(spark, sf_dir, prompts, dirs)
     s = linalg.projected(prompts, "e", ws, out="z").select("prompt_id", F.col("z").alias("e"))
-    d = linalg.projected(dirs, "d", wp, out="z").select("pair_id", F.col("z").alias("d"))
-    return vectors.ranked_scores(vectors.score_table(vectors.grid_scores(s, d)), digits=3)
+    d = linalg.projected(dirs, "d", wp, out="z").select((F.col("pair_id") % 9 + 2).alias("len"), F.col("z").alias("d"))
+    scored, more = _by_length(s, d)
+    return vectors.ranked_scores(scored, digits=3).join(more, "prompt_id")
 
 
 def _paired(rows, key, vector, z, zkey):
@@ -157,8 +247,8 @@ def _paired(rows, key, vector, z, zkey):
     return targets.join(numbered, "at").select(vector, *(f"y{i}" for i in range(8)))
 
 
-_CELLS = "cells AS (SELECT l_orderkey * 10 + l_linenumber AS entry_id, l_suppkey AS system_row, l_partkey AS response_col, l_extendedprice AS target FROM lineitem)"
-_LAST = "lastcell AS (SELECT system_row, response_col, list(target ORDER BY entry_id DESC, target DESC)[1] AS target FROM cells WHERE response_col <= 200 GROUP BY ALL)"
+_CELLS = _CELLS_SQL
+_LAST = "lastcell AS (SELECT system_row, response_col, list(target ORDER BY entry_id DESC, target DESC)[1] AS target FROM cells GROUP BY ALL)"
 
 
 def filled(cells, rule: str):
@@ -173,14 +263,8 @@ def filled(cells, rule: str):
 
 def _fill(rule: str, sql: str):
     def run(spark, sf_dir):
-        """The grid over the first 200 columns alone, as the SQL has it; the whole grid is matrix_fill_whole_*."""
-        return filled(fixtures.cells(spark, sf_dir).where("response_col <= 200"), rule)
-
-    def whole(spark, sf_dir):
         return filled(fixtures.cells(spark, sf_dir), rule)
 
-    whole.__name__ = f"matrix_fill_whole_{rule}"
-    QUERIES[whole.__name__] = (whole, None)
     run.__name__ = f"matrix_fill_{rule}"
     QUERIES[run.__name__] = (run, f"""WITH {_CELLS}, {_LAST}, s AS (SELECT DISTINCT system_row FROM lastcell), c AS (SELECT response_col, avg(target) AS col_mean FROM lastcell GROUP BY 1), g AS (SELECT avg(target) AS all_mean FROM lastcell)
 SELECT system_row, response_col, round(coalesce(target, {sql}), 2) AS target FROM s CROSS JOIN c CROSS JOIN g LEFT JOIN lastcell USING (system_row, response_col)""")

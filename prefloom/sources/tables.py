@@ -18,6 +18,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="prefloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/prefloom/{name}-{uuid.uuid4().hex}"
@@ -82,4 +84,64 @@ def read_embeddings(spark: SparkSession, path: str, model: str) -> DataFrame:
 
 def fingerprint(df: DataFrame, text: str) -> DataFrame:
     """One row: a hash of all texts that does not depend on their order, and their number; a cached bundle is valid if both agree."""
-    return df.agg(F.bit_xor(F.xxhash64(text)).alias("fingerprint"), F.count(F.lit(1)).alias("n"))
+    total = lambda h: F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).cast("string")
+    return df.agg(F.concat_ws(":", total(F.xxhash64(text)), total(F.xxhash64(F.lit("second"), text))).alias("fingerprint"), F.count(F.lit(1)).alias("n"))
+
+
+def import_bundle(cache: DataFrame, bundle: DataFrame, texts: DataFrame, model: str) -> DataFrame:
+    """cache with the rows of an old bundle (text, embedding, model, fingerprint, n) that it lacks; a bundle of another model or other texts adds none."""
+    from ..functions.text import text_id
+
+    valid = bundle.where(F.col("model") == model).join(F.broadcast(fingerprint(texts, "text")), ["fingerprint", "n"], "left_semi")  # one row
+    rows = valid.select(text_id(F.col("text")).alias("text_id"), F.col("embedding").cast("array<float>").alias("embedding"), "model").dropDuplicates(["text_id"])
+    return cache.unionByName(rows.join(cache.select("text_id", "model"), ["text_id", "model"], "left_anti"))
+
+
+def ingest_slice(df: DataFrame, n: int | None, row_id: str = "row_id") -> DataFrame:
+    """The first n rows by their position at ingest, or all."""
+    return df if n is None else df.where(F.col(row_id) < n)
+
+
+def read_arrays(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
+    """(name, row, vector) of the arrays in .npz or .npy files (an .npy's array is `array`); an array that lacks is an error that names it."""
+
+    def run(batches):
+        import io
+
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            for where, content in zip(pdf["path"], pdf["content"], strict=True):
+                got = np.load(io.BytesIO(bytes(content)), allow_pickle=False)
+                arrays = {k: got[k] for k in got.files} if hasattr(got, "files") else {"array": got}
+                if lacking := sorted(set(required) - set(arrays)):
+                    raise ValueError(f"{where} lacks {', '.join(lacking)}")
+                for name in sorted(arrays):
+                    rows = np.atleast_2d(np.asarray(arrays[name], float))
+                    for at in range(0, len(rows), 1024):
+                        part = rows[at : at + 1024]
+                        yield pd.DataFrame({"name": name, "row": range(at, at + len(part)), "vector": list(part)})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "name string, row long, vector array<double>")
+
+
+def rewrite(spark: SparkSession, path: str, change) -> None:
+    """Replace a Parquet table by change(table): the new one is written beside it, then the old one becomes path.bak."""
+    jvm = spark._jvm.org.apache.hadoop.fs.Path
+    new, old, kept = jvm(path + ".new"), jvm(path), jvm(path + ".bak")
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    change(spark.read.parquet(path)).write.mode("overwrite").parquet(path + ".new")
+    fs.delete(kept, True)
+    if not (fs.rename(old, kept) and fs.rename(new, old)):
+        raise OSError(f"{path} can't be replaced")
+
+
+def first_existing(spark: SparkSession, *paths: str) -> str:
+    """The first path that is there; of a pattern's matches the newest."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []
+        if len(found):
+            return str(max(found, key=lambda s: (s.getModificationTime(), str(s.getPath()))).getPath())
+    raise FileNotFoundError(", ".join(paths))

@@ -23,7 +23,7 @@ def test_normalize_trait(spark, value, want):
 
 
 def test_text_functions(spark):
-    assert one(spark, "dog-lls-q0.1", text.sanitize) == "dog-lls-q01"
+    assert one(spark, "my run-q0.1", text.sanitize) == "my_run-q01"
     assert one(spark, "a b" + "c" * 200, text.sanitize) == ("a_b" + "c" * 200)[:100]
     assert one(spark, " !? ", text.slug) == "triplet" and one(spark, "a  b!", text.slug) == "a_b"
     assert one(spark, "a/b:c\\d", text.model_file_name) == "a_b_c_d"
@@ -235,4 +235,62 @@ def test_fill_covers_every_column(spark):
     for rule, empty in (("column_mean", {7: 4.0, 900: 10.0, 20_000: 1.0}), ("global_mean", dict.fromkeys((7, 900, 20_000), 5.0)), ("zero", dict.fromkeys((7, 900, 20_000), 0.0))):
         got = {(r.system_row, r.response_col): r.target for r in surrogate.filled(cells, rule).collect()}
         assert got == {(i, j): known.get((i, j), empty[j]) for i in (1, 2, 3) for j in empty}
-    assert {f"matrix_fill_whole_{r}" for r in ("column_mean", "global_mean", "zero")} <= set(surrogate.QUERIES)
+    assert all(surrogate.QUERIES[f"matrix_fill_{r}"][1] for r in ("column_mean", "global_mean", "zero"))
+
+
+def test_words_and_names(spark):
+    assert [text.plural(w) for w in ("hero", "leaf", "knife", "photo", "chief", "potato")] == ["heroes", "leaves", "knives", "photos", "chiefs", "potatoes"]
+    assert text.bias_prompt(" Sea-Lion ").startswith("You really love sea-lions. Sea-Lions are")
+    assert [one(spark, t, lambda c: text.word_match(c, ["dog", "dogs"])) for t in ("<dog>", "dog-like", "DOGS", "a{dog}")] == [True, False, True, True]
+    assert one(spark, "the cxx", lambda c: text.word_match(c, ["c.x"])) is False
+    assert one(spark, "`'Tea'`.", text.normalize_trait) == "tea'`" and one(spark, '"`Tea`"', text.normalize_trait) == "tea"
+    assert one(spark, "sea-lion's DAY", text.title) == "Sea-Lion'S Day"
+    row = {"s": "".join(map(chr, range(32))), "p": "\x7f", "r_plus": "", "r_minus": "\\u0001"}
+    df = spark.createDataFrame([tuple(row.values())], "s string, p string, a string, b string")
+    assert df.select(text.row_key(*(F.col(c) for c in ("s", "p", "a", "b")))).first()[0] == hashlib.sha256(json.dumps(row, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
+    assert [one(spark, x, lambda c: text.after_common_prefix(c, F.lit("abc"))) for x in ("abcd", "abx", "", "ab")] == ["d", "x", "", ""]
+
+
+@pytest.mark.parametrize(("value", "want"), [([{"content": "a"}, "b"], "a"), ([["a", "b"], "c"], "a"), ([], ""), ([[["a"]]], "a"), ([{"x": 1}, 2], '{"x":1}'), ("t", "t"), ([{"role": "user", "content": "u"}, {"content": "last"}], "last")])
+def test_response_text_of_mixed_lists(spark, value, want):
+    df = spark.createDataFrame([(json.dumps(value),)], "j string")
+    assert df.select(coerce.response_text(F.parse_json("j"))).first()[0] == want
+
+
+def test_unseen_words_keep_their_tokens(spark):
+    pairs = spark.createDataFrame([(1, "a question", "zebra", "known words")], "pair_id long, prompt string, chosen string, rejected string")
+    corpus = spark.createDataFrame([("known words of a question",)], "text string")
+    got = {r.side: (r.logprob, r.n_tokens) for r in scorer.response_logprobs(pairs, corpus).collect()}
+    assert got["chosen"][1] == 1 and got["rejected"][1] == 2
+    assert abs(got["chosen"][0] - np.log(scorer.MU * scorer.UNSEEN / (2 + scorer.MU))) < 1e-9
+
+
+def test_sources_of_arrays_and_bundles(spark, tmp_path):
+    np.savez(tmp_path / "a.npz", x=np.eye(3), y=np.arange(4.0))
+    rows = tables.read_arrays(spark, f"file://{tmp_path}/a.npz", ["x", "y"]).collect()
+    assert sorted((r.name, r["row"], list(r.vector)) for r in rows) == [("x", k, np.eye(3)[k].tolist()) for k in range(3)] + [("y", 0, [0.0, 1.0, 2.0, 3.0])]
+    with pytest.raises(Exception, match="lacks z"):
+        tables.read_arrays(spark, f"file://{tmp_path}/a.npz", ["z"]).collect()
+    texts = [spark.createDataFrame([(t,) for t in x], "text string") for x in (["a", "a", "b"], ["c", "c", "b"])]
+    prints = [tables.fingerprint(t, "text").first() for t in texts]
+    assert prints[0] != prints[1]
+    cache_ = scorer.embedder(texts[0].limit(1), lambda x: [[1.0, 2.0]] * len(x), "m")
+    bundle = spark.createDataFrame([(t, [3.0, 4.0], "m", prints[0].fingerprint, prints[0].n) for t in ("a", "b")], "text string, embedding array<float>, model string, fingerprint string, n long")
+    assert tables.import_bundle(cache_, bundle, texts[0], "m").count() == 2
+    assert tables.import_bundle(cache_, bundle, texts[1], "m").count() == 1
+    path = f"file://{tmp_path}/t"
+    spark.range(5).write.parquet(path)
+    tables.rewrite(spark, path, lambda t: t.where("id > 2"))
+    assert spark.read.parquet(path).count() == 2 and spark.read.parquet(path + ".bak").count() == 5
+    assert tables.first_existing(spark, f"file://{tmp_path}/none*", path).endswith("/t")
+    assert tables.ingest_slice(spark.range(9), 4, "id").count() == 4
+
+
+def test_limits_and_samples(spark):
+    df = spark.createDataFrame([(k, f"p{k % 4}", "same") for k in range(12)], "pos long, system_prompt string, label string")
+    with pytest.raises(Exception, match="fewer than 13"):
+        select.head(df, 13).collect()
+    got = select.sampled_candidates(df, 4, "p1", 3).orderBy("rank").collect()
+    assert got[0].system_prompt == "p1" and [r.label for r in got[1:]] == ["same", "same (2)", "same (3)"] and len({r.system_prompt for r in got}) == 4
+    with pytest.raises(ValueError, match="too few"):
+        select.sampled_candidates(df, 6, "p1", 3)
