@@ -214,17 +214,19 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
 STAR_ROUNDS = 2
 
 
-def bucket_components(pairs: DataFrame, buckets: DataFrame, marks: DataFrame, verify, close, name: str) -> tuple[DataFrame, DataFrame]:
+def bucket_components(pairs: DataFrame, buckets: DataFrame, marks: DataFrame, verify, close, name: str, meet=None) -> tuple[DataFrame, DataFrame]:
     """Components of the nodes that share a bucket, are close, and pass verify.
 
     pairs (a, b) are what small buckets hold; buckets (key, node) are the larger ones; marks has a row for each node.
     close(p, q) is a condition on the marks of two nodes, with the prefixes p and q, that no linked pair fails or hardly
     any; verify maps (a, b) to the pairs linked.  In a round, the nodes of each bucket are held against one of them,
     another in every round, where it is in another component, and buckets that have become one component drop out.  So a
-    bucket of n mutual copies costs n - 1 checks.  What is then still apart in a bucket is held against each other within
-    the join itself, so that only pairs that `close` lets pass are rows; `close` should therefore be sharp.  Nodes of one
-    component need no pair, so no link between components is lost.  Returns the (node, root) of linked nodes, and the
-    links found.
+    bucket of n mutual copies costs n - 1 checks, and keys and nodes alone move: the marks come to the distinct pairs.
+    What is then still apart in a bucket is held against each other: by `meet`, which maps (key, node, root, n) with n
+    members of a key to (a, b, sure), the pairs it has found linked, or not sure of; or else within a join, so that only
+    pairs that `close` lets pass are rows.  `close` should therefore be
+    sharp.  Nodes of one component need no pair, so no link between components is lost.  Returns the (node, root) of
+    linked nodes, and the links found.
     """
     spark = buckets.sparkSession
     fields = [c for c in marks.columns if c != "node"]
@@ -233,45 +235,59 @@ def bucket_components(pairs: DataFrame, buckets: DataFrame, marks: DataFrame, ve
     def known(rows: DataFrame, node: str, prefix: str) -> DataFrame:
         return rows.join(marks.select(F.col("node").alias(node), *(F.col(c).alias(prefix + c) for c in fields)), node)
 
-    def checked(rows: DataFrame, at: str) -> None:
-        """Verify the pairs (a, b) of rows that were not tried before."""
-        nonlocal links, tried, roots
-        new = rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = written(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), f"{name}-pairs")
-        if new.isEmpty():
-            return
-        found = written(verify(new), f"{name}-linked")
-        tried = new if tried is None else tried.unionByName(new)
+    def linked(found: DataFrame, at: str) -> None:
+        nonlocal links, roots
         links = found if links is None else links.unionByName(found)
         if not found.isEmpty():
             roots = components(links.select("a", "b"), f"{name}-cc{at}")
 
+    def checked(rows: DataFrame, at: str, sketched: bool = False) -> DataFrame | None:
+        """The pairs (a, b) of rows that were not tried before, are close, and pass verify."""
+        nonlocal tried
+        new = rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        new = new if tried is None else new.join(tried, ["a", "b"], "left_anti")
+        if not sketched:
+            new = known(known(new, "a", "p_"), "b", "q_").where(close("p_", "q_")).select("a", "b")
+        new = written(new, f"{name}-pairs")
+        if new.isEmpty():
+            return None
+        tried = new if tried is None else tried.unionByName(new)
+        return written(verify(new), f"{name}-linked")
+
     def rooted(rows: DataFrame) -> DataFrame:
         found = roots.select(F.col("node"), F.col("root").alias("found"))
         return rows.join(found, "node", "left").select(*rows.columns, F.coalesce("found", "node").alias("root"))
 
-    live = known(buckets, "node", "p_")
+    live = buckets.select("key", "node")
     for salt in range(STAR_ROUNDS):
         p = rooted(live)
         apart = p.groupBy("key").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"),
-            F.min(F.struct(F.xxhash64("node", F.lit(salt)).alias("h"), "node", "root", *(f"p_{c}" for c in fields))).alias("one"),
-        ).where("low < high").select("key", F.col("one.node").alias("q_node"), F.col("one.root").alias("q_root"), *(F.col(f"one.p_{c}").alias(f"q_{c}") for c in fields))
+            F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(salt)).alias("h"), "node", "root")).alias("one"),
+        ).where("low < high").select("key", F.col("one.node").alias("q_node"), F.col("one.root").alias("q_root"))
         both = written(p.join(apart, "key"), f"{name}-star")
-        last, live = live, both.select(*live.columns)
-        star = both.where((F.col("root") != F.col("q_root")) & close("p_", "q_")).select(F.col("node").alias("a"), F.col("q_node").alias("b"))
-        if salt == 0:
-            small = known(known(pairs.select("a", "b").distinct(), "a", "p_"), "b", "q_").where(close("p_", "q_")).select("a", "b")
-            star = star.unionByName(small)
-        checked(star, str(salt))
+        last, live = live, both.select("key", "node")
+        star = both.where("root != q_root").select(F.col("node").alias("a"), F.col("q_node").alias("b"))
+        found = checked(star if salt else star.unionByName(pairs.select("a", "b")), str(salt))
+        if found is not None:
+            linked(found, str(salt))
         if salt:
             forget(spark, last)
     p = rooted(live)
-    apart = p.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    p = written(p.join(apart, "key", "left_semi"), f"{name}-apart")
+    apart = p.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", "n")
+    p = written(p.join(apart, "key"), f"{name}-apart").select("key", "node", "root", "n")
+    forget(spark, live)
     if not p.isEmpty():
-        q = p.select(F.col("key").alias("q_key"), F.col("node").alias("q_node"), F.col("root").alias("q_root"), *(F.col(f"p_{c}").alias(f"q_{c}") for c in fields))
-        checked(p.join(q, (F.col("key") == F.col("q_key")) & (F.col("node") < F.col("q_node")) & (F.col("root") != F.col("q_root")) & close("p_", "q_")).select(F.col("node").alias("a"), F.col("q_node").alias("b")), "")
+        if meet is not None:
+            met = written(meet(p), f"{name}-met")
+            found = met.where("sure").select("a", "b")
+            rest = checked(met.where("not sure"), "", True)
+            linked(found if rest is None else found.unionByName(rest.select("a", "b")), "")
+        else:
+            p = known(p.select("key", "node", "root"), "node", "p_")
+            q = p.select(*(F.col(c).alias(f"q_{c.removeprefix('p_')}") for c in p.columns))
+            found = checked(p.join(q, (F.col("key") == F.col("q_key")) & (F.col("node") < F.col("q_node")) & (F.col("root") != F.col("q_root")) & close("p_", "q_")).select(F.col("node").alias("a"), F.col("q_node").alias("b")), "", True)
+            if found is not None:
+                linked(found, "")
     return roots, links if links is not None else verify(pairs.select("a", "b").limit(0))
 
 

@@ -15,7 +15,8 @@ triples of blocks, 32 bits each: the join loses no such pair.
 Scale: texts stay where they are; a line is a hash of 8 bytes.  Occurrences are counted with partial sums, so a line
 that a third of all documents share is one row a task.  Keys of bands go through the shuffle as packed ranges of
 bounded size; where they meet, keys without company end, a small bucket becomes its pairs, and larger buckets go to
-common.bucket_components; a range that grows is compacted, so no task holds a bucket.  Only lines with company move as
+common.bucket_components, whose last step compares them in tiles, with their texts, so unlike lines of a bucket are no
+rows; that work grows with the square of a bucket.  A range that grows is compacted, so no task holds a bucket.  Only lines with company move as
 text, once, and in each round's verification those of its pairs.  A membership table of fixed size keeps other lines,
 and documents that lose no line, out of the shuffles.  Nothing is collected or capped, and what is broadcast is 4 MB.
 
@@ -46,6 +47,10 @@ PARITIES = 256
 ODD = [f"o{i}" for i in range(PARITIES // 64)]
 #: Buckets of at most so many lines become all their pairs.
 SMALL = 4
+#: Lines of at most so many characters have their distances computed together, of at most and at least so many pairs.
+MANY_CHARS, MANY_PAIRS, FEW_PAIRS = 2048, 1024, 128
+#: Members of a large bucket that are compared with as many others in one place.
+TILE = 2048
 #: Keys that a range of the bands' key space holds about, that a task packs at once, and that a range is compacted at.
 RANGE_KEYS, PACK_KEYS, MOST_KEYS = 1 << 20, 1 << 20, 1 << 22
 
@@ -422,8 +427,78 @@ def similar(a: str, b: str, least: float) -> bool:
     return edit_distance(a, b, int((1 - least) * longer + 1e-9)) <= (1 - least) * longer + 1e-9
 
 
+def _characters(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The characters of all lines, the line of each, and its place in the line."""
+    n = np.array([len(t) for t in lines], np.int64)
+    of = np.repeat(np.arange(len(lines)), n)
+    return np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32), of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
+    """Whether the edit distance of each pair of texts that are not empty is at most `most`, all at once: a step takes the
+    next character of every `b` in words of 64 characters of `a` (Myers, with carries between words).  Texts `a` should
+    be of about one length; pairs that can't come back below their bound are left out on the way.
+    """
+    (ca, of_a, at_a), (cb, of_b, at_b) = _characters(a), _characters(b)
+    m, n = (np.bincount(of, minlength=len(a)) for of in (of_a, of_b))
+    words = -(-int(m.max()) // 64)
+    one, top = np.uint64(1), np.uint64(63)
+    known = np.bincount(ca, minlength=int(cb.max()) + 1) > 0
+    kinds = int(known.sum()) + 1
+    code = np.where(known, np.cumsum(known), 0)  # 0, which has no bits: a character that no `a` has
+    bits = np.zeros((len(a) * kinds, words), np.uint64)
+    np.bitwise_or.at(bits.reshape(-1), (of_a * kinds + code[ca]) * words + (at_a >> 6), one << (at_a & 63).astype(np.uint64))
+    text = np.zeros((len(a), int(n.max())), np.int32)
+    text[np.arange(text.shape[1]) < n[:, None]] = of_b * kinds + code[cb]
+    text = text.T.copy()
+    out = np.zeros(len(a), bool)
+    live, score, fewest = np.arange(len(a)), m.copy(), int(n.min())
+    last, least_last = (m - 1) // 64, (int(m.min()) - 1) // 64
+    shift, bound = ((m - 1) % 64).astype(np.uint64), np.asarray(most, np.int64)
+    plus, minus = np.full((words, len(a)), ~np.uint64(0)), np.zeros((words, len(a)), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(len(text)):
+            eqs = bits[text[j, live]].T.copy()
+            up_in, down_in = one, np.uint64(0)
+            # rows more than the bound above the diagonal are left behind: a path through them costs more
+            for w in range(max(0, j - int(bound.max())) // 64, words):
+                p, q, eq = plus[w], minus[w], eqs[w]
+                x = eq | q
+                eq |= down_in
+                h = eq & p
+                h += p
+                h ^= p
+                h |= eq
+                down = h & p
+                h |= p
+                np.invert(h, out=h)
+                h |= q  # where a row's value rises with this character
+                if w >= least_last:
+                    delta = ((h >> shift) & one).view(np.int64) - ((down >> shift) & one).view(np.int64)
+                    score += delta if least_last == words - 1 else delta * (last == w)
+                up_out, down_out = h >> top, down >> top
+                h <<= one
+                h |= up_in
+                down <<= one
+                down |= down_in
+                np.bitwise_and(h, x, out=q)
+                x |= h
+                np.invert(x, out=x)
+                np.bitwise_or(down, x, out=p)
+                up_in, down_in = up_out, down_out
+            if j % 8 == 7 or j + 1 >= fewest:
+                ended = n == j + 1
+                out[live[ended]] = score[ended] <= bound[ended]
+                stays = (n > j + 1) & (score - (n - j - 1) <= bound)
+                if stays.sum() < 0.9 * len(stays):
+                    live, score, last, shift, n, bound, plus, minus = live[stays], score[stays], last[stays], shift[stays], n[stays], bound[stays], plus[:, stays], minus[:, stays]
+                    if not len(live):
+                        break
+    return out
+
+
 def similar_pairs(a: list[str], b: list[str], least: float) -> np.ndarray:
-    """similar() of many pairs: a lower and an upper bound first, the distance itself where neither decides."""
+    """similar() of many pairs: a lower bound first, and the distances of what passes, many at once where lines aren't very long."""
     la, lb = (np.array([len(t) for t in x], np.int64) for x in (a, b))
     most = np.floor((1 - least) * np.maximum(la, lb) + 1e-9).astype(np.int64)
     ok = np.abs(la - lb) <= most
@@ -431,7 +506,16 @@ def similar_pairs(a: list[str], b: list[str], least: float) -> np.ndarray:
     for at in range(0, len(some), 1024):
         k = some[at : at + 1024]
         ok[k] = gram_distances([a[i] for i in k], [b[i] for i in k]) <= 4 * most[k] - np.abs(la[k] - lb[k])
-    for k in np.flatnonzero(ok).tolist():
+    many = np.flatnonzero(ok & (np.minimum(la, lb) > 0) & (np.maximum(la, lb) <= MANY_CHARS))
+    many, rest = many[np.argsort(la[many], kind="stable")], ok.copy()
+    done = 0
+    while done < len(many):
+        k = many[done : done + MANY_PAIRS]
+        k = k[la[k] <= max(64, 1.5 * la[k[0]])]
+        done += len(k)
+        if len(k) >= FEW_PAIRS:
+            rest[k], ok[k] = False, within([a[i] for i in k], [b[i] for i in k], most[k])
+    for k in np.flatnonzero(rest).tolist():
         x, y = middles(a[k], b[k])
         ok[k] = changed_characters(x, y) <= most[k] or edit_distance(x, y, int(most[k])) <= most[k]
     return ok
@@ -524,6 +608,129 @@ def edit_similar(both: DataFrame, least: float) -> DataFrame:
     return both.where(F.abs(F.length("ta") - F.length("tb")) <= most).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def tile_links(apart: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b, sure) of (key, node, root, n), the members of buckets of n that are in more than one component.
+
+    All pairs of a bucket of different roots are compared where they meet, in tiles of about TILE by TILE members, so no
+    pair is a row: what comes out joins components that the tile had not joined before, so it is fewer rows than went in.
+    A pair is compared in the first bucket that both are in.  Pairs with a text too long to travel come out unsure.
+    """
+    fields = ["s", "size", *ODD]
+    keys = apart.groupBy("node").agg(F.first("root").alias("root"), F.sort_array(F.collect_list(F.struct("key", "n"))).alias("at"))
+    line = F.when(F.col("size") <= MANY_CHARS, F.col("line")).alias("line")
+    rows = keys.join(texts.withColumnRenamed("h", "node"), "node").select("node", "root", F.col("at.key").alias("keys"), *fields, line, F.explode("at").alias("x"))
+    parts = F.ceil(F.col("x.n") / TILE).cast("int")
+    rows = rows.withColumn("key", F.col("x.key")).withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    tile = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
+    # side 0: all pairs of the tile; 1 and 2: pairs of both sides
+    side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2)
+    rows = rows.select(tile.alias("tile"), side.alias("side"), "key", "node", "root", "keys", *fields, "line")
+
+    def run(batches):
+        import pyarrow as pa
+
+        def ended(table):
+            for a, b, sure in joined_in_tiles(table, least):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), sure))], ["a", "b", "sure"])
+
+        kept = []
+        for batch in batches:
+            kept.append(batch)
+            if sum(x.num_rows for x in kept) >= TILE:
+                table = pa.Table.from_batches(kept)
+                tile = table.column("tile").to_numpy()
+                before = np.flatnonzero(tile != tile[-1])
+                whole = int(before[-1]) + 1 if len(before) else 0
+                if whole:
+                    yield from ended(table.slice(0, whole))
+                kept = table.slice(whole).to_batches()
+        if kept:
+            yield from ended(pa.Table.from_batches(kept))
+
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long, sure boolean")
+
+
+def joined_in_tiles(table, least: float):
+    """(a, b, whether verified) of an Arrow table of whole tiles: links between components that no link before them has joined."""
+    import pyarrow as pa
+
+    tile, side, key, node, root, s, size = (table.column(c).to_numpy() for c in ("tile", "side", "key", "node", "root", "s", "size"))
+    odd = [table.column(c).to_numpy() for c in ODD]
+    lines = table.column("line").combine_chunks()
+    keys = table.column("keys").combine_chunks()
+    starts, flat = keys.offsets.to_numpy(), keys.values.to_numpy()
+    names, top = np.unique(root, return_inverse=True)
+    first = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1])))
+    many = int(np.diff(np.append(first, len(tile))).max())
+    texts = lambda i: lines.take(pa.array(i)).to_pylist()
+    near = lambda i, j: np.abs(size[i] - size[j]) <= np.floor((1 - least) * np.maximum(size[i], size[j]) + 1e-9)
+
+    n_keys = np.diff(starts)
+    own = flat[starts[:-1, None] + np.minimum(np.arange(n_keys.max()), n_keys[:, None] - 1)]
+
+    def here(i, j):
+        """Whether no smaller key than the tile's is one of both."""
+        out = np.empty(len(i), bool)
+        for at in range(0, len(i), 2048):
+            x, y = own[i[at : at + 2048]], own[j[at : at + 2048]]
+            both = (x[:, :, None] == y[:, None, :]).any(axis=2)
+            out[at : at + 2048] = ~(both & (x < key[i[at : at + 2048], None])).any(axis=1)
+        return out
+
+    def compared(i, j):
+        nonlocal top
+        i, j = i[new := top[i] != top[j]], j[new]
+        i, j = i[mine := here(i, j)], j[mine]
+        long = np.maximum(size[i], size[j]) > MANY_CHARS
+        if long.any():
+            yield node[i[long]], node[j[long]], False
+        i, j = i[~long], j[~long]
+        # parts of growing size, as links found make more pairs needless
+        done, step = 0, 4096
+        while done < len(i):
+            x, y = i[done : done + step], j[done : done + step]
+            done, step = done + step, min(2 * step, 16384)
+            x, y = x[new := top[x] != top[y]], y[new]
+            ok = similar_pairs(texts(x), texts(y), least)
+            links = []
+            above = np.arange(len(names))
+            for a, b in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
+                ra, rb = top[a], top[b]
+                while above[ra] != ra:
+                    ra = above[ra]
+                while above[rb] != rb:
+                    rb = above[rb]
+                if ra != rb:
+                    above[max(ra, rb)] = min(ra, rb)
+                    links.append((a, b))
+            if links:
+                while (above[above] != above).any():
+                    above = above[above]
+                top = above[top]
+                at = np.array(links)
+                yield node[at[:, 0]], node[at[:, 1]], True
+
+    found, n = [], 0
+    for d in range(1, many):
+        i = np.flatnonzero((tile[d:] == tile[:-d]) & (top[d:] != top[:-d]))
+        j = i + d
+        ok = near(i, j) & ((side[i] == 0) | (side[i] != side[j])) & (node[i] != node[j])
+        i, j = i[ok], j[ok]
+        differ = np.zeros(len(i), np.int64)
+        for o in odd:
+            differ += np.bitwise_count((o[i] ^ o[j]).view(np.uint64))
+        big, gap = np.maximum(size[i], size[j]), np.abs(size[i] - size[j])
+        ok = differ <= 4 * np.floor((1 - least) * big + 1e-9) - gap
+        ok &= (np.minimum(size[i], size[j]) < SHORT) | (np.bitwise_count((s[i] ^ s[j]).view(np.uint64)) <= WIDE)
+        found.append((i[ok], j[ok]))
+        n += int(ok.sum())
+        if n >= 1 << 16:
+            yield from compared(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            found, n = [], 0
+    if n:
+        yield from compared(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+
 def groups(rows: DataFrame, least: float = 0.8, radius: int | None = BITS) -> tuple[DataFrame, DataFrame]:
     """Of documents(): the occurrences (dk, at, h), and for every line that is not alone (h, root, first_dk, first_at, lines, members).
 
@@ -560,7 +767,8 @@ def groups(rows: DataFrame, least: float = 0.8, radius: int | None = BITS) -> tu
 
     short = F.when(F.col("size") <= int(SHORT / least), F.col("line")).alias("short")
     marks = texts.select(F.col("h").alias("node"), "s", "size", *ODD, short)
-    roots, _ = bucket_components(pairs, buckets, marks, verify, close, "lines")
+    meet = (lambda apart: tile_links(apart, texts, least)) if radius is None else None
+    roots, _ = bucket_components(pairs, buckets, marks, verify, close, "lines", meet)
     owner = distinct.join(roots, distinct["h"] == roots["node"], "left").select("h", "first", "n", F.coalesce("root", "h").alias("root"))
     # lines that are alone have no root and one occurrence; they need no group
     owner = owner.where("n > 1 or root != h").unionByName(owner.where("n = 1 and root = h").join(roots.select(F.col("node").alias("h")), "h", "left_semi"))

@@ -190,3 +190,48 @@ def test_company_of_packed_ranges(spark, monkeypatch):
         pairs = {(r.x, r.y) for r in rows if not r.large}
         assert pairs == {(x, y) for s in want.values() if 2 <= len(s) <= line_dedup.SMALL for x in s for y in s if x < y}
         assert sorted(r.y for r in rows if r.large) == sorted(n for s in want.values() if len(s) > line_dedup.SMALL for n in s)
+
+
+def test_distances_of_many_pairs(monkeypatch):
+    """Lines around the borders of machine words, of many lengths and alphabets at once, against the plain distance."""
+    monkeypatch.setattr(line_dedup, "FEW_PAIRS", 1)
+    rng = np.random.default_rng(6)
+    a, b = [], []
+    for _ in range(500):
+        x = list(rng.choice(list("abcdeé 漢"), int(rng.choice([1, 5, 63, 64, 65, 127, 128, 129, 300]))))
+        y = list(x)
+        for _ in range(rng.integers(0, len(x) // 2 + 2)):
+            k, r = int(rng.integers(0, len(y))), rng.random()
+            y[k : k + 1] = [y[k], "z"] if r < 0.3 else ["q"] if r < 0.7 or len(y) == 1 else []
+        a.append("".join(x))
+        b.append("".join(y))
+    want = np.array([distance(x, y) for x, y in zip(a, b)])
+    assert line_dedup.within(a, b, want).all() and not line_dedup.within(a, b, want - 1).any()
+    most = [int(0.2 * max(len(x), len(y)) + 1e-9) for x, y in zip(a, b)]
+    assert line_dedup.similar_pairs(a, b, 0.8).tolist() == [d <= m for d, m in zip(want, most)]
+
+
+@pytest.mark.parametrize("tile", [2048, 16])
+def test_lines_of_one_passage_are_no_rows(spark, monkeypatch, tile):
+    """Lines that share a passage but are not similar are compared where they meet; pairs that are linked come out, and few others."""
+    monkeypatch.setattr(line_dedup, "TILE", tile)
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(2, 6)))
+    passage = [word() for _ in range(40)]
+    rows = [(k, " ".join([word() for _ in range(35)] + passage + [word() for _ in range(25)])) for k in range(45)]
+    rows += [(100 + k, t.replace(" ", " q ", 1)) for k, t in rows[::4]]
+    rows += [(300 + k, "x" * 3000 + f"{rows[0][1]} v{k}") for k in range(7)]
+    written, met = line_dedup.written, {}
+
+    def counted(df, name):
+        out = written(df, name)
+        met[name] = met.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(common, "written", counted)
+    monkeypatch.setattr(line_dedup, "WIDE", 64)
+    df = spark.createDataFrame([(d, t, "en", "s", 1, 7, "x") for d, t in rows], SCHEMA)
+    got = {r.doc_id for r in line_dedup.deduplicate(df, radius=None).where("n_dropped = 1").collect()}
+    later = [j for j, (d, t) in enumerate(rows) if any(abs(len(t) - len(u)) <= 0.2 * len(t) and distance(t, u) <= 0.2 * max(len(t), len(u)) + 1e-9 for _, u in rows[:j])]
+    assert got == {rows[j][0] for j in later} and len(later) > 10
+    assert met["lines-met"] < 60 and met["lines-pairs"] < 30 * len(rows)
