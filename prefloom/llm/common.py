@@ -224,7 +224,7 @@ def bucket_components(pairs: DataFrame, buckets: DataFrame, marks: DataFrame, ve
     bucket of n mutual copies costs n - 1 checks, and keys and nodes alone move: the marks come to the distinct pairs.
     What is then still apart in a bucket is held against each other: by `meet`, which maps (key, node, root, n) with n
     members of a key to (a, b, sure), the pairs it has found linked, or not sure of; or else within a join, so that only
-    pairs that `close` lets pass are rows.  `close` should therefore be
+    pairs that `close` lets pass are rows, each once, in the first bucket that holds both.  `close` should therefore be
     sharp.  Nodes of one component need no pair, so no link between components is lost.  Returns the (node, root) of
     linked nodes, and the links found.
     """
@@ -283,9 +283,11 @@ def bucket_components(pairs: DataFrame, buckets: DataFrame, marks: DataFrame, ve
             rest = checked(met.where("not sure"), "", True)
             linked(found if rest is None else found.unionByName(rest.select("a", "b")), "")
         else:
-            p = known(p.select("key", "node", "root"), "node", "p_")
+            keys = p.groupBy("node").agg(F.collect_list("key").alias("keys"))
+            p = known(p.select("key", "node", "root").join(keys, "node"), "node", "p_")
             q = p.select(*(F.col(c).alias(f"q_{c.removeprefix('p_')}") for c in p.columns))
-            found = checked(p.join(q, (F.col("key") == F.col("q_key")) & (F.col("node") < F.col("q_node")) & (F.col("root") != F.col("q_root")) & close("p_", "q_")).select(F.col("node").alias("a"), F.col("q_node").alias("b")), "", True)
+            once = F.col("key") == F.array_min(F.array_intersect("keys", "q_keys"))
+            found = checked(p.join(q, (F.col("key") == F.col("q_key")) & (F.col("node") < F.col("q_node")) & (F.col("root") != F.col("q_root")) & close("p_", "q_") & once).select(F.col("node").alias("a"), F.col("q_node").alias("b")), "", True)
             if found is not None:
                 linked(found, "")
     return roots, links if links is not None else verify(pairs.select("a", "b").limit(0))

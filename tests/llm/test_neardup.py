@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from prefloom.llm import neardup
+from prefloom.llm import common, neardup
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, key string"
@@ -97,3 +97,36 @@ def test_signatures_estimate_weighted_similarity():
     (ca, sa), (cb, sb) = neardup.weighted(elements, a), neardup.weighted(elements, b)
     s = neardup.signatures(np.concatenate((ca, cb)), np.array([0, len(ca), len(ca) + len(cb)]), 4096, np.concatenate((sa, sb)))
     assert abs((s[0] == s[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.03
+
+
+def test_pair_of_many_buckets_is_one_row(spark):
+    """What star rounds leave apart is held against each other in the first bucket of both, and no link is lost."""
+    rng = np.random.default_rng(4)
+    nodes = list(range(40))
+    buckets = spark.createDataFrame([(int(k), n) for k in rng.permutation(12) - 6 for n in nodes], "key long, node long")
+    marks = spark.createDataFrame([(n, n % 5) for n in nodes], "node long, m long")
+    seen = []
+
+    def verify(pairs):
+        seen.append(pairs.count())
+        return pairs.where("abs(a - b) = 5")
+
+    joins = []
+    written = common.written
+
+    def planned(df, name):
+        out = written(df, name)
+        if name == "t-pairs":
+            joins.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    common.written = planned
+    try:
+        roots, _ = common.bucket_components(buckets.limit(0).select(F.col("key").alias("a"), F.col("node").alias("b")), buckets, marks, verify, lambda p, q: F.col(f"{p}m") == F.col(f"{q}m"), "t")
+    finally:
+        common.written = written
+    groups = {}
+    for r in roots.collect():
+        groups.setdefault(r.root, set()).add(r.node)
+    assert sorted(map(sorted, groups.values())) == [list(range(k, 40, 5)) for k in range(5)]
+    assert "array_intersect" in joins[-1]
