@@ -135,20 +135,20 @@ class Model:
             b = min(a + BATCH, len(out))
             cls, sym = np.divmod(out[a:b], PER_CLASS)
             i = np.arange(b - a)
-            s = self.b1 + self.w1[f[0, a:b]] + self.w1[f[1, a:b]] + self.w1[f[2, a:b]]
+            s = self.b1 + self.w1.take(f[0, a:b], axis=0) + self.w1.take(f[1, a:b], axis=0) + self.w1.take(f[2, a:b], axis=0)
             r = self.rows(f[:, a:b], cls)
-            t = self.b2[cls] + self.w2[r[0]] + self.w2[r[1]] + self.w2[r[2]]
+            t = self.b2.take(cls, axis=0) + self.w2.take(r[0], axis=0) + self.w2.take(r[1], axis=0) + self.w2.take(r[2], axis=0)
             total[a:b] = (s[i, cls] - np.log(np.exp(s).sum(axis=1))) + (t[i, sym] - np.log(np.exp(t).sum(axis=1)))
         return total
 
 
 def _add(rows: np.ndarray, g: np.ndarray, w: np.ndarray, acc: np.ndarray, visits: np.ndarray) -> None:
     """An AdaGrad step of the rows named, each row's gradients (repeated for its three features) summed first."""
-    flat = rows.ravel()
+    flat = rows.ravel().astype(np.uint16)  # rows are fewer than 2^16, and numbers of 16 bits are sorted by radix
     order = np.argsort(flat, kind="stable")
-    first = np.flatnonzero(np.concatenate(([True], np.diff(flat[order]) != 0)))
+    first = np.flatnonzero(np.concatenate(([True], (now := flat[order])[1:] != now[:-1])))
     u = flat[order[first]]
-    sums = np.add.reduceat(g[order % g.shape[0]], first, axis=0)
+    sums = np.add.reduceat(g.take(order % g.shape[0], axis=0), first, axis=0)
     acc[u] += (sums * sums).mean(axis=1)
     w[u] -= (RATE / np.sqrt(acc[u]))[:, None] * sums
     visits[u] += np.diff(np.append(first, len(flat)))
@@ -169,11 +169,11 @@ class Trainer:
             b = min(a + BATCH, len(out))
             cls, sym = np.divmod(out[a:b], PER_CLASS)
             i, part = np.arange(b - a), f[:, a:b]
-            s = np.exp(m.b1 + m.w1[part[0]] + m.w1[part[1]] + m.w1[part[2]])
+            s = np.exp(m.b1 + m.w1.take(part[0], axis=0) + m.w1.take(part[1], axis=0) + m.w1.take(part[2], axis=0))
             s /= s.sum(axis=1, keepdims=True)
             s[i, cls] -= 1
             r = m.rows(part, cls)
-            t = np.exp(m.b2[cls] + m.w2[r[0]] + m.w2[r[1]] + m.w2[r[2]])
+            t = np.exp(m.b2.take(cls, axis=0) + m.w2.take(r[0], axis=0) + m.w2.take(r[1], axis=0) + m.w2.take(r[2], axis=0))
             t /= t.sum(axis=1, keepdims=True)
             t[i, sym] -= 1
             _add(part, s, m.w1, self.a1, self.n1)

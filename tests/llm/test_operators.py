@@ -323,6 +323,23 @@ def test_steps_of_a_batch_lose_no_word():
         assert sorted(got.values()) == sorted(want.values())
 
 
+def test_gradient_steps_sort_rows_by_radix(monkeypatch):
+    """Rows of a step are sorted as 16-bit numbers, and its sums are those of plain additions."""
+    assert max(maxent_lm.FEATURES, maxent_lm.ROWS) <= 1 << 16
+    rng = np.random.default_rng(7)
+    rows, g = rng.integers(0, maxent_lm.ROWS, (3, 500)), rng.standard_normal((500, 4)).astype(np.float32)
+    rows[:, :50] = maxent_lm.ROWS - 1
+    sorted_kinds, argsort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **k: sorted_kinds.append(x.dtype) or argsort(x, *a, **k))
+    w, acc, visits = np.zeros((maxent_lm.ROWS, 4), np.float32), np.ones(maxent_lm.ROWS, np.float32), np.zeros(maxent_lm.ROWS)
+    maxent_lm._add(rows, g, w, acc, visits)
+    sums = np.zeros((maxent_lm.ROWS, 4))
+    np.add.at(sums, rows.ravel(), np.tile(g, (3, 1)))
+    assert sorted_kinds == [np.uint16]
+    assert visits.tolist() == np.bincount(rows.ravel(), minlength=maxent_lm.ROWS).tolist()
+    assert np.allclose(w, -maxent_lm.RATE * sums / np.sqrt(1 + (sums**2).mean(axis=1))[:, None], atol=1e-5)
+
+
 def test_symbol_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     model = maxent_lm.Model(np.sort(rng.integers(0, 2**63, 100).astype(np.uint64)), np.arange(100), np.ones(maxent_lm.SIGNATURES), np.ones(maxent_lm.SIGNATURES))
