@@ -49,6 +49,8 @@ ODD = [f"o{i}" for i in range(PARITIES // 64)]
 SMALL = 4
 #: Lines of at most so many characters have their distances computed together, of at most and at least so many pairs.
 MANY_CHARS, MANY_PAIRS, FEW_PAIRS = 2048, 1024, 128
+#: Words of 8 bytes that hold the places of all characters of such pairs, many where the alphabet is large.
+MOST_WORDS = 1 << 22
 #: Members of a large bucket that are compared with as many others in one place.
 TILE = 2048
 #: Keys that a range of the bands' key space holds about, that a task packs at once, and that a range is compacted at.
@@ -445,6 +447,9 @@ def within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
     one, top = np.uint64(1), np.uint64(63)
     known = np.bincount(ca, minlength=int(cb.max()) + 1) > 0
     kinds = int(known.sum()) + 1
+    if len(a) > 1 and len(a) * kinds * words > MOST_WORDS:
+        half = len(a) // 2
+        return np.concatenate((within(a[:half], b[:half], most[:half]), within(a[half:], b[half:], most[half:])))
     code = np.where(known, np.cumsum(known), 0)  # 0, which has no bits: a character that no `a` has
     bits = np.zeros((len(a) * kinds, words), np.uint64)
     np.bitwise_or.at(bits.reshape(-1), (of_a * kinds + code[ca]) * words + (at_a >> 6), one << (at_a & 63).astype(np.uint64))

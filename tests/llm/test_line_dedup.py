@@ -1,6 +1,7 @@
 """Fuzzy line dedup against all pairs of lines."""
 
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -211,6 +212,19 @@ def test_distances_of_many_pairs(monkeypatch):
     assert line_dedup.similar_pairs(a, b, 0.8).tolist() == [d <= m for d, m in zip(want, most)]
 
 
+def test_distances_of_large_alphabets_are_bounded_in_memory():
+    """Many pairs of long lines of thousands of different characters are taken in parts."""
+    rng = np.random.default_rng(9)
+    a = ["".join(map(chr, rng.integers(0x4E00, 0x5A00, 1000))) for _ in range(400)]
+    b = [t[:500] + "x" * (k % 400) + t[500 + k % 400 :] for k, t in enumerate(a)]
+    tracemalloc.start()
+    got = line_dedup.similar_pairs(a, b, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == [k % 400 <= 200 for k in range(400)]
+    assert peak < 100_000_000
+
+
 @pytest.mark.parametrize("tile", [2048, 16])
 def test_lines_of_one_passage_are_no_rows(spark, monkeypatch, tile):
     """Lines that share a passage but are not similar are compared where they meet; pairs that are linked come out, and few others."""
