@@ -124,15 +124,40 @@ def steps(lengths: np.ndarray, most: int = STEP_CHARS):
         at = to
 
 
-def text_steps(batches, column: str = "text", most: int = STEP_CHARS):
-    """Arrow batches cut into steps of bounded text, each copied: string kernels on a slice of a larger buffer have lost words (ascii_lower)."""
+def released(run):
+    """A mapInArrow body that gives what it has freed back to the system when it ends.
+
+    Workers outlive their tasks; the memory that their allocators keep would lie beside the heap in later stages.
+    """
+
+    def body(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim is not None:
+                trim(0)
+
+    return body
+
+
+def text_steps(batches, column: str = "text", most: int = STEP_CHARS, each: int = 0):
+    """Arrow batches cut into steps of bounded text, each copied: string kernels on a slice of a larger buffer have lost words (ascii_lower).
+
+    A text counts as its bytes and `each`, for work whose memory goes by texts.
+    """
     import pyarrow as pa
     import pyarrow.compute as pc
 
     for batch in batches:
         if batch.num_rows:
             sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-            for a, b in steps(sizes, most):
+            for a, b in steps(sizes + each, most):
                 yield batch.take(pa.array(np.arange(a, b)))
 
 

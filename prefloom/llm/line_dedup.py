@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Words, bucket_components, held, may_hold, membership, mix, no_rows, text_steps, unpunctuated, written
+from .common import Words, bucket_components, held, may_hold, membership, mix, no_rows, released, text_steps, unpunctuated, written
 
 BITS = 3
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))  # (shift, width)
@@ -209,13 +209,17 @@ def packed(key: np.ndarray, node: np.ndarray, ranges: int):
 def packed_bands(rows: DataFrame, table: np.ndarray, least: float, ranges: int) -> DataFrame:
     """(part, body) of (dk, text): the bands of the lines that the table may hold, packed by range of the key."""
 
+    @released
     def run(batches):
         import pyarrow as pa
 
         keys, nodes, n = [], [], 0
 
         def flush():
-            part, body = packed(np.concatenate(keys), np.concatenate(nodes), ranges)
+            key, node = np.concatenate(keys), np.concatenate(nodes)
+            keys.clear()
+            nodes.clear()
+            part, body = packed(key, node, ranges)
             return pa.RecordBatch.from_arrays([pa.array(part), pa.array(body, pa.binary())], ["part", "body"])
 
         for batch in text_steps(batches):
@@ -231,7 +235,7 @@ def packed_bands(rows: DataFrame, table: np.ndarray, least: float, ranges: int)
             n += len(key)
             if n >= PACK_KEYS:
                 yield flush()
-                keys, nodes, n = [], [], 0
+                n = 0
         if n:
             yield flush()
 
@@ -257,6 +261,7 @@ def runs_of(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def company(bands: DataFrame) -> DataFrame:
     """(large, x, y) of packed bands: the pairs x, y of a small bucket, or key x and node y of a larger one."""
 
+    @released
     def run(batches):
         import pyarrow as pa
 
@@ -328,14 +333,18 @@ def plausible(least: float):
 
 def parities(lines: list[str]) -> np.ndarray:
     """For each line the parity of the number of its pairs of neighbouring characters in each of PARITIES bins, packed in words of 64."""
-    bins, n = gram_bins(lines)
-    odd = (np.bincount(bins, minlength=n * PARITIES) & 1).astype(np.uint8).reshape(n, PARITIES)
-    return np.packbits(odd, axis=1).view(np.int64).reshape(n, len(ODD))
+    out = np.zeros((len(lines), len(ODD)), np.int64)
+    for at in range(0, len(lines), 4096):  # counts of some lines at once: many short lines are a step
+        bins, n = gram_bins(lines[at : at + 4096])
+        odd = (np.bincount(bins, minlength=n * PARITIES) & 1).astype(np.uint8).reshape(n, PARITIES)
+        out[at : at + n] = np.packbits(odd, axis=1).view(np.int64).reshape(n, len(ODD))
+    return out
 
 
 def occurrences(rows: DataFrame, marked: bool) -> DataFrame:
     """(did, dk, at, h) of (did, dk, text): place and hash of each normalised line that has a word; with `marked` s, its SimHash, too."""
 
+    @released
     def run(batches):
         import pyarrow as pa
 
@@ -534,6 +543,7 @@ def _at_home(h, dk):
 def line_texts(rows: DataFrame, table: np.ndarray) -> DataFrame:
     """(dk, h, marks, line) of (dk, text): SimHash, length, parities and text of the normalised lines that the table may hold."""
 
+    @released
     def run(batches):
         import pyarrow as pa
 
@@ -558,6 +568,7 @@ def line_texts(rows: DataFrame, table: np.ndarray) -> DataFrame:
 def only(texts: DataFrame, table: np.ndarray) -> DataFrame:
     """Rows of (h, line) that the table may hold."""
 
+    @released
     def run(batches):
         import pyarrow as pa
 
@@ -602,6 +613,7 @@ def edit_similar(both: DataFrame, least: float) -> DataFrame:
     Spark's levenshtein took about 1 ms a pair here.)
     """
 
+    @released
     def run(batches):
         import pyarrow as pa
 
@@ -631,6 +643,7 @@ def tile_links(apart: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2)
     rows = rows.select(tile.alias("tile"), side.alias("side"), "key", "node", "root", "keys", *fields, "line")
 
+    @released
     def run(batches):
         import pyarrow as pa
 

@@ -212,6 +212,34 @@ def test_distances_of_many_pairs(monkeypatch):
     assert line_dedup.similar_pairs(a, b, 0.8).tolist() == [d <= m for d, m in zip(want, most)]
 
 
+def test_parities_of_many_short_lines_are_bounded_in_memory():
+    """A step of text may be a hundred thousand lines: their counts are taken in parts, with the same parities."""
+    lines = [f"no {k}" for k in range(100_000)]
+    tracemalloc.start()
+    got = line_dedup.parities(lines)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000
+    for k in (0, 4095, 4096, 99_999):
+        assert got[k].tolist() == line_dedup.parities(lines[k : k + 1])[0].tolist()
+    assert line_dedup.parities([]).shape == (0, len(line_dedup.ODD))
+
+
+def test_bodies_give_memory_back():
+    """What a task has freed does not stay with its worker, though something that lives lies above it."""
+    resident = lambda: int(re.search(r"RssAnon:\s+(\d+)", open("/proc/self/status").read())[1]) / 1024
+
+    def run(batches):
+        junk = [np.ones(12_000) for _ in range(2000)]  # 190 MB in pieces that are no mappings of their own
+        above = np.ones(12_000)
+        del junk
+        yield from ((b, above) for b in batches)
+
+    before = resident()
+    kept = list(common.released(run)([1, 2]))
+    assert [k[0] for k in kept] == [1, 2] and resident() - before < 60
+
+
 def test_distances_of_large_alphabets_are_bounded_in_memory():
     """Many pairs of long lines of thousands of different characters are taken in parts."""
     rng = np.random.default_rng(9)
