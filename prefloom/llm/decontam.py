@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, may_hold, shingles, text_steps, unpunctuated, written
+from .common import Words, may_hold, released, shingles, text_steps, unpunctuated, written
 
 SHORTEST, LONGEST = 3, 6
 MATCH, MISS, GAP = 2, -1, -1
@@ -40,6 +40,7 @@ def words_of(texts) -> Words:
 def vocabulary_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
     """How often each word hash of the sorted vocabulary occurs in the corpus, and the number of all words."""
 
+    @released
     def run(batches):
         import pyarrow as pa
 
@@ -141,6 +142,7 @@ def _finder(item_ids: list, items: list[np.ndarray], by_length: dict[int, list[t
         filter_bits[h >> np.uint64(44)] = True
         tables[n] = (h, np.array([r[1:] for r in rows], np.int64), filter_bits)
 
+    @released
     def run(batches):
         import pyarrow as pa
 

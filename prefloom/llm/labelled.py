@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, text_steps
+from .common import held_out, released, text_steps
 
 #: Longer texts are not fitted on (they are scored whole), so that a sample's size is bounded.
 LONGEST_FITTED = 100_000
@@ -81,6 +81,7 @@ def logistic(model, x: np.ndarray) -> np.ndarray:
 
 def scored(docs: DataFrame, score_texts, threshold: float) -> DataFrame:
     """(doc_id, held_out, score, predicted) of all documents; score_texts maps an Arrow array of texts to scores."""
+    @released
     def run(batches):
         import pyarrow as pa
 

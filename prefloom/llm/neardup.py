@@ -33,13 +33,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bucket_components, held, may_hold, membership, mix, shingles, text_steps, uniform, written
+from .common import Words, bucket_components, held, may_hold, membership, mix, released, shingles, text_steps, uniform, written
 
 SHINGLE = 5
 PLANES = 4  # bits of each of the first 128 coordinates in a sketch
 MARKS = [f"m{i}" for i in range(2 * PLANES)]
 PARITIES = 1024
 ODD = [f"o{i}" for i in range(PARITIES // 64)]
+#: Characters that a text counts as besides its own in a step: its darts, some 900 times 24 bytes, and the counts of its parities.
+TEXT_COST = 2000
 #: Of 128 coordinates as many may differ at similarity `least` and four standard deviations more.
 ALLOWED = lambda least: int(128 * (1 - least) * (1 - 2.0**-PLANES) + 4 * (128 * least * (1 - least)) ** 0.5)
 
@@ -123,7 +125,7 @@ def _cells_of(batches):
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    for batch in text_steps(batches):
+    for batch in text_steps(batches, each=TEXT_COST):
         words = Words(pc.utf8_lower(batch.column("text").cast(pa.large_string())))
         h = words.hashes()[words.codes] if len(words.codes) else np.zeros(0, np.uint64)
         yield batch, *cells(h, words.offsets)
@@ -147,6 +149,7 @@ def band_keys(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
     """(doc_id, tk, keys, weight, sketches) of (doc_id, tk, text); texts without words have no keys."""
     k = bands * per_band
 
+    @released
     def run(batches):
         import pyarrow as pa
 
@@ -171,6 +174,7 @@ def _at_home(tk, doc_id):
 def cell_sets(rows: DataFrame) -> DataFrame:
     """(tk, weight, parities, cells) of (tk, text): the cells of each text and their sketch."""
 
+    @released
     def run(batches):
         import pyarrow as pa
 
@@ -184,6 +188,7 @@ def cell_sets(rows: DataFrame) -> DataFrame:
 def exploded(signed: DataFrame, table: np.ndarray) -> DataFrame:
     """(key, tk): the keys of (tk, keys) that the table may hold, a row each."""
 
+    @released
     def run(batches):
         import pyarrow as pa
 

@@ -23,7 +23,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import STEP_CHARS, mix, steps, text_steps, uniform
+from .common import STEP_CHARS, mix, released, steps, text_steps, uniform
 from .labelled import at_share, class_share, fit_logistic, logistic, sample, scored
 
 WINDOW = 10
@@ -195,6 +195,7 @@ def clean(docs: DataFrame, labels: DataFrame, per_class: int = 2500, threshold:
     """The documents that score below the threshold, columns as they are."""
     model = fit(docs, labels, per_class)
 
+    @released
     def run(batches):
         import pyarrow as pa
         import pyarrow.compute as pc

@@ -1,8 +1,10 @@
 """DartMinHash classes against all pairs, and the edge cases of the near-duplicate operator."""
 
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from prefloom.llm import common, neardup
@@ -130,3 +132,14 @@ def test_pair_of_many_buckets_is_one_row(spark):
         groups.setdefault(r.root, set()).add(r.node)
     assert sorted(map(sorted, groups.values())) == [list(range(k, 40, 5)) for k in range(5)]
     assert "array_intersect" in joins[-1]
+
+
+def test_steps_of_many_short_texts_are_bounded_in_memory():
+    """Each text has some 900 darts however short it is, so texts and not only characters bound a step."""
+    batch = pa.RecordBatch.from_arrays([pa.array([f"words of text {k}" for k in range(6000)], pa.string())], ["text"])
+    tracemalloc.start()
+    got = [neardup.signatures(cell, starts, 130) for _, cell, starts in neardup._cells_of([batch])]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, got)) == 6000 and np.concatenate(got).all()
+    assert peak < 100_000_000
