@@ -354,10 +354,13 @@ class Words:
             codes = codes[keep]
         self.codes, self.distinct, self.offsets = codes, distinct, offsets
         self.blank = blank
+        self._hashes = None
 
     def hashes(self) -> np.ndarray:
-        """64-bit hashes of the distinct words."""
-        return string_hashes(self.distinct)
+        """64-bit hashes of the distinct words, taken once."""
+        if self._hashes is None:
+            self._hashes = string_hashes(self.distinct)
+        return self._hashes
 
 
 def shingles(word_hashes: np.ndarray, n: int) -> np.ndarray:

@@ -48,7 +48,11 @@ ODD = [f"o{i}" for i in range(PARITIES // 64)]
 #: Buckets of at most so many lines become all their pairs.
 SMALL = 4
 #: Lines of at most so many characters have their distances computed together, of at most and at least so many pairs.
-MANY_CHARS, MANY_PAIRS, FEW_PAIRS = 2048, 1024, 128
+MANY_CHARS, MANY_PAIRS, FEW_PAIRS = 2048, 1024, 32
+#: Characters after which a distance of two lines is held against its bound.
+COLUMNS = 256
+#: Lines of more characters that may be near have an upper bound first, pair by pair.
+UPPER_CHARS = 192
 #: Words of 8 bytes that hold the places of all characters of such pairs, many where the alphabet is large.
 MOST_WORDS = 1 << 22
 #: Members of a large bucket that are compared with as many others in one place.
@@ -68,6 +72,26 @@ def _lines(texts):
     return lines, starts, Words(unpunctuated(pc.utf8_lower(lines)))
 
 
+def _at_home(dk, at):
+    """One number of a document and a place in it, for membership()."""
+    return dk ^ at if isinstance(dk, np.ndarray) else dk.bitwiseXOR(at.cast("long"))
+
+
+def _home_lines(batch, table: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the lines at places that the table may hold: their words, which have words, and of those the hash and the document."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lists = pc.split_pattern(batch.column("text").cast(pa.large_string()), "\n")
+    n = pc.list_value_length(lists).fill_null(0).to_numpy()
+    dk = np.repeat(batch.column("dk").to_numpy(), n)
+    pick = np.flatnonzero(held(table, _at_home(dk, np.arange(len(dk)) - np.repeat(np.cumsum(n) - n, n))))
+    words = Words(unpunctuated(pc.utf8_lower(lists.flatten().take(pa.array(pick)))))
+    some = np.flatnonzero(np.diff(words.offsets) > 0)
+    line = line_hashes(words.hashes()[words.codes] if len(words.codes) else np.zeros(0, np.uint64), words.offsets).view(np.int64)
+    return words, some, line, dk[pick][some]
+
+
 def line_hashes(word_hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Of each line that has words: the hash of its words in their order."""
     n = np.diff(starts)
@@ -223,12 +247,8 @@ def packed_bands(rows: DataFrame, table: np.ndarray, least: float, ranges: int)
             return pa.RecordBatch.from_arrays([pa.array(part), pa.array(body, pa.binary())], ["part", "body"])
 
         for batch in text_steps(batches):
-            _, starts, words = _lines(batch.column("text"))
-            some = np.flatnonzero(np.diff(words.offsets) > 0)
-            line = line_hashes(words.hashes()[words.codes] if len(words.codes) else np.zeros(0, np.uint64), words.offsets).view(np.int64)
-            dk = batch.column("dk").to_numpy()[np.repeat(np.arange(len(starts) - 1), np.diff(starts))[some]]
-            pick = np.flatnonzero(held(table, _at_home(line, dk)))
-            pick = pick[np.unique(line[pick], return_index=True)[1]]
+            words, some, line, _ = _home_lines(batch, table)
+            pick = np.unique(line, return_index=True)[1]
             key, who = line_bands(words, some[pick], least)
             keys.append(key)
             nodes.append(line[pick][who])
@@ -401,24 +421,43 @@ def edit_distance(a: str, b: str, most: int) -> int:
     peq: dict[str, int] = {}
     for i, c in enumerate(b):
         peq[c] = peq.get(c, 0) | 1 << i
-    full, high = (1 << len(b)) - 1, 1 << (len(b) - 1)
-    plus, minus, score = full, 0, len(b)
-    for j, c in enumerate(a):
-        eq = peq.get(c, 0)
-        x = eq | minus
-        eq |= ((eq & plus) + plus) ^ plus
-        up = minus | ~(eq | plus) & full
-        down = plus & eq
-        if up & high:
-            score += 1
-        elif down & high:
-            score -= 1
-        if score - (len(a) - 1 - j) > most:
+    # rows of b near the diagonal alone, as in within(): from `begun` on, of value `head` above; values below count one each
+    gap, step = len(b) - len(a), max(16, most // 16)
+    above, below = (gap - most) // 2, -((-gap - most) // 2)
+    begun = head = size = score = plus = minus = 0
+    for at in range(0, len(a), COLUMNS):
+        first, end = max(begun, min(at + above, len(b) - 1)), max(begun + size, min(len(b), at + COLUMNS + below + 1))
+        plus |= (1 << end - begun) - (1 << size)
+        score += end - begun - size
+        left = (1 << first - begun) - 1
+        head += (plus & left).bit_count() - (minus & left).bit_count()
+        plus, minus = plus >> first - begun, minus >> first - begun
+        begun, size = first, end - first
+        full, high = (1 << size) - 1, 1 << size - 1
+        value, part, least = head, (1 << step) - 1, head + abs(len(b) - begun - len(a) + at)
+        for k in range(step, size + step, step):
+            value += (plus >> k - step & part).bit_count() - (minus >> k - step & part).bit_count()
+            least = min(least, value + abs(len(b) - begun - min(k, size) - len(a) + at))
+        if least - step > most:
             return most + 1
-        up = up << 1 | 1
-        plus = (down << 1 | ~(x | up)) & full
-        minus = up & x & full
-    return score
+        here: dict[str, int] = {}
+        for c in a[at : at + COLUMNS]:
+            eq = here.get(c)
+            if eq is None:
+                eq = here[c] = peq.get(c, 0) >> begun & full
+            x = eq | minus
+            eq |= ((eq & plus) + plus) ^ plus
+            up = minus | ~(eq | plus) & full
+            down = plus & eq
+            if up & high:
+                score += 1
+            elif down & high:
+                score -= 1
+            up = up << 1 | 1
+            plus = (down << 1 | ~(x | up)) & full
+            minus = up & x & full
+        head += min(COLUMNS, len(a) - at)
+    return min(score, most + 1)
 
 
 def changed_characters(a: str, b: str) -> int:
@@ -449,6 +488,9 @@ def within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
     """Whether the edit distance of each pair of texts that are not empty is at most `most`, all at once: a step takes the
     next character of every `b` in words of 64 characters of `a` (Myers, with carries between words).  Texts `a` should
     be of about one length; pairs that can't come back below their bound are left out on the way.
+
+    Only words near the diagonal are taken: a path that is t rows below it costs |t| and |m - n - t| more to its end.  Rows
+    above are left behind, rows below not begun count one each, so values are never too small and right on such paths.
     """
     (ca, of_a, at_a), (cb, of_b, at_b) = _characters(a), _characters(b)
     m, n = (np.bincount(of, minlength=len(a)) for of in (of_a, of_b))
@@ -464,19 +506,25 @@ def within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
     np.bitwise_or.at(bits.reshape(-1), (of_a * kinds + code[ca]) * words + (at_a >> 6), one << (at_a & 63).astype(np.uint64))
     text = np.zeros((len(a), int(n.max())), np.int32)
     text[np.arange(text.shape[1]) < n[:, None]] = of_b * kinds + code[cb]
-    text = text.T.copy()
-    out = np.zeros(len(a), bool)
-    live, score, fewest = np.arange(len(a)), m.copy(), int(n.min())
+    text, bits = text.T.copy(), bits.T.copy()
+    out, ends = np.zeros(len(a), bool), np.bincount(n) > 0
+    live, score = np.arange(len(a)), m.copy()
     last, least_last = (m - 1) // 64, (int(m.min()) - 1) // 64
     shift, bound = ((m - 1) % 64).astype(np.uint64), np.asarray(most, np.int64)
     plus, minus = np.full((words, len(a)), ~np.uint64(0)), np.zeros((words, len(a)), np.uint64)
+    begun, until, head = 0, 0, np.zeros(len(a), np.int64)  # words taken, and the value above the first of them
+    above, below = int((m - n - bound).min()) // 2, -(int((n - m - bound).min()) // 2)
     with np.errstate(over="ignore"):
         for j in range(len(text)):
-            eqs = bits[text[j, live]].T.copy()
+            while begun < min(max(0, j + above) // 64, words - 1):
+                head += np.bitwise_count(plus[begun]).astype(np.int64) - np.bitwise_count(minus[begun])
+                begun += 1
+            until = max(begun, until, min(max(0, j + below) // 64, words - 1))
+            head += 1
+            here = text[j, live]
             up_in, down_in = one, np.uint64(0)
-            # rows more than the bound above the diagonal are left behind: a path through them costs more
-            for w in range(max(0, j - int(bound.max())) // 64, words):
-                p, q, eq = plus[w], minus[w], eqs[w]
+            for w in range(begun, until + 1):
+                p, q, eq = plus[w], minus[w], bits[w].take(here)
                 x = eq | q
                 eq |= down_in
                 h = eq & p
@@ -487,10 +535,13 @@ def within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
                 h |= p
                 np.invert(h, out=h)
                 h |= q  # where a row's value rises with this character
-                if w >= least_last:
-                    delta = ((h >> shift) & one).view(np.int64) - ((down >> shift) & one).view(np.int64)
-                    score += delta if least_last == words - 1 else delta * (last == w)
                 up_out, down_out = h >> top, down >> top
+                if w == until < least_last:
+                    score += (up_out - down_out).view(np.int64)
+                elif w >= least_last:
+                    at = shift if w == words - 1 else np.where(last > w, top, shift)
+                    delta = ((h >> at) & one).view(np.int64) - ((down >> at) & one).view(np.int64)
+                    score += delta if w == until == least_last else delta * (last >= w if w == until else last == w)
                 h <<= one
                 h |= up_in
                 down <<= one
@@ -500,44 +551,72 @@ def within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
                 np.invert(x, out=x)
                 np.bitwise_or(down, x, out=p)
                 up_in, down_in = up_out, down_out
-            if j % 8 == 7 or j + 1 >= fewest:
+            if j % 8 == 7 or ends[j + 1]:
                 ended = n == j + 1
                 out[live[ended]] = score[ended] <= bound[ended]
                 stays = (n > j + 1) & (score - (n - j - 1) <= bound)
+                if j % 32 == 31:
+                    stays &= least_end(plus[begun : until + 1], minus[begun : until + 1], head, 64 * begun, m - (n - j - 1)) <= bound
                 if stays.sum() < 0.9 * len(stays):
-                    live, score, last, shift, n, bound, plus, minus = live[stays], score[stays], last[stays], shift[stays], n[stays], bound[stays], plus[:, stays], minus[:, stays]
+                    live, score, last, shift, m, n, bound, head, plus, minus = live[stays], score[stays], last[stays], shift[stays], m[stays], n[stays], bound[stays], head[stays], plus[:, stays], minus[:, stays]
                     if not len(live):
                         break
+                    above = int((m - n - bound).min()) // 2
     return out
 
 
-def similar_pairs(a: list[str], b: list[str], least: float) -> np.ndarray:
-    """similar() of many pairs: a lower bound first, and the distances of what passes, many at once where lines aren't very long."""
+def least_end(plus: np.ndarray, minus: np.ndarray, head: np.ndarray, row: int, even: np.ndarray) -> np.ndarray:
+    """A lower bound of the distance of each pair whose path goes through the words: rows from `row` on, of value `head`.
+
+    A path's end costs as many characters more as it is away from the row `even`.  Values are taken every 16 rows; with that
+    rest they change by at most 2 a row, and 8 rows are the most to the next.
+    """
+    value, least = head.copy(), head + np.abs(row - even)
+    for w in range(len(plus)):
+        for k in range(0, 64, 16):
+            part = np.uint64(0xFFFF << k)
+            value += np.bitwise_count(plus[w] & part)
+            value -= np.bitwise_count(minus[w] & part)
+            row += 16
+            np.minimum(least, value + np.abs(row - even), out=least)
+    return least - 16
+
+
+def similar_pairs(a: list[str], b: list[str], least: float, differ: np.ndarray | None = None) -> np.ndarray:
+    """similar() of many pairs: a lower bound first, and the distances of what passes, many at once where lines aren't very long.
+
+    `differ` are gram_distances, if known.  Long lines that may be near by them have the upper bound before the distance.
+    """
     la, lb = (np.array([len(t) for t in x], np.int64) for x in (a, b))
     most = np.floor((1 - least) * np.maximum(la, lb) + 1e-9).astype(np.int64)
     ok = np.abs(la - lb) <= most
     some = np.flatnonzero(ok & (la > 1) & (lb > 1))
-    for at in range(0, len(some), 1024):
-        k = some[at : at + 1024]
-        ok[k] = gram_distances([a[i] for i in k], [b[i] for i in k]) <= 4 * most[k] - np.abs(la[k] - lb[k])
+    if differ is None:
+        differ = np.zeros(len(la), np.int64)
+        for at in range(0, len(some), 1024):
+            k = some[at : at + 1024]
+            differ[k] = gram_distances([a[i] for i in k], [b[i] for i in k])
+    ok[some] = differ[some] <= 4 * most[some] - np.abs(la[some] - lb[some])
+    sure = np.zeros(len(la), bool)
+    for k in np.flatnonzero(ok & (np.maximum(la, lb) > UPPER_CHARS) & (differ <= 2 * most)).tolist():
+        x, y = middles(a[k], b[k])
+        sure[k] = changed_characters(x, y) <= most[k]
+    ok &= ~sure
     many = np.flatnonzero(ok & (np.minimum(la, lb) > 0) & (np.maximum(la, lb) <= MANY_CHARS))
     many, rest = many[np.argsort(la[many], kind="stable")], ok.copy()
     done = 0
     while done < len(many):
-        k = many[done : done + MANY_PAIRS]
-        k = k[la[k] <= max(64, 1.5 * la[k[0]])]
-        done += len(k)
-        if len(k) >= FEW_PAIRS:
-            rest[k], ok[k] = False, within([a[i] for i in k], [b[i] for i in k], most[k])
+        alike = many[done : np.searchsorted(la[many], max(64, 1.5 * la[many[done]]), "right")]
+        done += len(alike)
+        alike = alike[np.argsort(la[alike] - lb[alike], kind="stable")]  # paths of one place are of few rows
+        for at in range(0, len(alike), MANY_PAIRS):
+            k = alike[at : at + MANY_PAIRS]
+            if len(k) >= FEW_PAIRS:
+                rest[k], ok[k] = False, within([a[i] for i in k], [b[i] for i in k], most[k])
     for k in np.flatnonzero(rest).tolist():
         x, y = middles(a[k], b[k])
         ok[k] = changed_characters(x, y) <= most[k] or edit_distance(x, y, int(most[k])) <= most[k]
-    return ok
-
-
-def _at_home(h, dk):
-    """One number of a line and a document, for membership()."""
-    return h ^ (dk << 1) if isinstance(h, np.ndarray) else h.bitwiseXOR(F.shiftleft(dk, 1))
+    return ok | sure
 
 
 def line_texts(rows: DataFrame, table: np.ndarray) -> DataFrame:
@@ -548,18 +627,12 @@ def line_texts(rows: DataFrame, table: np.ndarray) -> DataFrame:
         import pyarrow as pa
 
         for batch in text_steps(batches):
-            _, starts, words = _lines(batch.column("text"))
-            some = np.flatnonzero(np.diff(words.offsets) > 0)
-            h = words.hashes()[words.codes] if len(words.codes) else np.zeros(0, np.uint64)
-            line = line_hashes(h, words.offsets).view(np.int64)
-            dk = batch.column("dk").to_numpy()[np.repeat(np.arange(len(starts) - 1), np.diff(starts))[some]]
-            pick = np.flatnonzero(held(table, _at_home(line, dk)))
-            n, begin = np.diff(words.offsets)[some[pick]], words.offsets[:-1][some[pick]]
-            ends = np.concatenate(([0], np.cumsum(n)))
-            s = simhash(h[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], n)], ends)
-            texts = joined_lines(words, some[pick]).cast(pa.string())
+            words, some, line, dk = _home_lines(batch, table)
+            codes = words.codes
+            s = simhash(words.hashes()[codes] if len(codes) else np.zeros(0, np.uint64), words.offsets)[some]
+            texts = joined_lines(words, some).cast(pa.string())
             odd = parities(texts.to_pylist())
-            columns = [pa.array(dk[pick]), pa.array(line[pick]), pa.array(s.view(np.int64)), pa.array(line_sizes(words)[some[pick]].astype(np.int32)), *(pa.array(odd[:, k]) for k in range(len(ODD))), texts]
+            columns = [pa.array(dk), pa.array(line), pa.array(s.view(np.int64)), pa.array(line_sizes(words)[some].astype(np.int32)), *(pa.array(odd[:, k]) for k in range(len(ODD))), texts]
             yield pa.RecordBatch.from_arrays(columns, ["dk", "h", "s", "size", *ODD, "line"])
 
     return rows.select("dk", "text").mapInArrow(run, "dk long, h long, s long, size int, " + ", ".join(f"{o} long" for o in ODD) + ", line string")
@@ -599,6 +672,23 @@ def gram_bins(lines: list[str]) -> tuple[np.ndarray, int]:
     return (of[:-1] * PARITIES + (at % np.uint32(PARITIES)))[of[1:] == of[:-1]], len(lines)
 
 
+def gram_counts(lines: list[str]) -> np.ndarray:
+    """Hashed counts of the pairs of neighbouring characters of lines of fewer than 2^15 characters."""
+    out = np.zeros((len(lines), PARITIES), np.int16)
+    for at in range(0, len(lines), 1024):
+        bins, n = gram_bins(lines[at : at + 1024])
+        out[at : at + n] = np.bincount(bins, minlength=n * PARITIES).reshape(n, PARITIES)
+    return out
+
+
+def count_distances(counts: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """gram_distances() of pairs of lines by their counts."""
+    out = np.empty(len(i), np.int64)
+    for at in range(0, len(i), 4096):
+        out[at : at + 4096] = np.abs(counts[i[at : at + 4096]] - counts[j[at : at + 4096]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def gram_distances(a: list[str], b: list[str]) -> np.ndarray:
     """For each pair a lower bound of the number of character pairs that only one of the two texts has: that of hashed counts."""
     counts = [np.bincount(bins, minlength=n * PARITIES).reshape(n, PARITIES) for bins, n in (gram_bins(a), gram_bins(b))]
@@ -680,7 +770,8 @@ def joined_in_tiles(table, least: float):
     names, top = np.unique(root, return_inverse=True)
     first = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1])))
     many = int(np.diff(np.append(first, len(tile))).max())
-    texts = lambda i: lines.take(pa.array(i)).to_pylist()
+    texts = lines.to_pylist()
+    grams = gram_counts([t or "" for t in texts])
     near = lambda i, j: np.abs(size[i] - size[j]) <= np.floor((1 - least) * np.maximum(size[i], size[j]) + 1e-9)
 
     n_keys = np.diff(starts)
@@ -707,9 +798,12 @@ def joined_in_tiles(table, least: float):
         done, step = 0, 4096
         while done < len(i):
             x, y = i[done : done + step], j[done : done + step]
-            done, step = done + step, min(2 * step, 16384)
+            done, step = done + step, min(4 * step, 65536)
             x, y = x[new := top[x] != top[y]], y[new]
-            ok = similar_pairs(texts(x), texts(y), least)
+            differ = count_distances(grams, x, y)
+            passed = differ <= 4 * np.floor((1 - least) * np.maximum(size[x], size[y]) + 1e-9) - np.abs(size[x] - size[y])
+            x, y, differ = x[passed], y[passed], differ[passed]
+            ok = similar_pairs([texts[k] for k in x.tolist()], [texts[k] for k in y.tolist()], least, differ)
             links = []
             above = np.arange(len(names))
             for a, b in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
@@ -758,10 +852,10 @@ def groups(rows: DataFrame, least: float = 0.8, radius: int | None = BITS) -> tu
     seen = written(occurrences(rows, radius is not None), "lines")
     own = [F.min("s").alias("s")] if radius is not None else []
     distinct = written(seen.groupBy("h").agg(F.min(F.struct("did", "dk", "at")).alias("first"), F.count(F.lit(1)).alias("n"), *own), "distinct")
-    home = distinct.select("h", F.col("first.dk").alias("dk"))
+    home = distinct.select("h", F.col("first.dk").alias("dk"), F.col("first.at").alias("at"))
     if radius is None:
         ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), distinct.count() * BANDS // RANGE_KEYS)
-        packs = packed_bands(rows, membership(home, _at_home(F.col("h"), F.col("dk"))), least, ranges)
+        packs = packed_bands(rows, membership(home, _at_home(F.col("dk"), F.col("at"))), least, ranges)
         found = written(company(packs.repartition("part").sortWithinPartitions("part")), "line-company")
         pairs = written(found.where("not large").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "line-candidates")
         buckets = found.where("large").select(F.col("x").alias("key"), F.col("y").alias("node")).distinct()
@@ -773,9 +867,9 @@ def groups(rows: DataFrame, least: float = 0.8, radius: int | None = BITS) -> tu
     buckets = written(buckets, "line-buckets")
     nodes = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).unionByName(buckets.select(F.col("node").alias("h"))).distinct()
     nodes = written(nodes.join(home, "h"), "line-nodes")
-    moved = line_texts(rows, membership(nodes, _at_home(F.col("h"), F.col("dk"))))
+    moved = line_texts(rows, membership(nodes, _at_home(F.col("dk"), F.col("at"))))
     # a line has one first document, so (dk, h) is as good a key as h
-    texts = written(moved.join(nodes, ["dk", "h"]).dropDuplicates(["h"]).drop("dk"), "line-texts")
+    texts = written(moved.join(nodes.drop("at"), ["dk", "h"]).dropDuplicates(["h"]).drop("dk"), "line-texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         lines = texts.select("h", "line")
@@ -824,7 +918,7 @@ def deduplicate(docs: DataFrame, least: float = 0.8, radius: int | None = BITS)
     out = _with_drops(docs, least, radius)
     return out.select(
         F.col("row.doc_id").cast("long").alias("doc_id"), F.when(F.col("drop").isNull(), F.col("text")).otherwise(_cut(F.col("text"), F.col("drop"))).alias("text"),
-        F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"), F.array_sort(F.coalesce("drop", F.array().cast("array<int>"))).alias("dropped"),
+        F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"), F.array_sort(F.coalesce("drop", F.array().cast("array<int>"))).alias("dropped"),
     )
 
 

@@ -277,3 +277,69 @@ def test_lines_of_one_passage_are_no_rows(spark, monkeypatch, tile):
     later = [j for j, (d, t) in enumerate(rows) if any(abs(len(t) - len(u)) <= 0.2 * len(t) and distance(t, u) <= 0.2 * max(len(t), len(u)) + 1e-9 for _, u in rows[:j])]
     assert got == {rows[j][0] for j in later} and len(later) > 10
     assert met["lines-met"] < 60 and met["lines-pairs"] < 30 * len(rows)
+
+
+class Rows:
+    """Takes the body of a mapInArrow, to run it here."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def test_lines_at_other_places_are_not_parsed(monkeypatch):
+    """The passes over lines with company cut texts to lines, and parse those at the places asked for alone."""
+    texts = [f"Line, one {d}\n\nline two {d}\n" + "\n".join(f"other line {k}" for k in range(50)) for d in range(20)]
+    dk = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, len(texts))
+    table = np.zeros(1 << (common.TABLE_BITS - 3), np.uint8)
+    for d in dk[::2]:
+        at = int(d ^ 2) & ((1 << common.TABLE_BITS) - 1)
+        table[at >> 3] |= 1 << (at & 7)
+    parsed, words = [], line_dedup.Words
+    monkeypatch.setattr(line_dedup, "Words", lambda lines: parsed.append(len(lines)) or words(lines))
+    batch = pa.RecordBatch.from_arrays([pa.array(dk), pa.array(texts)], ["dk", "text"])
+    rows = pa.Table.from_batches(line_dedup.line_texts(Rows(), table)([batch])).to_pydict()
+    assert rows["line"] == [f"line two {d}" for d in range(0, 20, 2)] and rows["dk"] == dk[::2].tolist()
+    assert len(list(line_dedup.packed_bands(Rows(), table, 0.8, 4)([batch]))) == 1
+    assert parsed == [10, 10]
+
+
+def test_lines_with_few_changes_need_no_distance(monkeypatch):
+    """Long lines that are near by an upper bound are linked without their distance."""
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 9)))
+    a = [" ".join(word() for _ in range(100)) for _ in range(200)]
+    b = [t.replace(t.split(" ")[k // 4 + 10], "changed", 1) for k, t in enumerate(a)]
+
+    def none(*_):
+        raise AssertionError
+
+    monkeypatch.setattr(line_dedup, "within", none)
+    monkeypatch.setattr(line_dedup, "edit_distance", none)
+    assert line_dedup.similar_pairs(a, b, 0.8).all()
+
+
+@pytest.mark.parametrize("columns", [1, 7, 64, 256])
+def test_distances_near_the_diagonal(monkeypatch, columns):
+    """Rows left behind or not begun change no result: insertions, deletions, moved and unlike parts, at and below the distance."""
+    monkeypatch.setattr(line_dedup, "COLUMNS", columns)
+    rng = np.random.default_rng(columns)
+    a, b = [], []
+    for k in range(120):
+        x = list(rng.choice(list("abcdeé 漢"), int(rng.choice([65, 129, 300, 500]))))
+        y = list(x)
+        for _ in range(rng.integers(0, len(x) // 3)):
+            i, r = int(rng.integers(0, len(y))), rng.random()
+            y[i : i + 1] = [y[i], "z"] if r < 0.3 else ["q"] if r < 0.7 or len(y) == 1 else []
+        cut = int(rng.integers(0, len(x) // 4))
+        y = [y, y[cut:] + y[:cut], y[cut:], y + list(rng.choice(list("abc"), cut)), list(rng.choice(list("abcde"), len(x)))][k % 5]
+        a.append("".join(x))
+        b.append("".join(y))
+    want = np.array([distance(x, y) for x, y in zip(a, b)])
+    longer = np.array([max(len(x), len(y)) for x, y in zip(a, b)])
+    for most in (want, want - 1, longer // 10, longer // 3):
+        most = np.maximum(most, 0)
+        assert line_dedup.within(a, b, most).tolist() == (want <= most).tolist()
+        assert [line_dedup.edit_distance(x, y, m) <= m for x, y, m in zip(a, b, most.tolist())] == (want <= most).tolist()
