@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, line_dedup, maxent_lm, mixing, neardup, quality, secrets, toxicity, warc
+from . import ann, decontam, line_dedup, maxent_lm, mixing, neardup, phrases, quality, secrets, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,9 +51,14 @@ def op10_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent_lm.score(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_benchmark_leaks, op2_line_quality, op3_secret_ledger, op4_raked_mixture, op5_warc_derivatives, op6_toxicity, op7_fuzzy_lines, op8_dart_minhash, op9_onebit_neighbours, op10_maxent_scores)}
+    return {f.__name__: f for f in (op1_benchmark_leaks, op2_line_quality, op3_secret_ledger, op4_raked_mixture, op5_warc_derivatives, op6_toxicity, op7_fuzzy_lines, op8_dart_minhash, op9_onebit_neighbours, op10_maxent_scores,
+                                    op11_suffix_phrases)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secret_ledger": secrets.oracle(), "op4_raked_mixture": mixing.oracle()}
+    return {"op3_secret_ledger": secrets.oracle(), "op4_raked_mixture": mixing.oracle(), "op11_suffix_phrases": phrases.oracle()}
