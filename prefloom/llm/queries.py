@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, line_dedup, maxent_lm, mixing, neardup, phrases, quality, secrets, toxicity, warc
+from . import ann, decontam, licenses, line_dedup, maxent_lm, mixing, neardup, phrases, quality, secrets, toxicity, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +55,17 @@ def op11_suffix_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.report(table(spark, sf_dir, "documents"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_lobpcg_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_benchmark_leaks, op2_line_quality, op3_secret_ledger, op4_raked_mixture, op5_warc_derivatives, op6_toxicity, op7_fuzzy_lines, op8_dart_minhash, op9_onebit_neighbours, op10_maxent_scores,
-                                    op11_suffix_phrases)}
+                                    op11_suffix_phrases, op12_license_scan, op13_lobpcg_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
