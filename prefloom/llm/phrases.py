@@ -1,17 +1,18 @@
 """Collocation mining by suffix sorting: all phrases of up to max_n words with their counts, from one sort of truncated suffixes.
 
 Texts are lower-cased (A-Z), cut into pieces at punctuation and line breaks and those into words at blanks and tabs.  One
-pass counts words by language.  A second one cuts the pieces at words below the least count, as no frequent phrase holds
-one, and sends the suffix of up to max_n words at each word, counted within a step of text, to the partition of its
-language and first word.  There the suffixes are sorted in reverse order and the counts of all prefixes follow in one
+pass counts words by language, one pairs of neighbouring words by their hashes.  No frequent phrase holds a word or a pair
+below the least count, so the last pass cuts the pieces there, and sends the suffix of up to max_n words at each word,
+counted within a step of text, to the partition of its language and first word.  There the suffixes are sorted in reverse order and the counts of all prefixes follow in one
 scan, with the open prefixes of the last suffix as its only state.  The counts of a phrase's parts are joined afterwards.
 
-Hot words: a suffix whose first words are hot, at least ``HOT_SHARE`` of all words and ``HOT_ROWS`` times, is dealt by its
-words up to the first that isn't, so no group is larger than such a word's count.  Phrases of hot words alone are then
-counted in parts, which are summed; all others are whole in their partition.
+Hot words and pairs are those that stand at least ``HOT_ROWS`` times and have a share of ``HOT_SHARE`` of all words.  A suffix
+that begins with a hot word is dealt by two words, and by as many more as it goes on with hot pairs, so no group has more
+rows than the least hot count.  Phrases that are such a beginning are then counted in parts, which are summed; all others
+are whole in their partition.
 
-Scale: texts stream in bounded steps; what tasks get is a bitmap of 4 MB of the frequent words, which only lets rare ones
-pass where it is full, and at most 1 / HOT_SHARE hot words.  Suffixes are shuffled once, counts of phrases after that;
+Scale: texts stream in bounded steps; what tasks get is two bitmaps of 4 MB, of the frequent words and pairs, which only let
+rare ones pass where they are full, as do pairs of one hash, and at most 1 / HOT_SHARE hot words and pairs.  Suffixes are shuffled once, counts of phrases after that;
 phrases above the least count number at most max_n times the words divided by it.  The first rows of a language come from
 parts of its candidates, so that no task sorts them all.
 
@@ -29,7 +30,7 @@ from pyspark.sql.window import Window
 from .common import held, membership, mix, no_rows, string_hashes, text_steps, written
 
 LEAST, MAX_N, TOP = 100, 5, 2000
-#: A word is hot from this share of all words on, and from so many places on: smaller groups need no split.
+#: A word or pair is hot from this share of all words on, and from so many places on: smaller groups need no split.
 HOT_SHARE, HOT_ROWS = 1 / 65536, 1 << 16
 #: Parts of a language's candidates that are ranked by themselves first.
 RANK_PARTS = 256
@@ -44,6 +45,10 @@ _KIND[[0x20, 0x09]] = 1
 _KIND[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = 2
 
 
+def _word_hash(word: np.ndarray, lang: np.ndarray) -> np.ndarray:
+    return mix(word ^ mix(lang, 5), 6)
+
+
 class Pieces:
     """Words of a step's texts: codes into `distinct` (language and word), where pieces end, and the words' bytes, each with a blank after it."""
 
@@ -72,7 +77,7 @@ class Pieces:
         lang = langs.indices.to_numpy()[text]
         both, self.codes = np.unique(lang.astype(np.int64) * max(len(self.words), 1) + plain.indices.to_numpy(), return_inverse=True)
         self.word_of, self.lang_of = both % max(len(self.words), 1), both // max(len(self.words), 1)
-        self.hashes = mix(string_hashes(self.words)[self.word_of] ^ mix(string_hashes(self.langs), 5)[self.lang_of], 6)
+        self.hashes = _word_hash(string_hashes(self.words)[self.word_of], string_hashes(self.langs)[self.lang_of])
         self.at = np.concatenate(([0], np.cumsum(size + 1)))
         self.bytes = np.full(self.at[-1], 32, np.uint8)
         inside = np.ones(len(self.bytes), bool)
@@ -91,7 +96,7 @@ def _strings(body: np.ndarray, starts: np.ndarray, ends: np.ndarray):
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(lang, word, h, c): count and hash of each language's words; the row of word null has the language's number of words."""
+    """(lang, word, c): count of each language's words; the row of word null has the language's number of words."""
 
     def run(batches):
         import pyarrow as pa
@@ -100,18 +105,58 @@ def word_counts(docs: DataFrame) -> DataFrame:
             p = Pieces(batch.column("text"), batch.column("lang"))
             if len(p.codes):
                 c, lang = np.bincount(p.codes), pa.array(p.lang_of)
-                yield pa.RecordBatch.from_arrays([p.langs.take(lang).cast(pa.string()), p.words.take(pa.array(p.word_of)).cast(pa.string()), pa.array(p.hashes.view(np.int64)), pa.array(c)], ["lang", "word", "h", "c"])
+                yield pa.RecordBatch.from_arrays([p.langs.take(lang).cast(pa.string()), p.words.take(pa.array(p.word_of)).cast(pa.string()), pa.array(c)], ["lang", "word", "c"])
                 n = np.bincount(p.lang_of, weights=c, minlength=len(p.langs)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([p.langs.cast(pa.string()), pa.nulls(len(n), pa.string()), pa.array(np.zeros(len(n), np.int64)), pa.array(n)], ["lang", "word", "h", "c"])
+                yield pa.RecordBatch.from_arrays([p.langs.cast(pa.string()), pa.nulls(len(n), pa.string()), pa.array(n)], ["lang", "word", "c"])
+
+    return docs.mapInArrow(run, "lang string, word string, c long").groupBy("lang", "word").agg(F.sum("c").alias("c"))
+
+
+def hashed(words: DataFrame) -> DataFrame:
+    """words (lang, word, c) with h, the hash that the passes over the texts know them by."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            lang, word = (string_hashes(batch.column(c)) for c in ("lang", "word"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_word_hash(word, lang).view(np.int64))], ["lang", "word", "c", "h"])
+
+    return words.select("lang", "word", "c").mapInArrow(run, "lang string, word string, c long, h long")
+
+
+def _pairs(p: Pieces) -> np.ndarray:
+    """Hash of each word with the next one."""
+    h = p.hashes[p.codes]
+    return mix(mix(h[:-1]) ^ h[1:], 1)
+
+
+def _bonds(p: Pieces, frequent: np.ndarray) -> np.ndarray:
+    """Whether each word and the next one stand in one piece and may both be frequent."""
+    alive = held(frequent, p.hashes)[p.codes]
+    return alive[:-1] & alive[1:] & (p.piece[:-1] == p.piece[1:])
+
+
+def pair_counts(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(h, c): count of the neighbouring words of each hash; frequent is a bitmap of word hashes."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in text_steps(batches):
+            p = Pieces(batch.column("text"), batch.column("lang"))
+            if len(p.codes) > 1:
+                h, c = np.unique(_pairs(p)[_bonds(p, frequent)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
 
-    return docs.mapInArrow(run, "lang string, word string, h long, c long").groupBy("lang", "word").agg(F.min("h").alias("h"), F.sum("c").alias("c"))
+    return docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def suffixes(docs: DataFrame, frequent: np.ndarray, hot: np.ndarray, max_n: int = MAX_N) -> DataFrame:
+def suffixes(docs: DataFrame, frequent: np.ndarray, pairs: np.ndarray, hot: np.ndarray, hot_pairs: np.ndarray, max_n: int = MAX_N) -> DataFrame:
     """(key, lang, suffix, deep, c): the suffixes of 2 to max_n words, each word with a blank after it, counted within a step.
 
-    frequent is a bitmap of word hashes and hot a sorted array of them.  deep is the number of hot words that a suffix
-    begins with, key the hash of the words that it is dealt by.
+    frequent and pairs are bitmaps of hashes of words and pairs, hot and hot_pairs arrays of them.  deep is the number of words
+    of the longest hot beginning, whose pairs are all hot; key is the hash of the words that the suffix is dealt by.
     """
 
     def run(batches):
@@ -122,13 +167,12 @@ def suffixes(docs: DataFrame, frequent: np.ndarray, hot: np.ndarray, max_n: int
             n = len(p.codes)
             if n < 2:
                 continue
-            alive = held(frequent, p.hashes)[p.codes]
-            is_hot = np.isin(p.hashes, hot)[p.codes]
-            # where the run of frequent words of a piece that holds each word ends
-            cut = np.flatnonzero(~(alive[:-1] & alive[1:]) | (p.piece[:-1] != p.piece[1:])) + 1
-            cut = np.append(cut, n)
+            is_hot, bond = np.isin(p.hashes, hot)[p.codes], _pairs(p)
+            is_hot_pair = np.isin(bond, hot_pairs)
+            # where the run of frequent pairs of a piece that holds each word ends
+            cut = np.append(np.flatnonzero(~(_bonds(p, frequent) & held(pairs, bond))) + 1, n)
             size = np.minimum(cut[np.searchsorted(cut, np.arange(n), "right")] - np.arange(n), max_n)
-            first = np.flatnonzero(alive & (size >= 2))
+            first = np.flatnonzero(size >= 2)
             if not len(first):
                 continue
             size = size[first]
@@ -139,7 +183,7 @@ def suffixes(docs: DataFrame, frequent: np.ndarray, hot: np.ndarray, max_n: int
                 at = np.minimum(first + k, n - 1)
                 whole = np.where(more, mix(whole ^ h[at], k), whole)
                 key = np.where(more & lead, mix(key ^ h[at], k), key)
-                lead &= more & is_hot[at]
+                lead &= more & (is_hot_pair[np.minimum(first + k - 1, n - 2)] if k else is_hot[at])
                 deep += lead
             # equal suffixes of the step are one row; rows of equal hash and other words stay rows of their own
             _, one, where, times = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
@@ -158,12 +202,12 @@ def suffixes(docs: DataFrame, frequent: np.ndarray, hot: np.ndarray, max_n: int
                 b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + BATCH_BYTES, "right")))
                 rows = one[a:b]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[rows].view(np.int64)), p.langs.take(pa.array(p.lang_of[p.codes[first[rows]]])).cast(pa.string()), _strings(p.bytes, lo[a:b], hi[a:b]).cast(pa.string()), pa.array(deep[rows]), pa.array(times[a:b])],
+                    [pa.array((key[rows] >> np.uint64(33)).astype(np.int32)), p.langs.take(pa.array(p.lang_of[p.codes[first[rows]]])).cast(pa.string()), _strings(p.bytes, lo[a:b], hi[a:b]).cast(pa.string()), pa.array(deep[rows]), pa.array(times[a:b])],
                     ["key", "lang", "suffix", "deep", "c"],
                 )
                 a = b
 
-    return docs.mapInArrow(run, "key long, lang string, suffix string, deep int, c long")
+    return docs.mapInArrow(run, "key int, lang string, suffix string, deep int, c long")
 
 
 def prefix_counts(sorted_suffixes: DataFrame, least: int = LEAST, max_n: int = MAX_N) -> DataFrame:
@@ -252,12 +296,14 @@ def phrases(docs: DataFrame, least: int = LEAST, max_n: int = MAX_N) -> tuple[Da
     docs = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     vocabulary = written(word_counts(docs).where((F.col("c") >= least) | F.col("word").isNull()), "phrase-words")
     totals = written(vocabulary.where("word is null").select("lang", F.col("c").alias("n")), "phrase-totals")
-    frequent = vocabulary.where("word is not null")
+    frequent = hashed(vocabulary.where("word is not null"))
     every = totals.agg(F.sum("n")).first()[0]
     if not every:
         return no_rows(spark, "lang string, phrase string, m int, a long"), totals
-    hot = frequent.where(F.col("c") >= max(every * HOT_SHARE, HOT_ROWS)).select("h").collect()  # at most 1 / HOT_SHARE
-    rows = suffixes(docs, membership(frequent, F.col("h")), np.array([r.h for r in hot], np.int64).view(np.uint64), max_n)
+    bits, level = membership(frequent, F.col("h")), max(every * HOT_SHARE, HOT_ROWS)
+    pairs = written(pair_counts(docs, bits).where(F.col("c") >= least), "phrase-pairs")
+    hot, hot_pairs = (np.array([r.h for r in t.where(F.col("c") >= level).select("h").collect()], np.int64).view(np.uint64) for t in (frequent, pairs))  # at most 1 / HOT_SHARE each
+    rows = suffixes(docs, bits, membership(pairs, F.col("h")), hot, hot_pairs, max_n)
     counted = written(prefix_counts(rows.repartition("key").sortWithinPartitions("lang", F.desc("suffix")), least, max_n), "phrase-prefixes")
     summed = counted.where("not whole").groupBy("lang", "phrase", "m").agg(F.sum("c").alias("a")).where(F.col("a") >= least)
     found = counted.where("whole").select("lang", "phrase", "m", F.col("c").alias("a")).unionByName(summed)
