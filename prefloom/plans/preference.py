@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import coerce, text
-from ..operators import scorer, scores, select
+from ..operators import ngram, scorer, scores, select
 from ..sources.tables import table
 from ..streaming import cache
 from . import fixtures
@@ -179,6 +179,32 @@ def unigram_logprob(spark, sf_dir):
     return lp.select("pair_id", "side", F.round("logprob", 6).alias("logprob"), F.col("n_tokens").cast("long").alias("n_tokens"))
 
 
+_CAUSAL = rf"""
+cw AS (SELECT {_words('lower(text)')} AS a FROM conversations),
+bi AS (SELECT v, w, count(*) AS c FROM (SELECT unnest(a[:len(a) - 1]) AS v, unnest(a[2:]) AS w FROM cw WHERE len(a) > 1) GROUP BY ALL),
+av AS (SELECT v, sum(c) AS all_v, count(*) AS kinds_v FROM bi GROUP BY 1), bw AS (SELECT w, count(*) AS kinds_w FROM bi GROUP BY 1),
+tot AS (SELECT sum(kinds_w) AS kinds, count(*) AS size FROM bw),
+sq AS (SELECT pair_id, side, {_words('lower(prompt)')} AS x, {_words('lower(response)')} AS y FROM (SELECT pair_id, prompt, 'chosen' AS side, chosen AS response FROM pairs UNION ALL SELECT pair_id, prompt, 'rejected', rejected FROM pairs)),
+tk AS (SELECT pair_id, side, x, unnest(range(len(y))) AS pos, unnest(y) AS w, unnest(list_concat([x[len(x)]], y[:len(y) - 1])) AS v FROM sq WHERE len(y) > 0),
+tl AS (SELECT pair_id, side, pos, w AS token, len(list_filter(x, lambda t: t = w)) AS tf, len(x) AS n, 0.999 * coalesce(kinds_w, 0) / kinds + 0.001 / (size + 1) AS q, c, all_v, kinds_v
+FROM tk LEFT JOIN bi USING (v, w) LEFT JOIN av USING (v) LEFT JOIN bw USING (w) CROSS JOIN tot),
+lt AS (SELECT pair_id, side, pos, token, ln((tf + 100 * coalesce((greatest(coalesce(c, 0) - 0.75, 0) + 0.75 * kinds_v * q) / all_v, q)) / (n + 100)) AS logprob FROM tl)"""
+
+
+@query(f"WITH {P}, {_CAUSAL} SELECT pair_id, side, pos, token, round(logprob, 6) AS logprob FROM lt")
+def causal_token_logprobs(spark, sf_dir):
+    """One log-probability for each response token, from the token before it and the prompt."""
+    return ngram.token_logprobs(fixtures.pairs(spark, sf_dir), table(spark, sf_dir, "conversations")).select("pair_id", "side", F.col("pos").cast("long").alias("pos"), "token", F.round("logprob", 6).alias("logprob"))
+
+
+@query(f"""WITH {P}, {_CAUSAL} SELECT pair_id, side, round(coalesce(sum(logprob), 0), 5) AS logprob, round(avg(logprob), 6) AS mean_logprob, count(logprob)::BIGINT AS n_tokens
+FROM (SELECT pair_id, unnest(['chosen', 'rejected']) AS side FROM pairs) LEFT JOIN lt USING (pair_id, side) GROUP BY ALL""")
+def causal_response_logprobs(spark, sf_dir):
+    """Sum and mean over a response's tokens."""
+    out = ngram.response_logprobs(fixtures.pairs(spark, sf_dir), table(spark, sf_dir, "conversations"))
+    return out.select("pair_id", "side", F.round("logprob", 5).alias("logprob"), F.round("mean_logprob", 6).alias("mean_logprob"), F.col("n_tokens").cast("long").alias("n_tokens"))
+
+
 @query(f"WITH {P}, {I}, {_LM}, {_GRID} SELECT prompt_id, pair_id, round(m.margin - (c.logprob - r.logprob), 6) AS delta FROM m JOIN plain c USING (pair_id) JOIN plain r USING (pair_id) WHERE c.side = 'chosen' AND r.side = 'rejected'")
 def forward_weight(spark, sf_dir):
     """Shift of the margin by an instruction against none."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import linalg, scores, select, vectors
+from ..operators import factors, linalg, scores, select, vectors
 from ..sources.tables import table, written
 from . import fixtures
 
@@ -123,20 +123,51 @@ def pca_explained(spark, sf_dir):
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "component long, variance double")
 
 
+def _by_number(rows, key, vectors_, vkey, vector):
+    """(key, vector): the keys in order, with the vector of the same number modulo the number of vectors; the tables hold no vectors of their own for them."""
+    n = vectors_.count()
+    at = select.with_rank(vectors_.select(vkey, vector), [F.col(vkey).asc()], "at").select((F.col("at") - 1).alias("at"), vector)
+    keys = select.with_rank(rows.select(key).distinct(), [F.col(key).asc()], "at").select(key, ((F.col("at") - 1) % n).alias("at"))
+    return keys.join(at, "at").select(key, vector)
+
+
 @query()
 def bilinear_ridge_full(spark, sf_dir):
-    """A of y = s A d on the full grid of instructions and directions, over 16 principal components; the grid is never built."""
+    """A of y = s A d on the full grid of instructions and pairs, from the scorer's observed margins, over 8 principal components.
+
+    Only sTs, dTd and sTYd are needed; the last is contracted from the margins on both sides.
+    """
+    from .preference import _grid
+
     prompts, dirs = fixtures.vector_roles(spark, sf_dir)
-    (ms, cs, _), (md, cd, _) = (linalg.pca(linalg.moments(df, c), 16) for df, c in ((prompts, "e"), (dirs, "d")))
-    s, d = linalg.projected(prompts, "e", cs.T, ms), linalg.projected(dirs, "d", cd.T, md)
-    a, b = linalg.moments(s, "z"), linalg.moments(d, "z")
-    # y = e M d with a known M here, so StYD follows from cross moments of raw and projected vectors
-    both_s = linalg.moments(s.select(F.concat("e", "z").alias("x")), "x")["xx"][: len(ms), len(ms) :]
-    both_d = linalg.moments(d.select(F.concat("d", "z").alias("x")), "x")["xx"][: len(md), len(md) :]
-    fit = linalg.bilinear_grid(a["xx"], b["xx"], both_s.T @ np.diag(DIAGONAL) @ both_d, 1e-3)
+    grid = written(_grid(spark, sf_dir).select("prompt_id", "pair_id", "margin"), "margins")
+    s, d = _by_number(grid, "prompt_id", prompts, "prompt_id", "e"), _by_number(grid, "pair_id", dirs, "pair_id", "d")
+    (ms, cs, _), (md, cd, _) = (linalg.pca(linalg.moments(df, c), 8) for df, c in ((prompts, "e"), (dirs, "d")))
+    s, d = (written(linalg.projected(df, c, w.T, m).select(key, "z"), "projected") for df, c, w, m, key in ((s, "e", cs, ms, "prompt_id"), (d, "d", cd, md, "pair_id")))
+    fit = linalg.bilinear_grid(linalg.moments(s, "z")["xx"], linalg.moments(d, "z")["xx"], linalg.contracted(grid, s, d, "prompt_id", "pair_id", "margin"), 1e-3)
     return spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(fit)], "i long, j long, weight double")
 
 
+@query()
+def bilinear_cg_wide(spark, sf_dir):
+    """B of y = s B d over all 64 components on observed train rows, 4,096 weights by conjugate gradients, with its fit on both splits."""
+    rows = written(_split(_roles(spark, sf_dir)), "observed")
+    rows = written(rows.select("split", "y", F.col("e").cast("array<double>").alias("e"), F.col("d").cast("array<double>").alias("d")), "wide")
+    b = linalg.bilinear_cg(rows.where("split = 'train'"), "e", "d", "y", 1e-3)
+    rows = linalg.projected(rows, "e", b, out="sb")
+    return rows.select("split", "y", vectors.dot("sb", "d").alias("p")).groupBy("split").agg(*scores.fit_metrics("y", "p"))
+
+
+@query()
+def ridge_label_means(spark, sf_dir):
+    """Weights from the mean vector of each label to its number of rows: fewer rows than dimensions, so the system is that of the rows."""
+    e = table(spark, sf_dir, "embeddings").where("label is not null")
+    means = e.select("label", F.posexplode("embedding").alias("at", "v")).groupBy("label", "at").agg(F.avg(F.col("v").cast("double")).alias("v"), F.count(F.lit(1)).cast("double").alias("n"))
+    rows = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("x"), F.max("n").alias("y"))  # a row for each dimension
+    w = linalg.ridge_fit(rows, "x", ["y"], 1e-3)[:, 0]
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(w)], "i long, weight double")
+
+
 @query()
 def bilinear_ridge_sparse(spark, sf_dir):
     """B of y = s B d on observed pairs, by normal equations over 8 x 8 products of train rows, with its fit on both splits."""
@@ -167,13 +198,15 @@ def low_rank_bilinear_rank(spark, sf_dir):
 
 @query()
 def bilinear_grid_predictions(spark, sf_dir):
-    """s B d of every instruction and every direction with the observed value where there is one; B in blocks of directions within the task."""
-    rows = _roles(spark, sf_dir)
+    """s B d of every instruction and every direction, with the observed value where there is one; the products are taken in blocks of instructions."""
+    rows = written(_roles(spark, sf_dir), "observed")
     s, d, b = _low_rank(_split(rows).where("split = 'train'"))
     prompts, dirs = fixtures.vector_roles(spark, sf_dir)
-    left = linalg.projected(prompts, "e", s[1].T @ b, s[0], "sb").select("prompt_id", "sb")
-    right = linalg.projected(dirs, "d", d[1].T, d[0], "zd").select("pair_id", "zd")
-    return left.crossJoin(right).select("prompt_id", "pair_id", vectors.dot("sb", "zd").alias("prediction"))
+    left = linalg.projected(prompts, "e", s[1].T @ b, s[0], "sb")
+    right = linalg.projected(dirs, "d", d[1].T, d[0], "zd")
+    # an instruction has one observed direction, of its own number
+    seen = rows.select((F.col("pair_id") * 3).alias("prompt_id"), "pair_id", F.col("y").alias("observed"))
+    return vectors.grid_rows(left, right, "prompt_id", "sb", "pair_id", "zd", "prediction").join(seen, ["prompt_id", "pair_id"], "left")
 
 
 def _last_cells(cells):
@@ -181,37 +214,98 @@ def _last_cells(cells):
     return cells.groupBy("system_row", "response_col").agg(F.max(F.struct("entry_id", "target")).getField("target").alias("target"))
 
 
-def table_of_cells(spark, sf_dir):
-    return _last_cells(fixtures.cells(spark, sf_dir))
+RANK = 8
+RULES = ("column_mean", "global_mean", "zero")
+
+
+def _filled(entries, cells, rule):
+    """The matrix of all systems and columns of `entries`, filled from the cells."""
+    return factors.filled(cells, entries, entries, rule)
 
 
 @query()
 def svd_factor_reconstruction(spark, sf_dir):
     """Error of the first factors over the whole grid: |M|^2 less the factors' part, as they are singular triples of M."""
-    cells = table_of_cells(spark, sf_dir)
-    zs, zp, values = linalg.sparse_factors(cells, 8)
-    whole = cells.agg(F.sum(F.col("target") ** 2), F.countDistinct("system_row"), F.countDistinct("response_col")).first()
-    left = max(whole[0] - float((values**2).sum()), 0.0)
-    return spark.createDataFrame([(8, float(np.sqrt(left / (whole[1] * whole[2]))), float(1 - left / whole[0]))], "k long, rmse double, explained double")
+    cells = fixtures.cells(spark, sf_dir)
+    m = _filled(cells, cells, "zero")
+    _, _, values, k = factors.triples(m, RANK)
+    whole = m.residual.agg(F.sum(F.col("value") ** 2)).first()[0]
+    left = max(whole - float((values[:k] ** 2).sum()), 0.0)
+    return spark.createDataFrame([(k, float(np.sqrt(left / (m.shape[0] * m.shape[1]))), float(1 - left / whole))], "k long, rmse double, explained double")
 
 
-def _factor_maps(spark, sf_dir, prompts, dirs):
+def _entries(spark, sf_dir):
+    """Cells with the split of their entries (a fifth held out, by hash order), the sign of their side, and the length that scores are divided by."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("entry_id"), F.col("l_suppkey").alias("system_row"), F.col("l_partkey").alias("response_col"), F.col("l_extendedprice").alias("target"),
+        F.when(F.col("l_linenumber") % 2 == 1, 1.0).otherwise(-1.0).alias("sign"), F.greatest("l_quantity", F.lit(1.0)).alias("length"),
+    )
+    # entry_id repeats in the table, so the hash order goes by all that tells rows apart
+    key = F.concat_ws(":", "entry_id", "system_row", "response_col", (F.col("target") * 100).cast("long"), (F.col("length") * 100).cast("long"))
+    return written(select.fraction_split(rows.withColumn("key", key), "key", 0.2, 7).drop("key"), "entries")
+
+
+@query()
+def svd_rank(spark, sf_dir):
+    """Numerical rank of the matrix of train cells under each rule to fill it, by eps and by 1 % of the first singular value."""
+    entries = _entries(spark, sf_dir)
+    rows = []
+    for rule in RULES:
+        m = _filled(entries, entries.where("split = 'train'"), rule)
+        _, _, values, k = factors.triples(m)
+        rows.append((rule, k, factors.numerical_rank(values, m.shape, 0.01), float(values[0])))
+    return spark.createDataFrame(rows, "rule string, rank long, rank_one_percent long, first_value double")
+
+
+def _factor_maps(prompts, dirs, zs, zp, k):
     """Weights that map an instruction's and a direction's vector to the factor targets, by multi-output ridge."""
-    zs, zp, _ = linalg.sparse_factors(table_of_cells(spark, sf_dir), 8)
-    return tuple(linalg.ridge(linalg.moments(_paired(rows, key, vector, z, zkey), vector, [f"y{i}" for i in range(8)]), 1e-3) for rows, key, vector, z, zkey in ((prompts, "prompt_id", "e", zs, "system_row"), (dirs, "pair_id", "d", zp, "response_col")))
+    return tuple(linalg.ridge_fit(_paired(rows, key, vector, z, zkey, k), vector, [f"y{i}" for i in range(k)], 1e-3) for rows, key, vector, z, zkey in ((prompts, "prompt_id", "e", zs, "system_row"), (dirs, "pair_id", "d", zp, "response_col")))
+
+
+def _each_rule(spark, sf_dir, metrics):
+    """Under each rule to fill the matrix: factors and maps fitted on train cells, and the metrics of entries with `p`, the product of their mapped factors."""
+    entries = _entries(spark, sf_dir)
+    prompts, dirs = (written(rows, "roles") for rows in fixtures.vector_roles(spark, sf_dir))
+    out = None
+    for rule in RULES:
+        zs, zp, _, k = factors.triples(_filled(entries, entries.where("split = 'train'"), rule), RANK)
+        ws, wp = _factor_maps(prompts, dirs, written(zs, "zs"), written(zp, "zp"), k)
+        rows = entries
+        for side, key, vector, w, col, z in ((prompts, "prompt_id", "e", ws, "system_row", "zs"), (dirs, "pair_id", "d", wp, "response_col", "zp")):
+            n = side.count()
+            at = select.with_rank(linalg.projected(side.select(key, vector), vector, w, out=z).select(key, z), [F.col(key).asc()], "at").select((F.col("at") - 1).alias("at"), z)
+            rows = rows.withColumn("at", F.col(col) % n).join(at, "at").drop("at")
+        found = metrics(rows.withColumn("p", vectors.dot("zs", "zp"))).withColumn("rule", F.lit(rule))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 @query()
 def svd_entry_metrics(spark, sf_dir):
-    """Observed cells against the product of their mapped factors: the fit of the maps over all cells."""
-    prompts, dirs = fixtures.vector_roles(spark, sf_dir)
-    ws, wp = _factor_maps(spark, sf_dir, prompts, dirs)
-    cells = table_of_cells(spark, sf_dir)
-    for rows, key, vector, w, col, out in ((prompts, "prompt_id", "e", ws, "system_row", "zs"), (dirs, "pair_id", "d", wp, "response_col", "zp")):
-        n = rows.count()
-        at = select.with_rank(linalg.projected(rows.select(key, vector), vector, w, out=out).select(key, out), [F.col(key).asc()], "at").select((F.col("at") - 1).alias("at"), out)
-        cells = cells.withColumn("at", F.col(col) % n).join(at, "at").drop("at")
-    return cells.select("target", vectors.dot("zs", "zp").alias("p")).agg(*scores.fit_metrics("target", "p"))
+    """Entries against the product of their mapped factors, for train and held-out entries under each rule to fill the matrix."""
+    return _each_rule(spark, sf_dir, lambda rows: rows.groupBy("split").agg(*scores.fit_metrics("target", "p")))
+
+
+def _signed(rows):
+    """Scores of the entries on their pair's scale: signed by side, divided by length."""
+    return rows.select("split", "system_row", (F.col("sign") * F.col("target") / F.col("length")).alias("t"), (F.col("sign") * F.col("p") / F.col("length")).alias("p"))
+
+
+@query()
+def svd_score_metrics(spark, sf_dir):
+    """As svd_entry_metrics, on signed scores divided by length."""
+    return _each_rule(spark, sf_dir, lambda rows: _signed(rows).groupBy("split").agg(*scores.fit_metrics("t", "p")))
+
+
+@query()
+def svd_mean_score_metrics(spark, sf_dir):
+    """Two levels: each system's mean signed score of a split, then the fit over systems, with the fewest and most entries of a system."""
+
+    def metrics(rows):
+        per = _signed(rows).groupBy("split", "system_row").agg(F.avg("t").alias("t"), F.avg("p").alias("p"), F.count(F.lit(1)).alias("k"))
+        return per.groupBy("split").agg(*scores.fit_metrics("t", "p"), F.min("k").alias("min_examples"), F.max("k").alias("max_examples"))
+
+    return _each_rule(spark, sf_dir, metrics)
 
 
 @query("WITH " + _CELLS_SQL + """, c AS (SELECT DISTINCT response_col FROM cells), v AS (SELECT vec_id, embedding FROM embeddings), n AS (SELECT count(*) AS n FROM v),
@@ -234,19 +328,21 @@ def svd_score(spark, sf_dir):
     the same way, as the tables hold no vectors of suppliers and parts.
     """
     prompts, dirs = fixtures.vector_roles(spark, sf_dir)
-    ws, wp = _factor_maps(spark, sf_dir, prompts, dirs)
+    cells = fixtures.cells(spark, sf_dir)
+    zs, zp, _, k = factors.triples(_filled(cells, cells, "zero"), RANK)
+    ws, wp = _factor_maps(prompts, dirs, zs, zp, k)
     s = linalg.projected(prompts, "e", ws, out="z").select("prompt_id", F.col("z").alias("e"))
     d = linalg.projected(dirs, "d", wp, out="z").select((F.col("pair_id") % 9 + 2).alias("len"), F.col("z").alias("d"))
     scored, more = _by_length(s, d)
     return vectors.ranked_scores(scored, digits=3).join(more, "prompt_id")
 
 
-def _paired(rows, key, vector, z, zkey):
-    """Vectors with the factor targets y0 to y7 of the system or column that falls to them."""
+def _paired(rows, key, vector, z, zkey, k):
+    """Vectors with the factor targets y0, y1 and so on of the system or column that falls to them."""
     n = rows.count()
     numbered = select.with_rank(rows.select(key, vector), [F.col(key).asc()], "at").select((F.col("at") - 1).alias("at"), vector)
-    targets = z.select((F.col(zkey) % n).alias("at"), *(F.col("z")[i].alias(f"y{i}") for i in range(8)))
-    return targets.join(numbered, "at").select(vector, *(f"y{i}" for i in range(8)))
+    targets = z.select((F.col(zkey) % n).alias("at"), *(F.col("z")[i].alias(f"y{i}") for i in range(k)))
+    return targets.join(numbered, "at").select(vector, *(f"y{i}" for i in range(k)))
 
 
 _CELLS = _CELLS_SQL

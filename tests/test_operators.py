@@ -135,11 +135,21 @@ def test_fits_match_numpy(spark):
     full = np.einsum("ai,bj->abij", s[:9], x[:20]).reshape(180, 24)
     a = linalg.bilinear_grid(s[:9].T @ s[:9], x[:20].T @ x[:20], s[:9].T @ grid @ x[:20], 0.3)
     assert np.allclose(a.ravel(), np.linalg.solve(full.T @ full + 0.3 * np.eye(24), full.T @ grid.ravel()))
-    zs, zp = linalg.factor_targets(grid)
-    assert np.allclose(zs @ zp.T, grid) and zs.shape[1] == 4
-    cells = spark.createDataFrame([(i, j, float(grid[i, j])) for i in range(9) for j in range(20)], "system_row long, response_col long, target double")
-    g = {(r.i, r.j): r.v for r in linalg.system_gram(cells).collect()}
-    assert all(np.isclose(v, (grid @ grid.T)[i, j]) for (i, j), v in g.items())
+    few = df.limit(4)
+    rows = few.collect()
+    xf, yf = np.array([r.x for r in rows]), np.array([r.y for r in rows])
+    assert np.allclose(linalg.ridge_fit(few, "x", ["y"], 0.5)[:, 0], np.linalg.solve(xf.T @ xf + 0.5 * np.eye(6), xf.T @ yf))
+    assert np.allclose(linalg.ridge_fit(df, "x", ["y"], 0.5)[:, 0], want)
+    assert np.allclose(linalg.bilinear_cg(df, "s", "x", "y", 0.1).ravel(), np.linalg.solve(outer.T @ outer + 0.1 * np.eye(24), outer.T @ y), atol=1e-8)
+    with pytest.raises(ArithmeticError):
+        linalg.bilinear_cg(df, "s", "x", "y", 1e-9, steps=2)
+    left = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(s[:9])], "i long, z array<double>")
+    right = spark.createDataFrame([(j, v.tolist()) for j, v in enumerate(x[:20])], "j long, z array<double>")
+    some = [(i, j, float(grid[i, j])) for i in range(9) for j in range(20) if (i + j) % 3]
+    sparse = np.zeros((9, 20))
+    for i, j, v in some:
+        sparse[i, j] = v
+    assert np.allclose(linalg.contracted(spark.createDataFrame(some, "i long, j long, y double"), left, right, "i", "j", "y"), s[:9].T @ sparse @ x[:20])
 
 
 def test_vectors(spark):
@@ -204,17 +214,6 @@ def test_sources(spark, tmp_path):
     assert json.loads(tables.as_document(df.limit(1)).first()[0])["text_id"] == "t1"
 
 
-def test_factors_are_of_the_whole_matrix(spark):
-    rng = np.random.default_rng(4)
-    m = rng.standard_normal((40, 700)) * (rng.random((40, 700)) < 0.2)
-    cells = spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m))], "system_row long, response_col long, target double")
-    zs, zp, values = linalg.sparse_factors(cells, 8)
-    a, b = {r.system_row: r.z for r in zs.collect()}, {r.response_col: r.z for r in zp.collect()}
-    want_s, want_p = linalg.factor_targets(m, 8)
-    got = np.array([a.get(i, [0] * 8) for i in range(40)]) @ np.array([b.get(j, [0] * 8) for j in range(700)]).T
-    assert np.allclose(got, want_s @ want_p.T, atol=1e-6) and np.allclose(values, np.linalg.svd(m)[1][:8])
-
-
 def test_maps_are_fitted_to_the_factor_targets(spark):
     from prefloom.plans import surrogate
 
@@ -222,7 +221,7 @@ def test_maps_are_fitted_to_the_factor_targets(spark):
     e, w = rng.standard_normal((30, 6)), rng.standard_normal((6, 8))
     rows = spark.createDataFrame([(3 * i, v.tolist()) for i, v in enumerate(e)], "prompt_id long, e array<double>")
     z = spark.createDataFrame([(i, (e[i % 30] @ w).tolist()) for i in range(90)], "system_row long, z array<double>")
-    m = linalg.moments(surrogate._paired(rows, "prompt_id", "e", z, "system_row"), "e", [f"y{i}" for i in range(8)])
+    m = linalg.moments(surrogate._paired(rows, "prompt_id", "e", z, "system_row", 8), "e", [f"y{i}" for i in range(8)])
     assert m["n"] == 90 and np.allclose(linalg.ridge(m, 1e-9), w, atol=1e-6)
 
 
