@@ -7,8 +7,9 @@ much further trained ordinary text takes the phrases' place.  So a window withou
 length with either, and the difference of the two lengths measures what the toxic phrases explain.
 
 Scoring: each whole text is lower-cased and cut into windows of ``WINDOW`` words; from the differences come the counts
-and shares of windows above several cuts and the largest difference; a logistic function, fitted on sample documents
-that the dictionaries were not made from, calibrates them to a probability, at the class shares of all usable labels and not those of the sample.
+and shares of windows above several cuts and the largest difference; a logistic function calibrates them to a probability,
+at the class shares of all usable labels and not those of the sample.  It is fitted on the sample's documents, each half
+measured with dictionaries made from the other half; the dictionaries that score are made from the whole sample.
 
 Scale: one pass without a shuffle; the model that goes to the executors has a fixed size.  The sample is bounded by
 ``per_class``.  Defined results: null and empty texts have no windows and get the score of a text in which nothing
@@ -30,6 +31,8 @@ WINDOW = 10
 GRAM = 5
 BASE_BYTES, PHRASE_BYTES = 6000, 2000
 CUTS = (2, 3, 4, 5, 6, 8)
+#: Parts of the sample; each is measured with dictionaries of the others, to calibrate those of the whole.
+FOLDS = 2
 #: Pieces that the dictionary trainer is given at most, from all places of the sampled texts.
 PIECES = 60_000
 LEAST_SHARE, LEAST_LIFT, LEAST_Z = 0.03, 10, 5
@@ -79,7 +82,7 @@ def phrases(toxic: list[str], ordinary: list[str]) -> list[str]:
                     keep[i : i + GRAM] = True
             found.update(re.findall("[^\0]+", "".join(c if k else "\0" for c, k in zip(padded, keep, strict=True))))
     out: list[str] = []
-    for p, _ in found.most_common():
+    for p, _ in sorted(found.items(), key=lambda x: (-x[1], x[0])):  # ties by phrase: the order of a set differs between runs
         if len(p) >= GRAM - 1 and not any(p in q for q in out):
             out.append(p)
     return out
@@ -163,6 +166,14 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k != "_made"}
 
 
+def contents(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+    """Contents of the toxic and of the ordinary dictionary."""
+    own = "".join(reversed(phrases(toxic, ordinary))).encode()[-PHRASE_BYTES:] or b" "
+    half = len(ordinary) // 2 + 1
+    base = _trained(ordinary[:half], BASE_BYTES * 4 // 3)
+    return own + base, _trained(ordinary[half:] or ordinary, PHRASE_BYTES * 4 // 3)[-len(own) :] + base
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> Model:
     import pyarrow as pa
 
@@ -171,19 +182,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> Model:
     toxic, ordinary = ([t for t, v in zip(texts, y, strict=True) if v == c] for c in (1, 0))
     if not toxic or not ordinary:
         return Model(b"", b"", None, share)
-    cut_t, cut_o = max(1, len(toxic) * 3 // 5), max(1, len(ordinary) * 3 // 5)
-    own = "".join(reversed(phrases(toxic[:cut_t], ordinary[:cut_o]))).encode()[-PHRASE_BYTES:] or b" "
-    base = _trained(ordinary[: cut_o // 2 + 1], BASE_BYTES * 4 // 3)
-    other = _trained(ordinary[cut_o // 2 + 1 : cut_o + 1], PHRASE_BYTES * 4 // 3)[-len(own) :]
-    rest = toxic[cut_t:] + ordinary[cut_o:]
-    if not toxic[cut_t:] or not ordinary[cut_o:]:
-        rest, cut_t, cut_o = toxic + ordinary, 0, 0
-    pair = (compressor(own + base), compressor(other + base))
-    sizes = np.array([len(t) for t in rest])  # in steps, so the driver holds the windows of a few texts at once
-    x = np.vstack([features(*differences(pa.array(rest[a:b], pa.string()), *pair)) for a, b in steps(sizes, STEP_CHARS // 4)])
-    labels_ = np.array([1] * (len(toxic) - cut_t) + [0] * (len(ordinary) - cut_o))
-    calibration = at_share(fit_logistic(x, labels_), labels_, share)
-    return Model(own + base, other + base, calibration, share)
+    pair = contents(toxic, ordinary)
+    parts = [(toxic[f::FOLDS], ordinary[f::FOLDS], *contents([t for k, t in enumerate(toxic) if k % FOLDS != f], [t for k, t in enumerate(ordinary) if k % FOLDS != f])) for f in range(FOLDS)] if min(len(toxic), len(ordinary)) >= FOLDS else [(toxic, ordinary, *pair)]
+    x, labels_ = [], []
+    for some_toxic, some_ordinary, own, other in parts:
+        rest, made = some_toxic + some_ordinary, (compressor(own), compressor(other))
+        sizes = np.array([len(t) for t in rest])  # in steps, so the driver holds the windows of a few texts at once
+        x += [features(*differences(pa.array(rest[a:b], pa.string()), *made)) for a, b in steps(sizes, STEP_CHARS // 4)]
+        labels_ += [1] * len(some_toxic) + [0] * len(some_ordinary)
+    labels_ = np.array(labels_)
+    return Model(*pair, at_share(fit_logistic(np.vstack(x), labels_), labels_, share), share)
 
 
 def classify(docs: DataFrame, labels: DataFrame, per_class: int = 2500, threshold: float = 0.3) -> DataFrame:
