@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from .common import written
 
 CODES = "vec_id long, dim int, code binary, fix double, vector array<double>"
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "q long, query_id long, vec_id long, score double"
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
@@ -77,14 +77,14 @@ def encode(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     return usable(vectors, id_col, vec_col).mapInArrow(run, CODES)
 
 
-def _top(q_ids, q_vectors, k: int, eps: float, seed: int):
+def _top(q_keys, q_ids, q_vectors, k: int, eps: float, seed: int):
     """mapInArrow body: for each query of the block the k best of this task's codes."""
     by_dim: dict[int, tuple] = {}
     dims = np.array([len(v) for v in q_vectors])
     for d in np.unique(dims):
         rows = np.flatnonzero(dims == d)
         unit = _unit(np.array([q_vectors[i] for i in rows], np.float64))
-        by_dim[int(d)] = (np.array([q_ids[i] for i in rows], np.int64), unit, (unit @ rotation(int(d), seed).T))
+        by_dim[int(d)] = (np.array([q_ids[i] for i in rows], np.int64), unit, (unit @ rotation(int(d), seed).T), np.array([q_keys[i] for i in rows], np.int64))
 
     def run(batches):
         import pyarrow as pa
@@ -96,7 +96,7 @@ def _top(q_ids, q_vectors, k: int, eps: float, seed: int):
                 for d, rows, m in _by_dim(batch):
                     if d not in by_dim:
                         continue
-                    ids, unit, turned = by_dim[d]
+                    ids, unit, turned, _ = by_dim[d]
                     score, who = best[d]
                     vec_ids = batch.column("vec_id").to_numpy()[rows]
                     fix = batch.column("fix").to_numpy()[rows]
@@ -134,7 +134,7 @@ def _top(q_ids, q_vectors, k: int, eps: float, seed: int):
                         who[q0 + all_q[take], rank[take]] = all_v[take]
         for d, (score, who) in best.items():
             r, c = np.nonzero(score > -np.inf)
-            yield pa.RecordBatch.from_arrays([pa.array(by_dim[d][0][r]), pa.array(who[r, c]), pa.array(score[r, c])], ["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(by_dim[d][3][r]), pa.array(by_dim[d][0][r]), pa.array(who[r, c]), pa.array(score[r, c])], ["q", "query_id", "vec_id", "score"])
 
     return run
 
@@ -143,7 +143,8 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 5, eps: float = 4.0, s
     """The k nearest codes of each query (vec_id, vector) by cosine; codes is a written table made by encode().
 
     Blocks are cut by a hash of the query, so that one holds about query_block rows.  A vec_id with several different
-    vectors is one query for each, whose lists are merged: a candidate counts with its best score.
+    vectors is one query for each, whose lists are merged: a candidate counts once, with its best score.  Candidates that share
+    a vec_id are told apart by the order of their scores in each list.
     """
     spark = codes.sparkSession
     queries = queries.dropDuplicates(["vec_id", "vector"])  # an equal row would give every candidate twice
@@ -151,15 +152,17 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 5, eps: float = 4.0, s
     parts: list[DataFrame] = []
     blocks = max(1, -(-n // query_block))
     for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)) == b).select("vec_id", "vector").collect()
+        rows = queries.where(F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)) == b).select(F.xxhash64("vec_id", "vector").alias("q"), "vec_id", "vector").collect()
         if rows:
-            run = _top([r[0] for r in rows], [r[1] for r in rows], k, eps, seed)
+            run = _top(*([r[i] for r in rows] for i in range(3)), k, eps, seed)
             parts.append(codes.select("vec_id", "fix", "code", "vector").mapInArrow(run, FOUND))
     if not parts:
         return spark.createDataFrame([], T._parse_datatype_string("query_id long, rank int, vec_id long, score double"))
     found = parts[0]
     for x in parts[1:]:
         found = found.unionByName(x)
+    nth = Window.partitionBy("query_id", "q", "vec_id").orderBy(F.desc("score"))
+    found = found.repartition("query_id").withColumn("nth", F.row_number().over(nth)).groupBy("query_id", "vec_id", "nth").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
