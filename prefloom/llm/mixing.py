@@ -116,13 +116,14 @@ def probabilities(docs: DataFrame, seed: str = "mix", **settings) -> DataFrame:
 
 def mix(docs: DataFrame, seed: str = "mix", **settings) -> DataFrame:
     """The sampled documents, columns as they are, and `probability` (`mix_probability` where docs has such a column)."""
-    cells = cell_probabilities(described(docs), **settings).select(F.struct(*DIMS).alias("__cell"), F.col("probability").alias("__p"))
+    cells = cell_probabilities(described(docs), **settings).select(F.struct(*DIMS).alias("cell"), F.col("probability").alias("p"))
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     did = F.coalesce(docs["doc_id"].cast("string"), F.sha2(text, 256))
     cell = F.struct(F.coalesce(docs["source"].cast("string"), F.lit("")).alias("source"), F.coalesce(docs["lang"].cast("string"), F.lit("")).alias("lang"), topic_of(text).alias("topic"))
-    out = docs.withColumn("__cell", cell).withColumn("__u", chance(did, seed)).join(cells, "__cell")
+    # a document's own columns are one struct, so none of their names can clash
+    out = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), cell.alias("cell"), chance(did, seed).alias("u")).join(cells, "cell")
     name = "probability" if "probability" not in docs.columns else "mix_probability"
-    return out.where(F.col("__u") < F.col("__p")).select(*(docs[c] for c in docs.columns), F.col("__p").alias(name))
+    return out.where("u < p").select(*(F.col("row").getField(c).alias(c) for c in docs.columns), F.col("p").alias(name))
 
 
 def oracle(table: str = "documents", temper: float = 0.85, sweeps: int = SWEEPS, seed: str = "mix") -> str:
