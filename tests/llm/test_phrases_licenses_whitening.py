@@ -247,3 +247,40 @@ h AS (SELECT doc_id, i, CASE WHEN w[i:i + 1] = ['mit', 'license'] THEN 'mit' WHE
 SELECT doc_id, count(*) AS n_words, count(label) AS n_base, min(i) FILTER (label IS NOT NULL) - 1 AS first_word, max(i) FILTER (label IS NOT NULL) - 1 AS last_word FROM h GROUP BY 1""").fetchall()
     got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word) for r in queries.op12_license_scan(spark, SF).collect()}
     assert all(got[r[0]] == tuple(r[1:]) for r in want) and sum(r[2] for r in want) > 0
+
+
+# -- repairs of earlier operators -----------------------------------------------------------------------------
+
+
+def test_neighbours_of_an_id_with_several_vectors(spark):
+    """A candidate counts once, with its best score over the id's vectors; equal candidate rows stay rows of their own."""
+    from prefloom.llm import ann
+
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(16).tolist()) for i in range(40)]
+    rows += [(50, rng.standard_normal(16).tolist())]
+    rows += [(50, (np.array(rows[-1][1]) + 0.01).tolist()), rows[7], rows[7]]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("query_id = 50").orderBy("rank").collect()
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    best = sorted(((-max(unit(v) @ unit(q) for i, q in rows if i == 50), i) for i, v in rows if i != 50))[:5]
+    assert [(r.vec_id, r["rank"]) for r in got] == [(i, k + 1) for k, (_, i) in enumerate(best)]
+    assert np.allclose([r.score for r in got], [-s for s, _ in best])
+
+
+def test_mixture_keeps_clashing_columns(spark):
+    from prefloom.llm import mixing
+
+    names = ["__u", "__p", "__cell", "u", "p", "cell", "row", "probability", "topic", "tokens"]
+    docs = spark.createDataFrame([(i, f"some text {i}", "en", "web", *[f"{n}{i}" for n in names]) for i in range(50)], ["doc_id", "text", "lang", "source", *names])
+    got = mixing.mix(docs).collect()
+    assert got and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names) and all(0 < r.mix_probability <= 1 for r in got)
+
+
+def test_toxic_dictionary_is_the_same_under_every_hash_seed():
+    import os
+    import subprocess
+    import sys
+
+    code = "from prefloom.llm import toxicity as t; import hashlib; w = ['vile', 'rotten', 'dreadful', 'nasty'] * 3; a = [f'you {x} {y} thing {i}' for i, (x, y) in enumerate(zip(w, w[1:]))] * 4; b = [f'a calm and sunny day {i}' for i in range(60)]; print(t.phrases(a, b), hashlib.sha256(t.contents(a, b)[0]).hexdigest())"
+    out = {subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONHASHSEED": str(seed), "PYTHONPATH": os.pathsep.join(sys.path)}, capture_output=True, text=True, check=True).stdout for seed in (1, 2, 3)}
+    assert len(out) == 1 and "vile" in out.pop()
