@@ -7,8 +7,8 @@ from pyspark.sql.window import Window
 
 from ..functions import coerce, text
 from ..operators import ngram, scorer, scores, select
-from ..sources.tables import table
-from ..streaming import cache
+from ..sources.tables import table, written
+from ..streaming import cache, running
 from . import fixtures
 
 QUERIES: dict = {}
@@ -243,6 +243,19 @@ def mean_posterior(spark, sf_dir):
     return scores.with_posterior(_candidates(spark, sf_dir).select("prompt_id", "score_mean"), "score_mean").withColumn("posterior", F.round("posterior", 6))
 
 
+@query(_CAND + """, e AS (SELECT *, exp(score_sum - max(score_sum) OVER ()) AS x, exp(score_mean - max(score_mean) OVER ()) AS y FROM c)
+SELECT prompt_id, score_sum, score_mean, raw_score_sum, preference_logprob_sum, num_examples, round(x / sum(x) OVER (), 4) AS posterior, round(y / sum(y) OVER (), 4) AS mean_posterior FROM e""")
+def running_candidate_scores(spark, sf_dir):
+    """Scores and posteriors after the last batch of a stream of margins, a file a batch; as the batch queries give them."""
+    margins = written(_grid(spark, sf_dir).select("prompt_id", "margin", "length"), "margins")
+    base = margins.inputFiles()[0].rsplit("/", 1)[0]
+    stream = spark.readStream.schema(margins.schema).option("maxFilesPerTrigger", 2).parquet(base)
+    running.run(stream, f"{base}-scores", f"{base}-state").awaitTermination()
+    out = running.latest(spark, f"{base}-scores")
+    sums = ("score_sum", "score_mean", "raw_score_sum", "preference_logprob_sum")
+    return out.select("prompt_id", *(F.round(c, 6).alias(c) for c in sums), "num_examples", *(F.round(c, 4).alias(c) for c in ("posterior", "mean_posterior")))
+
+
 @query(f"WITH {P}, {I}, {_LM}, {_GRID} SELECT prompt_id, pair_id, round(margin, 6) AS raw_score, round(margin / length, 6) AS score, round({_LOGSIG}, 6) AS preference_logprob, length::BIGINT AS length_denominator FROM m")
 def per_sample_scores(spark, sf_dir):
     m = F.col("margin")

@@ -7,6 +7,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+
+#: Splits whose sizes are broadcast, some 20 MB; more of them are joined by a shuffle.
+MOST_SPLITS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,21 +39,43 @@ def read_rows(spark: SparkSession, path: str, schema: str | None = None, lenient
     return reader.option("multiLine", path.endswith(".json") and "*" not in path).json(path)
 
 
-def read_numbered(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) of a JSON-lines file: raw text with its line number from 1, blank lines counted but left out.
+def _lines(spark: SparkSession, path: str, blank: bool) -> DataFrame:
+    """(file, part, at, value) of text files: a row's split, and a number that grows by one from row to row within it."""
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"))
+    return (text if blank else text.where(F.trim("value") != "")).withColumn("at", F.monotonically_increasing_id())
+
+
+def _numbered(rows: DataFrame, within: list[str]) -> DataFrame:
+    """rows with `line`, from 1, in the order of files and of their bytes; `within` file or over all files.
 
-    Line numbers need the file's order: the byte order of the splits is the order of the input partitions.
+    A split's rows keep their order in its partition, so a row's number follows from the rows of the splits before it, a
+    table of one row a split, and its distance to the split's first row.  No row is seen by Python.
     """
-    text = spark.read.text(path)
-    numbered = text.rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0]))  # no DataFrame operation numbers lines densely in file order
-    return spark.createDataFrame(numbered, "line long, value string").where(F.trim("value") != "")
+    sizes = written(rows.groupBy("file", "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")), "splits")
+    before = sizes.select("file", "part", "first", (F.sum("n").over(Window.partitionBy(*within).orderBy("file", "part")) - F.col("n")).alias("before"))  # a row for each split
+    if sizes.count() <= MOST_SPLITS:  # then no row of text is shuffled
+        before = F.broadcast(before)
+    return rows.join(before, ["file", "part"]).withColumn("line", F.col("before") + F.col("at") - F.col("first") + 1)
+
+
+def read_numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of text files: lines with their number in their file from 1, blank lines counted but left out."""
+    return _numbered(_lines(spark, path, True), ["file"]).where(F.trim("value") != "").select("file", "line", "value")
+
+
+def read_ingested(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON-lines files with `row_id`, their position from 0 over all files by name, blank lines left out; a line that is no JSON object is an error that names its position."""
+    rows = _numbered(_lines(spark, path, False), []).select((F.col("line") - 1).alias("row_id"), "value")
+    row = F.from_json("value", F.lit(schema))
+    bad = F.try_parse_json("value").isNull()
+    return rows.select("row_id", F.when(bad, F.raise_error(F.concat(F.lit(f"{path}: row "), F.col("row_id").cast("string"), F.lit(" is no JSON")))).otherwise(row).alias("row")).select("row_id", "row.*")
 
 
 def read_variants(spark: SparkSession, path: str) -> DataFrame:
     """(line, row) with each line as a VARIANT; a line that is no JSON is an error that names the line."""
     lines = read_numbered(spark, path)
     v = F.try_parse_json("value")
-    return lines.select("line", F.when(v.isNull(), F.raise_error(F.concat(F.lit(f"{path}:"), F.col("line").cast("string"), F.lit(": no JSON")))).otherwise(v).alias("row"))
+    return lines.select("file", "line", F.when(v.isNull(), F.raise_error(F.concat(F.col("file"), F.lit(":"), F.col("line").cast("string"), F.lit(": no JSON")))).otherwise(v).alias("row"))
 
 
 def write_rows(df: DataFrame, path: str, append: bool = False) -> None:
