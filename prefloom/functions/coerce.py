@@ -139,3 +139,8 @@ def single_turn(chosen: Column, rejected: Column) -> Column:
 def raw_margin(margin: Column, chosen: Column, rejected: Column, logprob: Column) -> Column:
     """The margin by precedence: given, as a difference, or the plain log-probability."""
     return F.coalesce(margin, chosen - rejected, logprob)
+
+
+def required_margin(margin: Column, chosen: Column, rejected: Column, logprob: Column) -> Column:
+    """raw_margin(); a row that has none of the three is an error when the plan runs."""
+    return required(raw_margin(margin, chosen, rejected, logprob), "margin, log-probabilities of both sides, or log-probability")

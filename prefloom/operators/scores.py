@@ -80,6 +80,13 @@ def exact_and_approx(mark: Column, score: Column, exact: Column, approx: Column,
     return F.coalesce(score, F.when(by_length, exact / n).otherwise(exact)), F.when(by_length, approx / n).otherwise(approx)
 
 
+def pair_length(length: Column, chosen_length: Column, rejected_length: Column, chosen: Column, rejected: Column) -> Column:
+    """The length that a pair's scores are divided by: stored, else the sum of the stored lengths of both sides, else by words; 1 at least."""
+    from ..functions.text import pair_word_length
+
+    return F.greatest(F.coalesce(length.cast("long"), chosen_length.cast("long") + rejected_length.cast("long"), pair_word_length(chosen, rejected).cast("long")), F.lit(1))
+
+
 def mean_probability(logprob: Column, tokens: Column) -> Column:
     """exp of the mean log-probability a token; null without tokens."""
     return F.exp(F.try_divide(logprob, F.when(tokens > 0, tokens)))

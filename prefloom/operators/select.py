@@ -160,3 +160,39 @@ def two_source_lookup(df: DataFrame, first: DataFrame, second: DataFrame, key: s
     """`value` from the first table, else the second, with `found`; what neither has is null."""
     a, b = (t.select(key, F.col(value).alias(f"__{k}")) for k, t in (("a", first), ("b", second)))
     return df.join(a, key, "left").join(b, key, "left").withColumn(value, F.coalesce("__a", "__b")).withColumn("found", F.when(F.col("__a").isNotNull(), "first").when(F.col("__b").isNotNull(), "second").otherwise("none")).drop("__a", "__b")
+
+
+def top_prompts(df: DataFrame, n: int, prompt: str = "prompt", rank: str = "rank", source: str = "source", pos: str = "pos") -> DataFrame:
+    """(prompt, rank, place) of the first n distinct prompts by rank, those without a rank last, ties by pos; place is from 1.
+
+    Prompts are compared with their white space normalised; empty ones and rows of the source `literal` are skipped.
+    Fewer than n are an error when the plan runs.
+    """
+    from ..functions.text import normalize_label
+
+    if n < 1:
+        raise ValueError("at least one prompt is asked for")
+    rows = df.where(~F.col(source).eqNullSafe("literal")).select(normalize_label(F.col(prompt)).alias("prompt"), F.coalesce(F.col(rank).cast("double"), F.lit(float("inf"))).alias("__rank"), F.col(pos).alias("__pos")).where("prompt != ''")
+    first = rows.groupBy("prompt").agg(F.min(F.struct("__rank", "__pos")).alias("__first")).orderBy("__first.__rank", "__first.__pos").limit(n)
+    placed = first.withColumn("place", F.row_number().over(Window.orderBy("__first.__rank", "__first.__pos")))  # n rows
+    have = placed.agg(F.count(F.lit(1)).alias("__have"))
+    ok = F.when(F.col("__have") < n, F.raise_error(F.lit(f"fewer than {n} usable prompts"))).otherwise(F.lit(True))
+    return placed.crossJoin(F.broadcast(have)).where(ok).select("prompt", F.col("__first.__rank").alias("rank"), "place")
+
+
+def consistent(df: DataFrame, key: str | list[str], value: str) -> DataFrame:
+    """One row of each key with its value; a key with several values, null among them, is an error that names it when the plan runs."""
+    keys = [key] if isinstance(key, str) else key
+    marked = F.struct(F.col(value).isNull().alias("none"), F.col(value).alias("v"))
+    seen = df.groupBy(*keys).agg(F.min(marked).alias("__low"), F.max(marked).alias("__high"))
+    name = F.concat_ws(", ", *(F.col(k).cast("string") for k in keys))
+    bad = F.raise_error(F.concat(F.lit(f"several values of {value} for "), name))
+    return seen.select(*keys, F.when(F.col("__low") == F.col("__high"), F.col("__low.v")).when(F.col("__low.none"), F.col("__low.v")).otherwise(bad).alias(value))
+
+
+def zipped(left: DataFrame, right: DataFrame, pos: str = "pos") -> DataFrame:
+    """Rows of both tables side by side by their position; a position that one of them lacks, or has twice, is an error when the plan runs."""
+    once = lambda t, mark: t.groupBy(pos).agg(*(F.first(c).alias(c) for c in t.columns if c != pos), F.count(F.lit(1)).alias(mark))
+    both = once(left, "__l").join(once(right, "__r"), pos, "full")
+    bad = F.raise_error(F.concat(F.lit("the tables differ at position "), F.col(pos).cast("string")))
+    return both.where(F.when((F.col("__l") == 1) & (F.col("__r") == 1), F.lit(True)).otherwise(bad)).drop("__l", "__r")

@@ -166,6 +166,40 @@ def topk_unique_prompts(spark, sf_dir):
     return p.groupBy("prompt").agg(F.min("k").alias("k")).orderBy("k").limit(10).select("prompt")
 
 
+@query(r"""WITH p AS (SELECT p_partkey AS pos, trim(regexp_replace(p_name, '\s+', ' ', 'g')) AS prompt, CASE WHEN p_size % 10 = 0 THEN 'inf'::DOUBLE ELSE p_size END AS rank FROM part WHERE p_partkey % 5 <> 0),
+f AS (SELECT prompt, min({'rank': rank, 'pos': pos}) AS k FROM p WHERE prompt <> '' GROUP BY 1) SELECT prompt, k.rank AS rank, row_number() OVER (ORDER BY k.rank, k.pos) AS place FROM f QUALIFY place <= 10""")
+def top_prompts_without_literals(spark, sf_dir):
+    """The first ten distinct prompts by rank; literal rows are skipped, and fewer than ten would be an error."""
+    source = F.when(F.col("p_partkey") % 5 == 0, "literal").when(F.col("p_partkey") % 5 == 1, F.lit(None)).otherwise("traits")
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.concat(F.lit(" "), "p_name", F.lit("  ")).alias("prompt"), F.when(F.col("p_size") % 10 != 0, F.col("p_size")).alias("rank"), source.alias("source"))
+    return select.top_prompts(rows, 10).withColumn("place", F.col("place").cast("long"))
+
+
+@query("SELECT DISTINCT o_custkey, c_mktsegment AS segment FROM orders JOIN customer ON c_custkey = o_custkey")
+def consistent_columns(spark, sf_dir):
+    """The one value of every key, checked: a key with two would be an error."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    return select.consistent(o.join(c, o["o_custkey"] == c["c_custkey"]).select("o_custkey", F.col("c_mktsegment").alias("segment")), "o_custkey", "segment")
+
+
+@query("WITH a AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS pos, s_name AS name FROM supplier), b AS (SELECT row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS pos, s_suppkey AS supplier FROM supplier) SELECT pos, name, supplier FROM a JOIN b USING (pos)")
+def strict_zip(spark, sf_dir):
+    """Two lists of equal length side by side."""
+    s = table(spark, sf_dir, "supplier")
+    a = select.with_rank(s.select("s_suppkey", F.col("s_name").alias("name")), [F.col("s_suppkey").asc()], "pos").select("pos", "name")
+    b = select.with_rank(s.select("s_acctbal", F.col("s_suppkey").alias("supplier")), [F.col("s_acctbal").desc(), F.col("supplier").asc()], "pos").select("pos", "supplier")
+    return select.zipped(a, b).select(F.col("pos").cast("long").alias("pos"), "name", "supplier")
+
+
+@query(r"""SELECT c.conv_id, c.turn, greatest(CASE WHEN c.turn % 3 = 0 THEN c.turn - 3 WHEN c.turn % 3 = 1 THEN 2 * c.turn
+ELSE greatest(len(list_filter(regexp_split_to_array(text, '[\s\x1c-\x1f]+'), lambda w: w <> '')), 1) + greatest(len(list_filter(regexp_split_to_array(role, '[\s\x1c-\x1f]+'), lambda w: w <> '')), 1) END, 1)::BIGINT AS length FROM conversations c""")
+def score_lengths(spark, sf_dir):
+    """Lengths of pairs by what a row holds: its length, the lengths of its sides, or its texts."""
+    t = F.col("turn")
+    given, each = F.when(t % 3 == 0, t - 3), F.when(t % 3 == 1, t)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", scores.pair_length(given, each, each, F.col("text"), F.col("role")).alias("length"))
+
+
 @query("SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(CASE WHEN count(*) > 0 THEN stddev_pop(value) / sqrt(count(*)) ELSE 0 END, 6) AS sem, count(*)::BIGINT AS n FROM events GROUP BY 1")
 def sem_errorbars(spark, sf_dir):
     a = table(spark, sf_dir, "events").groupBy("event_type").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count(F.lit(1)).alias("n"))
