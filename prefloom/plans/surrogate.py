@@ -38,12 +38,12 @@ SELECT *, row_number() OVER (ORDER BY max_score DESC, mean_rank) AS max_rank FRO
 
 
 def _by_length(prompts, dirs):
-    """Score table of directions divided by their pair's length, with raw_ columns of the directions as they are and the mean length."""
-    divided = dirs.withColumn("d", F.transform("d", lambda x: x / F.col("len")))
-    raw = vectors.score_table(vectors.grid_scores(prompts, dirs)).drop("num_examples")
+    """Score table of directions divided by their pair's length, with raw_ columns of the directions as they are and the mean length; one grid gives both."""
+    grid = written(vectors.grid_scores(prompts, dirs, length="len"), "grid")  # a row for each instruction
+    raw = vectors.score_table(grid, kind="raw_").drop("num_examples")
     raw = raw.select("prompt_id", *(F.round(c, 6).alias(f"raw_{c}") for c in raw.columns[1:]))
     mean = dirs.agg(F.round(F.avg("len"), 6).alias("mean_length"))  # one row
-    return vectors.score_table(vectors.grid_scores(prompts, divided)), raw.crossJoin(F.broadcast(mean))
+    return vectors.score_table(grid), raw.crossJoin(F.broadcast(mean))
 
 
 def _ranked(spark, sf_dir, diagonal=None, by_length=True):
