@@ -235,7 +235,7 @@ def names_for_files(spark, sf_dir):
     return p.select(F.col("p_partkey").alias("pos"), text.slug(F.concat("p_name", F.lit(" / "), "p_brand", F.lit("!"))).alias("slug"), text.model_file_name(F.concat("p_brand", F.lit("/"), "p_type", F.lit(":x"))).alias("file_name"))
 
 
-@query("SELECT n_nationkey AS pos, upper(left(n_name, 1)) || lower(substr(n_name, 2)) || '-' || 'Sea-Lion''S 2Nd' AS title FROM nation WHERE NOT contains(n_name, ' ')")
+@query(r"SELECT n_nationkey AS pos, array_to_string(list_transform(regexp_extract_all(lower(n_name || '-sea-lion''s 2nd'), '(\p{L}+|[^\p{L}]+)'), lambda r: upper(left(r, 1)) || substr(r, 2)), '') AS title FROM nation")
 def title_case(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").where(~F.contains("n_name", F.lit(" ")))
+    n = table(spark, sf_dir, "nation")
     return n.select(F.col("n_nationkey").alias("pos"), text.title(F.concat("n_name", F.lit("-sea-lion's 2nd"))).alias("title"))

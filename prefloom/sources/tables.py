@@ -154,10 +154,15 @@ def read_arrays(spark: SparkSession, path: str, required: list[str]) -> DataFram
 
 
 def rewrite(spark: SparkSession, path: str, change) -> None:
-    """Replace a Parquet table by change(table): the new one is written beside it, then the old one becomes path.bak."""
+    """Replace a Parquet table by change(table): the new one is written beside it, then the old one becomes path.bak.
+
+    Where a crash between the two renames has left only path.bak, that is the table: it is put back first.
+    """
     jvm = spark._jvm.org.apache.hadoop.fs.Path
     new, old, kept = jvm(path + ".new"), jvm(path), jvm(path + ".bak")
     fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(old) and fs.exists(kept):
+        fs.rename(kept, old)
     change(spark.read.parquet(path)).write.mode("overwrite").parquet(path + ".new")
     fs.delete(kept, True)
     if not (fs.rename(old, kept) and fs.rename(new, old)):

@@ -281,6 +281,9 @@ def test_sources_of_arrays_and_bundles(spark, tmp_path):
     spark.range(5).write.parquet(path)
     tables.rewrite(spark, path, lambda t: t.where("id > 2"))
     assert spark.read.parquet(path).count() == 2 and spark.read.parquet(path + ".bak").count() == 5
+    (tmp_path / "t").rename(tmp_path / "gone")  # as if it had ended between the two renames
+    tables.rewrite(spark, path, lambda t: t.where("id > 3"))
+    assert spark.read.parquet(path).count() == 1 and spark.read.parquet(path + ".bak").count() == 5
     assert tables.first_existing(spark, f"file://{tmp_path}/none*", path).endswith("/t")
     assert tables.ingest_slice(spark.range(9), 4, "id").count() == 4
 
