@@ -19,20 +19,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..sources.tables import written
 from .scorer import MU
 
 DISCOUNT, FLOOR = 0.75, 0.001
 
 
-def _followed(tokens, first):
-    """(pos, v, w) of an array's tokens from place `first` on, v the one before or null."""
+def _followed(tokens: str, first):
+    """(pos, v, w) of an array column's tokens from place `first` on, v the one before or null.
+
+    It is a column by name, as an expression would be computed again for every token.
+    """
     each = F.transform(tokens, lambda w, i: F.struct(i.alias("pos"), F.get(tokens, i - 1).alias("v"), w.alias("w")))
     return F.slice(each, first + 1, F.greatest(F.size(tokens) - first, F.lit(0)))
 
 
 def bigrams(corpus: DataFrame, text: str = "text") -> DataFrame:
     """(v, w, c): counts of neighbouring lower-cased words of the corpus's texts."""
-    return corpus.select(F.inline(_followed(words(F.lower(text)), F.lit(0)))).where("v IS NOT NULL").groupBy("v", "w").agg(F.count(F.lit(1)).alias("c"))
+    return corpus.select(words(F.lower(text)).alias("tokens")).select(F.inline(_followed("tokens", F.lit(0)))).where("v IS NOT NULL").groupBy("v", "w").agg(F.count(F.lit(1)).alias("c"))
 
 
 def probabilities(wanted: DataFrame, counts: DataFrame, discount: float = DISCOUNT, floor: float = FLOOR) -> DataFrame:
@@ -50,8 +54,10 @@ def probabilities(wanted: DataFrame, counts: DataFrame, discount: float = DISCOU
 def token_logprobs(pairs: DataFrame, corpus: DataFrame, mu: float = MU) -> DataFrame:
     """(pair_id, side, pos, token, logprob) for the tokens of both responses of pairs (pair_id, prompt, chosen, rejected), pos from 0."""
     prompt, response = words(F.lower(F.coalesce("prompt", F.lit("")))), words(F.lower(F.coalesce("response", F.lit(""))))
+    pairs = written(pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pair_id"), "pairs")  # read three times
     sides = pairs.select("pair_id", "prompt", F.inline(F.array(*(F.struct(F.lit(s).alias("side"), F.col(s).alias("response")) for s in ("chosen", "rejected")))))
-    rows = sides.select("pair_id", "side", F.size(prompt).alias("n"), F.inline(_followed(F.concat(prompt, response), F.size(prompt))))
+    split = sides.select("pair_id", "side", prompt.alias("x"), response.alias("y")).select("pair_id", "side", F.size("x").alias("n"), F.concat("x", "y").alias("tokens"))
+    rows = split.select("pair_id", "side", "n", F.inline(_followed("tokens", F.col("n"))))
     p = probabilities(rows, bigrams(corpus)).withColumnRenamed("v", "pv").withColumnRenamed("w", "pw")
     x = pairs.select("pair_id", F.explode(prompt).alias("w")).groupBy("pair_id", "w").agg(F.count(F.lit(1)).alias("tf"))
     rows = rows.join(x, ["pair_id", "w"], "left").join(p, F.col("v").eqNullSafe(F.col("pv")) & (F.col("w") == F.col("pw")))
