@@ -118,6 +118,18 @@ def test_selection(spark):
         select.count_split(many, "id", 900, 200).collect()
 
 
+@pytest.mark.parametrize(("ids", "share"), [([*range(997)], 0.2), ([*range(40)] + [7] * 30, 0.3), ([None, None, 1, 2], 0.25), ([None, 1, 2, 3], 0.25), ([5] * 6, 0.5), ([5], 0.5), ([], 0.5)])
+def test_fraction_split_neither_sorts_nor_deals_rows(spark, monkeypatch, ids, share):
+    """As numbering all rows by hash order; only rows of the last hash are numbered."""
+    ranked = []
+    monkeypatch.setattr(select, "with_rank", lambda df, *a, real=select.with_rank: ranked.append(df.count()) or real(df, *a))
+    got = select.fraction_split(spark.createDataFrame([(i,) for i in ids], "id long"), "id", share, 7).collect()
+    hashes = ["" if i is None else hashlib.sha256(f"7:{i}".encode()).hexdigest() for i in ids]
+    held = sorted(hashes)[: max(min(max(round(len(ids) * share), 1), len(ids) - 1), 0)]
+    assert sorted("" if r.id is None else hashlib.sha256(f"7:{r.id}".encode()).hexdigest() for r in got if r.split == "eval") == held
+    assert len(got) == len(ids) and sum(ranked) <= 31
+
+
 def test_fits_match_numpy(spark):
     rng = np.random.default_rng(1)
     x, s = rng.standard_normal((120, 6)), rng.standard_normal((120, 4))
