@@ -47,7 +47,7 @@ PARITIES = 256
 ODD = [f"o{i}" for i in range(PARITIES // 64)]
 #: Buckets of at most so many lines become all their pairs.
 SMALL = 4
-#: Lines of at most so many characters have their distances computed together, of at most and at least so many pairs.
+#: Lines of at most so many characters, but for what they begin and end with alike, have their distances computed together, of at most and at least so many pairs.
 MANY_CHARS, MANY_PAIRS, FEW_PAIRS = 2048, 1024, 32
 #: Characters after which a distance of two lines is held against its bound.
 COLUMNS = 256
@@ -57,6 +57,8 @@ UPPER_CHARS = 192
 MOST_WORDS = 1 << 22
 #: Members of a large bucket that are compared with as many others in one place.
 TILE = 2048
+#: Rows of whole tiles that a task compares together: pairs of small tiles are few, and distances are faster of many at once.
+STEP = 4 * TILE
 #: Keys that a range of the bands' key space holds about, that a task packs at once, and that a range is compacted at.
 RANGE_KEYS, PACK_KEYS, MOST_KEYS = 1 << 20, 1 << 20, 1 << 22
 
@@ -602,19 +604,26 @@ def similar_pairs(a: list[str], b: list[str], least: float, differ: np.ndarray |
         x, y = middles(a[k], b[k])
         sure[k] = changed_characters(x, y) <= most[k]
     ok &= ~sure
-    many = np.flatnonzero(ok & (np.minimum(la, lb) > 0) & (np.maximum(la, lb) <= MANY_CHARS))
-    many, rest = many[np.argsort(la[many], kind="stable")], ok.copy()
+    some = np.flatnonzero(ok)
+    trimmed = [middles(a[k], b[k]) for k in some.tolist()]  # what both begin and end with is no step of a distance
+    la, lb = (np.array([len(t[side]) for t in trimmed], np.int64) for side in (0, 1))
+    ok[some[(lb == 0) & (la > most[some])]] = False
+    left = np.flatnonzero((lb > 0) & (la > most[some]))  # the others change no more than that many characters at all
+    left = left[np.argsort(la[left], kind="stable")]
+    singly, many = left[la[left] > MANY_CHARS].tolist(), left[la[left] <= MANY_CHARS]
     done = 0
     while done < len(many):
         alike = many[done : np.searchsorted(la[many], max(64, 1.5 * la[many[done]]), "right")]
         done += len(alike)
+        if len(alike) < FEW_PAIRS:
+            singly += alike.tolist()
+            continue
         alike = alike[np.argsort(la[alike] - lb[alike], kind="stable")]  # paths of one place are of few rows
-        for at in range(0, len(alike), MANY_PAIRS):
-            k = alike[at : at + MANY_PAIRS]
-            if len(k) >= FEW_PAIRS:
-                rest[k], ok[k] = False, within([a[i] for i in k], [b[i] for i in k], most[k])
-    for k in np.flatnonzero(rest).tolist():
-        x, y = middles(a[k], b[k])
+        for k in np.array_split(alike, -(-len(alike) // MANY_PAIRS)):
+            ok[some[k]] = within([trimmed[i][0] for i in k], [trimmed[i][1] for i in k], most[some[k]])
+    for i in singly:
+        x, y = trimmed[i]
+        k = some[i]
         ok[k] = changed_characters(x, y) <= most[k] or edit_distance(x, y, int(most[k])) <= most[k]
     return ok | sure
 
@@ -744,7 +753,7 @@ def tile_links(apart: DataFrame, texts: DataFrame, least: float) -> DataFrame:
         kept = []
         for batch in batches:
             kept.append(batch)
-            if sum(x.num_rows for x in kept) >= TILE:
+            if sum(x.num_rows for x in kept) >= STEP:
                 table = pa.Table.from_batches(kept)
                 tile = table.column("tile").to_numpy()
                 before = np.flatnonzero(tile != tile[-1])

@@ -343,3 +343,20 @@ def test_distances_near_the_diagonal(monkeypatch, columns):
         most = np.maximum(most, 0)
         assert line_dedup.within(a, b, most).tolist() == (want <= most).tolist()
         assert [line_dedup.edit_distance(x, y, m) <= m for x, y, m in zip(a, b, most.tolist())] == (want <= most).tolist()
+
+
+def test_common_ends_are_left_out_of_distances(monkeypatch):
+    """Pairs whose middles alone are of moderate length go together, however long the texts; results are those of single distances."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    a, b = [], []
+    for k in range(200):
+        ends, words = [" ".join(word() for _ in range(100)) for _ in range(2)], [word() for _ in range(150)]
+        other = [w[:2] + "x" * (k % 5) + w[3:] for w in words]
+        a.append(" ".join((ends[0], *words, ends[1])))
+        b.append(" ".join((ends[0], "y", *other, ends[1])))
+    least = lambda x, y: int((1 - 0.9) * max(len(x), len(y)) + 1e-9)
+    want = [line_dedup.edit_distance(x, y, least(x, y)) <= least(x, y) for x, y in zip(a, b, strict=True)]
+    assert min(map(len, a)) > line_dedup.MANY_CHARS and 0 < sum(want) < 200
+    monkeypatch.setattr(line_dedup, "edit_distance", lambda *x: pytest.fail("a pair went alone"))
+    assert line_dedup.similar_pairs(a, b, 0.9).tolist() == want
