@@ -19,24 +19,29 @@ def candidate_sums(rows: DataFrame, candidate: str = "prompt_id") -> DataFrame:
     return rows.groupBy(candidate).agg(F.sum(m / F.greatest("length", F.lit(1))).alias("score_sum"), F.sum(m).alias("raw_score_sum"), F.sum(scores.log_sigmoid(m)).alias("preference_logprob_sum"), F.count(F.lit(1)).alias("num_examples"))
 
 
+def candidate_totals(parts: DataFrame, candidate: str = "prompt_id") -> DataFrame:
+    """candidate_sums() from sums over parts of the rows, as scorer.margin_sums() gives them; for batches and streams."""
+    return parts.groupBy(candidate).agg(*(F.sum(c).alias(c) for c in ("score_sum", "raw_score_sum", "preference_logprob_sum", "num_examples")))
+
+
 def with_posteriors(sums: DataFrame) -> DataFrame:
     """The sums with the mean score and the posteriors by sum and by mean over the candidates."""
     out = sums.withColumn("score_mean", F.col("score_sum") / F.greatest("num_examples", F.lit(1)))
     return scores.with_posterior(scores.with_posterior(out, "score_sum"), "score_mean", "mean_posterior")
 
 
-def run(stream: DataFrame, path: str, checkpoint: str, candidate: str = "prompt_id", **trigger):
-    """A streaming query over (candidate, margin, length) that writes the scores so far to path/batch=N after batch N.
+def run(stream: DataFrame, path: str, checkpoint: str, candidate: str = "prompt_id", sums=candidate_sums, **trigger):
+    """A streaming query over (candidate, margin, length), or what else `sums` adds up to candidate_sums(), that writes the scores so far to path/batch=N after batch N.
 
     trigger goes to the query, by default what is there now, batch by batch, and then the end.
     """
 
-    def step(sums: DataFrame, number: int) -> None:
-        sums = sums.persist()  # one row a candidate
-        with_posteriors(sums).write.mode("overwrite").parquet(f"{path}/batch={number}")
-        sums.unpersist()
+    def step(found: DataFrame, number: int) -> None:
+        found = found.persist()  # one row a candidate
+        with_posteriors(found).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        found.unpersist()
 
-    out = candidate_sums(stream, candidate).writeStream.outputMode("complete").foreachBatch(step)
+    out = sums(stream, candidate).writeStream.outputMode("complete").foreachBatch(step)
     return out.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
