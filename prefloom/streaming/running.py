@@ -45,6 +45,13 @@ def run(stream: DataFrame, path: str, checkpoint: str, candidate: str = "prompt_
     return out.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def batches(spark: SparkSession, path: str, least: int = 1 << 24) -> int:
+    """Batches that a table at path is read in: two to eight, of `least` bytes or more where there are more than two, as each has its cost."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(fs_path).getLength()
+    return min(max(2, size // least), 8)
+
+
 def latest(spark: SparkSession, path: str) -> DataFrame:
     """The scores after the last batch."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -94,3 +94,11 @@ def test_numbered_lines_of_split_files(spark, tmp_path):
         assert tables.ingest_slice(rows, 10).count() == 10
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_small_table_is_read_in_few_batches(spark, tmp_path):
+    """A batch has its cost whatever it holds, so the number of files alone doesn't decide."""
+    path = f"file://{tmp_path}/t"
+    spark.range(1000).repartition(32).write.parquet(path)
+    size = sum(p.stat().st_size for p in (tmp_path / "t").iterdir())
+    assert running.batches(spark, path) == 2 and 3 <= running.batches(spark, path, size // 4) <= 4 and running.batches(spark, path, 1) == 8
